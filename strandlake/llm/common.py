@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+from strandlake.llm.kernels import string_column
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +48,36 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"),
         F.hash(F.col(text_col), F.col(id_col)).alias("_t"),
     ]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def annotate(df: DataFrame, column: str, fields: StructType, fn, keep: list[str], out: str) -> tuple[DataFrame, str]:
+    """The columns `keep` of df and a struct with what fn makes of the text column, without a shuffle.
+
+    fn gets an Arrow string array without nulls and returns one Arrow array for each field.
+    The struct is called `out`, or _out and so on if df has such a column.
+    """
+    name = free_name(df, out)
+    names = list(dict.fromkeys([*keep, column]))
+    source = df.select(*[quoted(c) for c in names])
+    schema = StructType([source.schema[c] for c in keep] + [StructField(name, fields)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            made = fn(string_column(b.column(names.index(column))))
+            struct = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(made, arrow.field(len(keep)).type)], fields=list(arrow.field(len(keep)).type))
+            yield pa.RecordBatch.from_arrays([b.column(names.index(c)) for c in keep] + [struct], names=[*keep, name])
+
+    return source.mapInArrow(run, schema), name
