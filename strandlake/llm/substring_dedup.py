@@ -6,8 +6,8 @@ anchor, and it is enough to hash the 35 - v + 1 words that follow marked places
 all). Anchors that occur twice are extended: the windows around them are hashed in full with 128
 bits, and a window whose hash occurs twice is a repeat.
 
-Hot keys: each slice of text sends one row for an equal key, however often the slice has it, so
-a passage that a third of all documents share gives as many rows as there are slices. Texts are
+Hot keys: of equal keys that a task holds at once, one asks for all, so a passage that a third of
+all documents share gives as many questions as there are tasks. Texts are
 shuffled once; only those with a repeated anchor are written and moved again.
 
 Defined results: null and empty texts have no words, remove nothing and hash as the empty string;
@@ -21,18 +21,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm.common import materialize, quoted, row_keys
 
 WINDOW = 35
 PERIOD = 21
 
-KNOWN = "k1 long, k2 long, _d long, _t int, pos int, known byte"
+#: Records that ask how often a key occurs. known 0: asks; 1: a repeat already, bears witness; 2: a repeat already.
+ASKED = {"k1": np.uint64, "k2": np.uint64, "d": np.int64, "t": np.int32, "pos": np.int32, "known": np.int8}
 
 
 @cache
@@ -49,32 +51,42 @@ def difference_cover(v: int) -> tuple[int, ...]:
     return tuple(next(got for size in range(1, v + 1) if (got := grow([0], size))))
 
 
-def asked(h1: np.ndarray, h2: np.ndarray, d: np.ndarray, t: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows that ask how often a key occurs elsewhere. A key that one slice has twice is known as a repeat:
-    its first row still bears witness (known 1), the others go along under a key of their own (known 2)."""
-    first, count = K.first_of_each(h1, h2)
+def ask(records: X.Record, parts: int) -> tuple[X.Record, np.ndarray]:
+    """Settle what these records tell of themselves: of equal keys one bears witness, the others only come along."""
+    first, count = K.first_of_each(records["k1"], records["k2"])
     known = np.where(count > 1, np.where(first, 1, 2), 0).astype(np.int8)
-    own = K.mix(h1 + np.arange(1, len(h1) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return pa.RecordBatch.from_arrays([pa.array(K.signed(np.where(known == 2, own, h1))), pa.array(K.signed(h2)), pa.array(d), pa.array(t), pa.array(pos.astype(np.int32)), pa.array(known)], names=["k1", "k2", "_d", "_t", "pos", "known"])
+    loose = X.text_bucket(records["d"], records["t"] ^ records["pos"], parts)
+    return records | {"known": known}, np.where(known == 2, loose, (records["k1"] % np.uint64(parts)).astype(np.int64))
 
 
-def repeated(rows: DataFrame, name: str) -> DataFrame:
-    """_d, _t and the sorted places of each text's rows whose key occurs twice or more."""
-    same = Window.partitionBy("k1", "k2")
-    twice = rows.withColumn("n", F.count(F.when(F.col("known") < 2, 1)).over(same)).where("n > 1 or known > 0")
-    return twice.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("pos")).alias(name))
+def repeated(blocks: DataFrame, parts: int) -> DataFrame:
+    """(_d, _t, _places) of the records whose key occurs twice or more."""
 
+    def run(batches):
+        r = X.unpacked(batches, ASKED)
+        witness = r["known"] < 2
+        again = ~witness | (r["known"] == 1)
+        at = np.flatnonzero(witness)
+        again[at] |= K.first_of_each(r["k1"][at], r["k2"][at])[1] > 1
+        if again.any():
+            n = int(again.sum())
+            out = {"d": r["d"][again], "t": r["t"][again], "pos": r["pos"][again], "n": np.ones(n, np.int32), "kind": np.zeros(n, np.int8)}
+            yield X.pack(out, X.by_text(out, parts))
+
+    return X.gather_places(X.dealt(blocks, parts).mapInArrow(run, X.BLOCKS), parts)
 
-def ints(column, row: int, end: int) -> list[np.ndarray]:
-    return [np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (column[i] for i in range(row, end))]
 
+def asking(h1, h2, d, t, pos) -> X.Record:
+    return {"k1": h1, "k2": h2, "d": d, "t": t, "pos": pos.astype(np.int32), "known": np.zeros(len(h1), np.int8)}
 
-def anchor_rows(window: int, v: int):
+
+def anchor_blocks(window: int, v: int, parts: int):
+    """mapInArrow over (_d, _t, _text): the anchors."""
     marked = np.zeros(v, bool)
     marked[list(difference_cover(v))] = True
     length = window - v + 1
 
-    def run(batches):
+    def anchors(batches):
         for b in batches:
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for row, end, buf, offsets in K.slices(K.string_column(b.column(2))):
@@ -85,27 +97,30 @@ def anchor_rows(window: int, v: int):
                 at = at[marked[(at - w.first[own]) % v] & (w.counts[own] >= window)]
                 own = doc[at]
                 h = w.spans()(at, at + length)
-                yield asked(h, np.zeros(len(h), np.uint64), d[row:end][own], t[row:end][own], at - w.first[own])
+                yield asking(h, np.zeros(len(h), np.uint64), d[row:end][own], t[row:end][own], at - w.first[own])
 
-    return run
+    return lambda batches: X.packed(anchors(batches), lambda r: ask(r, parts))
 
 
-def window_rows(window: int, v: int):
-    def run(batches):
+def window_blocks(window: int, v: int, parts: int):
+    """mapInArrow over (_d, _t, _text, _places): the windows around repeated anchors."""
+
+    def windows(batches):
         for b in batches:
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found = b.column(3).to_pylist()
             for row, end, buf, offsets in K.slices(K.string_column(b.column(2))):
                 w = K.Tokens(buf, offsets, K.NON_SPACE, lower=False)
-                anchors = ints(b.column(3), row, end)
-                anchor = np.concatenate(anchors) + np.repeat(w.first[:-1], [len(x) for x in anchors])
+                anchors = [X.places(x)[0] for x in found[row:end]]
                 lowest = np.repeat(w.first[:-1], [len(x) for x in anchors])
+                anchor = np.concatenate(anchors) + lowest
                 near = K.covered(len(w), np.maximum(anchor - v + 1, lowest), anchor + 1)
                 at = w.windows(window)
                 at = at[near[at]]
                 own = w.doc_of()[at]
-                yield asked(w.spans(0)(at, at + window), w.spans(1)(at, at + window), d[row:end][own], t[row:end][own], at - w.first[own])
+                yield asking(w.spans(0)(at, at + window), w.spans(1)(at, at + window), d[row:end][own], t[row:end][own], at - w.first[own])
 
-    return run
+    return lambda batches: X.packed(windows(batches), lambda r: ask(r, parts))
 
 
 def split(names: list[str], n_keep: int):
@@ -129,13 +144,13 @@ def split(names: list[str], n_keep: int):
 def cut(n_keep: int, window: int, schema, with_text: bool):
     def run(batches):
         for b in batches:
-            text, starts = K.string_column(b.column(n_keep)), b.column(n_keep + 1)
+            text, starts = K.string_column(b.column(n_keep)), b.column(n_keep + 1).to_pylist()
             n_words = b.column(n_keep + 2).to_pylist()
             sha = b.column(n_keep + 3).to_pylist()
             n_removed, texts = [0] * len(text), [None] * len(text)
             for row, end, buf, offsets in K.slices(text):
                 w = K.Tokens(buf, offsets, K.NON_SPACE, lower=False)
-                at = ints(starts, row, end)
+                at = [X.places(x)[0] for x in starts[row:end]]
                 begin = np.concatenate(at) + np.repeat(w.first[:-1], [len(x) for x in at])
                 gone = K.covered(len(w), begin, begin + window)
                 data = buf.tobytes()
@@ -162,13 +177,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keep = [id_col] if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], *row_keys(id_col, text_col), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
-    anchors = repeated(base.select("_d", "_t", "_text").mapInArrow(anchor_rows(window, v), KNOWN), "_at")
+    texts = base.select("_d", "_t", "_text")
+    parts = X.bucket_count(docs, docs.count())
+    anchors = repeated(texts.mapInArrow(anchor_blocks(window, v, parts), X.BLOCKS), parts)
     joined = base.join(anchors, ["_d", "_t"], "left")
     held = ["_d", "_t", *names]
-    step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_at", ArrayType(IntegerType())), StructField("n_words", LongType()), StructField("sha", StringType())])
-    parts = materialize(joined.select(*held, "_text", "_at").mapInArrow(split(step.names, len(held)), step), "substring-parts")
-    windows = repeated(parts.where("_text is not null").select("_d", "_t", "_text", "_at").mapInArrow(window_rows(window, v), KNOWN), "_w")
+    step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_words", LongType()), StructField("sha", StringType())])
+    settled = materialize(joined.select(*held, "_text", "_places").mapInArrow(split(step.names, len(held)), step), "substring-parts")
+    opened = settled.where("_text is not null").select("_d", "_t", "_text", "_places")
+    windows = repeated(opened.mapInArrow(window_blocks(window, v, parts), X.BLOCKS), parts).withColumnRenamed("_places", "_w")
     out = StructType([StructField(c, base.schema[n].dataType) for c, n in zip(names, names)] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
-    last = parts.join(windows, ["_d", "_t"], "left").select(*names, "_text", "_w", "n_words", "sha")
+    last = settled.join(windows, ["_d", "_t"], "left").select(*names, "_text", "_w", "n_words", "sha")
     done = last.mapInArrow(cut(len(names), window, to_arrow_schema(out), with_text), out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_removed", "kept_sha256", "kept_text")
