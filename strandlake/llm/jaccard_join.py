@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
+from strandlake.llm import suffix_dedup as S
 from strandlake.llm.common import annotate, materialize, quoted
 from strandlake.llm.components import components
 
@@ -134,22 +136,77 @@ def classify(size: int):
     return fn
 
 
+#: A signature and a class that has it.
+SIGNED = {"s": np.int64, "c": np.int64}
+
+
 def sign(size: int, percent: int):
-    def run(batches):
+    """Over batches of texts: their signatures; of equal sets of a slice one signs for all. `most` thins them."""
+
+    def run(batches, most=0):
         for b in batches:
-            for _, _, buf, offsets in K.slices(K.string_column(b.column(0))):
+            for row, end, buf, offsets in K.slices(K.string_column(b.column(0))):
                 doc, h, sizes = shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)
-                _, own = np.unique(class_keys(doc, h, sizes), return_index=True)  # one copy signs for all of the slice
-                once = np.zeros(len(sizes), bool)
-                once[own] = True
-                keep = once[doc]
                 c = class_keys(doc, h, sizes)
-                i, s = signatures(doc[keep], h[keep], np.where(once, sizes, 0), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(s)), pa.array(c[i])], names=["s", "c"])
+                once = np.zeros(len(sizes), bool)
+                once[np.unique(c, return_index=True)[1]] = True
+                mine = once[doc]
+                i, s = signatures(doc[mine], h[mine], np.where(once, sizes, 0), percent)
+                step = len(i) // (most * (end - row)) + 1 if most else 1
+                yield {"s": K.signed(s[::step]), "c": c[i[::step]]}
 
     return run
 
 
+def splitters_of(texts: DataFrame, records, rows: int, parts: int) -> np.ndarray:
+    """parts - 1 splitters of (s, c) from a bounded sample of texts; a hot signature gets several."""
+
+    def run(batches):
+        for r in records(batches, S.SAMPLE_SUFFIXES):
+            yield pa.RecordBatch.from_arrays([pa.array(r["s"]), pa.array(r["c"])], names=["s", "c"])
+
+    sample = texts.sample(S.SAMPLE_DOCS / rows, 7) if rows > S.SAMPLE_DOCS else texts
+    found = sample.mapInArrow(run, "s long, c long").toArrow()
+    keys = np.stack([found.column(c).to_numpy() for c in ("s", "c")], 1).reshape(-1, 2).astype(np.int64)
+    if not len(keys) or parts < 2:
+        return np.zeros((0, 2), np.int64)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    return keys[(np.arange(1, parts) * len(keys)) // parts]
+
+
+def shared_signatures(texts: DataFrame, rows: int, parts: int, size: int, percent: int) -> DataFrame:
+    """(s, c, m, split): the classes c under each signature that several have, and the centre m of their star.
+
+    Signatures are ranges of (signature, class), so a hot one spreads over several buckets; there each bucket
+    has a star of its own (split).
+    """
+    records = sign(size, percent)
+    splitters = splitters_of(texts, records, rows, parts)
+
+    def deal(r):
+        first, _ = K.first_of_each(r["s"], r["c"])
+        r = {c: x[first] for c, x in r.items()}
+        return r, S.bucket_of([r["s"], r["c"]], splitters)
+
+    def stars(batches):
+        r = X.unpacked(batches, SIGNED)
+        if not len(r["s"]):
+            return
+        order = np.lexsort((r["c"], r["s"]))
+        s, c = r["s"][order], r["c"][order]
+        fresh = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
+        s, c = s[fresh], c[fresh]
+        new = np.append(True, s[1:] != s[:-1])
+        run = np.cumsum(new) - 1
+        split = (run == 0) | (run == run[-1])
+        hold = (np.bincount(run)[run] > 1) | split
+        m = c[np.flatnonzero(new)][run]
+        yield pa.RecordBatch.from_arrays([pa.array(x[hold]) for x in (s, c, m, split)], names=["s", "c", "m", "split"])
+
+    blocks = texts.mapInArrow(lambda batches: X.packed(records(batches), deal), X.BLOCKS)
+    return X.dealt(blocks, parts).mapInArrow(stars, "s long, c long, m long, split boolean")
+
+
 def pair_sizes(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of intersection and union of the texts' sets, row by row."""
     both, union = [], []
@@ -210,11 +267,11 @@ def block_links(size: int, percent: int):
 def remainder(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The links between classes under one signature that the stars left in different components.
 
-    shared: (s, c, m), the classes under each shared signature with the star's centre m. Classes are dealt to
+    shared: see shared_signatures(); the centre of a whole star is compared with all. Classes are dealt to
     blocks of about BLOCK, those of a large component to blocks of their own; pairs of blocks are compared at
     once, so that a row stands for BLOCK ** 2 pairs, and blocks of one component are not compared.
     """
-    labelled = shared.where("c <> m").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    labelled = shared.where("c <> m or split").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     per_root = labelled.groupBy("s", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("g"))
     large = F.col("n") >= BLOCK
     group = per_root.groupBy("s").agg(F.count("*").alias("roots"), F.sum(F.when(large, 0).otherwise(F.col("n"))).alias("pool"), F.sum("g").alias("g"), F.sum("n").alias("n_all")).where("roots > 1")
@@ -237,17 +294,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     found, s = annotate(base, "_text", CLASS, classify(size), [*names, "_id"], "_s")
     found = materialize(found.select(*names, "_id", F.col(s)["n_shingles"].alias("n_shingles"), F.col(s)["c"].alias("_c")), "jaccard-classes")
-    signed = base.select("_text").mapInArrow(sign(size, percent), "s long, c long")
-    window = Window.partitionBy("s")
-    shared = signed.distinct().withColumn("m", F.min("c").over(window)).withColumn("z", F.max("c").over(window)).where("m <> z").drop("z")
+    rows = docs.count()
+    shared = shared_signatures(base.select("_text"), rows, X.bucket_count(docs, rows), size, percent)
     shared = materialize(shared, "jaccard-shared")
-    wanted = shared.select(F.col("c").alias("_c")).distinct()
+    wanted = shared.where("split or c <> m").select(F.explode(F.array("c", "m")).alias("_c")).distinct()
     holder = found.join(wanted, "_c").groupBy("_c").agg(F.min("_id").alias("_h"))
     classed, s = annotate(base, "_text", CLASS, classify(size), ["_id", "_text"], "_s")
     classed = classed.select("_id", F.col("_text").alias("text"), F.col(s)["c"].alias("c"))
     texts = classed.join(holder, classed["_id"].eqNullSafe(holder["_h"]) & (classed["c"] == holder["_c"])).select("c", "text").dropDuplicates(["c"])
     texts = materialize(texts, "jaccard-texts")
-    stars = shared.where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b")).distinct()
+    centres = shared.where("split").select("s", "m").distinct().withColumn("a", F.min("m").over(Window.partitionBy("s")))
+    stars = shared.where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(centres.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
     pairs = stars.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
     links = materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(verify(size, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
     roots = components(links, name="jaccard-stars")

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, substring_dedup, suffix_dedup
+from strandlake.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup
 from strandlake.llm.common import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.lit(quality_rules.mask(quality_rules.BASE))
+    return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), quality_rules.passes(F.col("failed")).alias("kept"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("_c")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found, leak = decontaminate.decontaminate(docs, bench, keep=["doc_id"])
@@ -22,13 +32,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept_bytes")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_decontaminate, op8_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_jaccard_join, op7_decontaminate, op8_suffix_dedup, op9_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
