@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm import suffix_dedup as S
-from strandlake.llm.common import annotate, materialize, quoted
+from strandlake.llm.common import annotate, free_name, materialize, quoted, row_keys
 from strandlake.llm.components import components
 
 SIZE = 3
@@ -288,7 +288,8 @@ def remainder(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """For each row: the columns `keep` (by default the id), n_shingles, component_id and _c, its class (null: empty set)."""
+    """For each row: the columns `keep` (by default the id), n_shingles, component_id and _root, the class that
+    stands for its component (null: empty set)."""
     keep = [id_col] if keep is None else keep
     names = [f"_k{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
@@ -313,6 +314,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links.unionByName(more), name="jaccard-all")
     least = found.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_m"))
     rooted = least.join(roots.withColumnRenamed("node", "_c"), "_c", "left").withColumn("root", F.coalesce("root", "_c"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_m").alias("component_id")), "root").select("_c", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("_m").alias("component_id")), "root").select("_c", "component_id", F.col("root").alias("_root"))
     out = found.join(named, "_c", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_shingles", "component_id", "_c")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_shingles", "component_id", "_root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one with the smallest id stays (a null id only
+    if there is no other), of rows that repeat one, and every row with an empty set."""
+    row, key = free_name(docs, "_row"), ["_d", "_t"]
+    keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(row), *row_keys(id_col, text_col), quoted(id_col).alias("_i"), quoted(text_col).alias("_x"))
+    found = near_duplicates(keyed.select(*key, "_i", "_x"), "_i", "_x", key, size, percent)
+    order = F.struct((F.col("_d") == -(2**63)).alias("no_id"), *key)
+    chosen = found.where("_root is not null").groupBy("_root").agg(F.min(order).alias("k")).select("k._d", "k._t", F.lit(False).alias("empty"))
+    empty = found.where("_root is null").select(*key, F.lit(True).alias("empty")).distinct()
+    held = keyed.select(row, *key).join(materialize(chosen.unionByName(empty), "jaccard-chosen"), key)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("empty"))
+    return held.withColumn("turn", turn).where("empty or turn = 1").select(f"{row}.*")

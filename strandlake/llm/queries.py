@@ -7,18 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup
+from strandlake.llm import (
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    license_scan,
+    mixing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from strandlake.llm.common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shard it ends up in."""
+    return sharding.placed(*sharding.shard(table(spark, sf_dir, "documents")), keep=["doc_id", "n_chars"])
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found, s = toxicity.toxicity(docs, model, keep=["doc_id"])
+    score = F.col(s)["score"]
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.lit(quality_rules.mask(quality_rules.BASE))
     return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), quality_rules.passes(F.col("failed")).alias("kept"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, s = html_extract.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col(s)["text"].alias("text"), F.col(s)["n_chars"].alias("n_chars"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("_c")
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("_root")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path, so the source is a repository and ranges of ids are its directories."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), "doc_id")
+    return license_scan.scan(table(spark, sf_dir, "documents"), path, keep=["doc_id"]).select("row.doc_id", "path", "license", "score", "basis", "license_dir")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op5_jaccard_join, op7_decontaminate, op8_suffix_dedup, op9_mixing, op10_substring_dedup)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
