@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from strandlake.functions import codec as C
+from strandlake.functions import expr as E
+from strandlake.functions.errors import UsageError
 
 HEADER_FIELDS = tuple(C.FrameHeader.__dataclass_fields__)
 ENCODED = StructType([StructField(f, LongType()) for f in (*HEADER_FIELDS, "bases")] + [StructField(c, BinaryType()) for c in ("ids", "seqs", "quals")])
@@ -22,12 +24,26 @@ def unsigned(v: int) -> int:
     return v & ((1 << 64) - 1)
 
 
-def encode_frames(framed: DataFrame) -> DataFrame:
-    """One row for each frame of reads with frame_id; a frame is a group of bounded size, encoded by one task."""
+def admit(raw: tuple[int, int, int], n: int, text: int, memory: int) -> None:
+    limit = min(E.MAX_FRAME, (memory - E.RESERVE) // 4)
+    if max(raw) > limit:
+        raise UsageError("a stream is larger than the limit")
+    bound = sum(x + x + (x >> 8) + ((131072 - x) >> 11 if x < 131072 else 0) for x in raw)
+    if E.RESERVE + 2 * E.RECORD_BYTES * n + text + 4 * n + bound > memory:
+        raise UsageError("a frame needs more memory than the limit")
+
+
+def encode_frames(framed: DataFrame, memory: int | None = None) -> DataFrame:
+    """One row for each frame of reads with frame_id; a frame is a group of bounded size, encoded by one task.
+
+    With `memory`, frames that would need more than so many bytes fail.
+    """
 
     def encode(table: pa.Table) -> pa.Table:
         table = table.sort_by("read_no")
         h, bases, *data = C.encode_frame(table.column("frame_id")[0].as_py(), *(table.column(c) for c in ("id", "comment", "sequence", "quality")))
+        if memory is not None:
+            admit((h.raw_ids, h.raw_seq, h.raw_qual), h.record_count, table.nbytes, memory)
         values = [getattr(h, f) for f in HEADER_FIELDS]
         values[-1] = signed(values[-1])
         return pa.table([*(pa.array([v], pa.int64()) for v in (*values, bases)), *(pa.array([x], pa.binary()) for x in data)], names=[f.name for f in ENCODED])
