@@ -15,8 +15,7 @@ Result. If a whole block occurs twice, all its windows are repeats. Where one su
 of several kinds, their windows are sorted once more, each as a suffix of its own (of a repeated
 block, those of one copy). All else is unique.
 
-Hot keys: a slice of text sends one suffix of a kind, however often it has it (see asked() in
-substring_dedup). Texts are shuffled once; only those with repeats are written and moved again.
+Hot keys: of equal suffixes that a task holds at once, one is compared for all. Texts are shuffled once; only those with repeats are written and moved again.
 
 Defined results: null and empty texts have no bytes; texts below 400 bytes lose nothing; rows
 that repeat are repeats of one another.
@@ -31,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm.common import materialize, quoted, row_keys
 
@@ -43,7 +43,11 @@ GRAM = 16
 SAMPLE_DOCS, SAMPLE_SUFFIXES = 1500, 40
 
 KEYS = ["k0", "k1", "k2"]
-ROWS = "bucket int, k0 long, k1 long, k2 long, salt long, _d long, _t int, pos int, n int, known byte"
+#: A suffix: its three tokens, its text, its block's first window and windows. known 0: compare; 1: a repeat already,
+#: bears witness; 2: a repeat already.
+SUFFIX = {"k0": np.int64, "k1": np.int64, "k2": np.int64, "d": np.int64, "t": np.int32, "pos": np.int32, "n": np.int32, "known": np.int8}
+#: Kinds of places: a repeated block or window; an open block.
+GONE, OPEN = 0, 1
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 2048) -> np.ndarray:
@@ -109,16 +113,22 @@ def block_suffixes(buf: np.ndarray, offsets: np.ndarray, length: int, spread: in
     return row, low - offsets[row], count, lead(buf, suffix), K.signed(k1), K.signed(k2)
 
 
-def asked(row, pos, n, k0, k1, k2, d, t, splitters) -> pa.RecordBatch:
-    """Suffixes with their buckets; of equal ones one bears witness (known 0 or 1), the others come along (known 2)."""
-    first, count = K.first_of_each(k0, k1, k2)
+def salt_of(r: X.Record) -> np.ndarray:
+    return K.signed(K.mix((r["d"] ^ (r["pos"].astype(np.int64) << 20)).view(np.uint64) + r["t"].astype(np.int64).view(np.uint64)))
+
+
+def deal(r: X.Record, splitters: np.ndarray) -> tuple[X.Record, np.ndarray]:
+    """Suffixes with their buckets; of equal ones one is compared, the others only come along."""
+    first, count = K.first_of_each(*(r[c] for c in KEYS))
     known = np.where(count > 1, np.where(first, 1, 2), 0).astype(np.int8)
-    salt = K.signed(K.mix((d[row].astype(np.int64) ^ (pos << 20)).view(np.uint64) + t[row].astype(np.int64).view(np.uint64)))
-    bucket = bucket_of([k0, k1, k2, salt], splitters)
-    loose = known == 2
-    if len(splitters) and loose.any():
-        bucket[loose] = (salt[loose].view(np.uint64) % np.uint64(len(splitters) + 1)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket.astype(np.int32), k0, k1, k2, salt, d[row], t[row], pos.astype(np.int32), n.astype(np.int32), known)], names=["bucket", *KEYS, "salt", "_d", "_t", "pos", "n", "known"])
+    salt = salt_of(r)
+    bucket = bucket_of([*(r[c] for c in KEYS), salt], splitters)
+    loose = (salt.view(np.uint64) % np.uint64(len(splitters) + 1)).astype(np.int64)
+    return r | {"known": known}, np.where(known == 2, loose, bucket)
+
+
+def suffixes(row, pos, n, k0, k1, k2, d, t) -> X.Record:
+    return dict(zip(SUFFIX, (k0, k1, k2, d[row], t[row], pos.astype(np.int32), n.astype(np.int32), np.zeros(len(row), np.int8))))
 
 
 def bucket_of(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
@@ -141,83 +151,114 @@ def bucket_of(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
     return high
 
 
-def suffix_rows(length: int, spread: int, gram: int, splitters: np.ndarray, most: int = 0):
-    """mapInArrow over (_d, _t, _text): blocks as suffixes. With `most`, so many of each slice for the sample."""
+def block_records(length: int, spread: int, gram: int):
+    """Over batches of (_d, _t, _text): the suffixes of all blocks; `most` thins them to so many a text."""
 
-    def run(batches):
+    def run(batches, most=0):
         for b in batches:
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for row, end, buf, offsets in K.slices(K.string_column(b.column(2))):
                 made = block_suffixes(buf, offsets, length, spread, gram)
-                if most and len(made[0]) > most * (end - row):
-                    made = tuple(x[:: len(made[0]) // (most * (end - row)) + 1] for x in made)
-                yield asked(*made, d[row:end], t[row:end], splitters)
+                yield suffixes(*(x[:: thin(len(made[0]), end - row, most)] for x in made), d[row:end], t[row:end])
 
     return run
 
 
-def window_rows(length: int, splitters: np.ndarray, most: int = 0):
-    """mapInArrow over (_d, _t, _text, pos, n): the windows of open blocks as suffixes."""
+def window_records(length: int):
+    """Over batches of (_d, _t, _text, _places): the suffixes of the windows of open blocks."""
 
-    def run(batches):
+    def run(batches, most=0):
         for b in batches:
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            opened = b.column(3).to_pylist()
+            found = b.column(3).to_pylist()
             for row, end, buf, offsets in K.slices(K.string_column(b.column(2))):
-                own = np.array([(i - row, x["pos"], x["n"]) for i in range(row, end) for x in opened[i]], np.int64).reshape(-1, 3)
-                at = K.ranges(offsets[own[:, 0]] + own[:, 1], own[:, 2])
-                r = np.repeat(own[:, 0], own[:, 2])
-                if most and len(at) > most * (end - row):
-                    step = len(at) // (most * (end - row)) + 1
-                    at, r = at[::step], r[::step]
+                r, at = opened(found[row:end], offsets)
+                step = thin(len(at), end - row, most)
+                at, r = at[::step], r[::step]
                 k1, k2 = (K.signed(K.byte_spans(buf, lane)(at, at + length)) for lane in (0, 1))
-                yield asked(r, at - offsets[r], np.ones(len(at), np.int64), lead(buf, at), k1, k2, d[row:end], t[row:end], splitters)
+                yield suffixes(r, at - offsets[r], np.ones(len(at), np.int64), lead(buf, at), k1, k2, d[row:end], t[row:end])
 
     return run
 
 
-def sample_splitters(sample: DataFrame, rows, parts: int) -> np.ndarray:
-    """parts - 1 splitters from the suffixes of a bounded sample."""
-    if parts < 2:
-        return np.zeros((0, 4), np.int64)
-    found = sample.mapInArrow(rows, ROWS).where("known < 2").select(*KEYS, "salt").toArrow()
+def opened(found: list[bytes | None], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, windows) of the open blocks of texts that begin at these places."""
+    own = [(p[k == OPEN], n[k == OPEN]) for p, n, k in map(X.places, found)]
+    block = np.repeat(np.arange(len(own)), [len(p) for p, _ in own])
+    n = np.concatenate([n for _, n in own])
+    return np.repeat(block, n), K.ranges(begin[block] + np.concatenate([p for p, _ in own]), n)
+
+
+def gone(*found: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, first windows, windows) of the repeated blocks; found has a list for each sort."""
+    own = [(i, p[k == GONE], n[k == GONE]) for places in found for i, x in enumerate(places) for p, n, k in [X.places(x)]]
+    return np.repeat([i for i, _, _ in own], [len(p) for _, p, _ in own]), np.concatenate([p for _, p, _ in own]), np.concatenate([n for _, _, n in own])
+
+
+def thin(n: int, texts: int, most: int) -> int:
+    return n // (most * texts) + 1 if most else 1
+
+
+def sample_splitters(sample: DataFrame, records, parts: int) -> np.ndarray:
+    """parts - 1 splitters from at most SAMPLE_SUFFIXES suffixes of each text of a bounded sample."""
+
+    def run(batches):
+        for r in records(batches, SAMPLE_SUFFIXES):
+            yield pa.RecordBatch.from_arrays([*(pa.array(r[c]) for c in KEYS), pa.array(salt_of(r))], names=[*KEYS, "salt"])
+
+    found = sample.mapInArrow(run, "k0 long, k1 long, k2 long, salt long").toArrow()
     keys = np.stack([found.column(c).to_numpy() for c in [*KEYS, "salt"]], 1).reshape(-1, 4).astype(np.int64)
-    if not len(keys):
+    if not len(keys) or parts < 2:
         return np.zeros((0, 4), np.int64)
     keys = keys[np.lexsort(keys.T[::-1])]
     return keys[(np.arange(1, parts) * len(keys)) // parts]
 
 
-BUCKET = "bucket int, side byte, k0 long, k1 long, k2 long, _d long, _t int, pos int, n int, twice boolean, near boolean"
-
-
-def sort_buckets(batches):
-    """One bucket: sort, compare neighbours. Keeps suffixes that are repeats, and both ends of the bucket."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    known = t.column("known").to_numpy()
-    a, loose = t.filter(pa.array(known < 2)), t.filter(pa.array(known == 2))
-    if loose.num_rows:
-        yield from pieces(loose, np.zeros(loose.num_rows, np.int8), np.ones(loose.num_rows, bool), np.zeros(loose.num_rows, bool))
-    if not a.num_rows:
-        return
-    k = [a.column(c).to_numpy() for c in KEYS]
-    order = multikey_quicksort(k)
-    k = [x[order] for x in k]
-    like = (k[0][1:] == k[0][:-1]) & (k[1][1:] == k[1][:-1])
-    equal = like & (k[2][1:] == k[2][:-1])
-    twice = neighbours(equal) | (a.column("known").to_numpy()[order] == 1)
-    # Windows are asked for of each kind of block, once for a repeated one, where a suffix begins several kinds.
-    first, run = np.append(True, ~equal), np.cumsum(np.append(True, ~like)) - 1
-    several = (np.bincount(run, first) > 1) | np.isin(np.arange(run[-1] + 1), [0, run[-1]])
-    near = (first | ~twice) & several[run] & (np.bincount(run) > 1)[run]
-    side = np.zeros(len(order), np.int8)
-    side[0] |= 1
-    side[-1] |= 2
-    hold = near | twice | (side > 0)
-    yield from pieces(a.take(pa.array(order[hold])), side[hold], twice[hold], near[hold])
+#: What a bucket gives: packed places for the texts (end 0), and its first (1) and last (2) suffix or only one (3).
+BUCKET = "bucket int, data binary, end byte, own int, k0 long, k1 long, k2 long, d long, t int, pos int, n int, twice boolean, near boolean"
+
+
+def sort_bucket(parts: int):
+    """mapInArrow over one bucket: sort, compare neighbours."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        own = batches[0].column(0)[0].as_py()
+        r = X.unpacked(batches, SUFFIX)
+        loose = r["known"] == 2
+        a = {c: x[~loose] for c, x in r.items()}
+        order = multikey_quicksort([a[c] for c in KEYS])
+        a = {c: x[order] for c, x in a.items()}
+        places = [{"d": r["d"][loose], "t": r["t"][loose], "pos": r["pos"][loose], "n": r["n"][loose], "kind": np.full(int(loose.sum()), GONE, np.int8)}]
+        if len(order):
+            step = [a[c][1:] == a[c][:-1] for c in KEYS]
+            like = step[0] & step[1]
+            equal = like & step[2]
+            twice = neighbours(equal) | (a["known"] == 1)
+            # Windows are asked for of each kind of block, once for a repeated one, where a suffix begins several kinds.
+            first, group = np.append(True, ~equal), np.cumsum(np.append(True, ~like)) - 1
+            size = np.bincount(group)
+            several = (np.bincount(group, first) > 1) | np.isin(np.arange(group[-1] + 1), [0, group[-1]])
+            near = (first | ~twice) & (several & (size > 1))[group]
+            end = np.zeros(len(order), np.int8)
+            end[0] |= 1
+            end[-1] |= 2
+            for hit, kind in ((twice, GONE), (near, OPEN)):
+                hit = hit & (end == 0)
+                places.append({"d": a["d"][hit], "t": a["t"][hit], "pos": a["pos"][hit], "n": a["n"][hit], "kind": np.full(int(hit.sum()), kind, np.int8)})
+            i = np.flatnonzero(end)
+            none = pa.nulls(len(i), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int32()), none, pa.array(end[i]), pa.array(np.full(len(i), own, np.int32)), *(pa.array(a[c][i]) for c in (*KEYS, "d", "t", "pos", "n")), pa.array(twice[i]), pa.array(near[i])], names=names)
+        out = X.concat(places)
+        if len(out["d"]):
+            b = X.pack(out, X.by_text(out, parts))
+            rest = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int8)), *rest], names=names)
+
+    names = [x.split()[0] for x in BUCKET.split(", ")]
+    return run
 
 
 def neighbours(same: np.ndarray) -> np.ndarray:
@@ -227,54 +268,39 @@ def neighbours(same: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(t: pa.Table, side, twice, near):
-    cols = [t.column("bucket"), side, *(t.column(c) for c in [*KEYS, "_d", "_t", "pos", "n"]), twice, near]
-    names = ["bucket", "side", *KEYS, "_d", "_t", "pos", "n", "twice", "near"]
-    yield from pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=names).combine_chunks().to_batches(50_000)
-
-
-def suffix_sort(source: DataFrame, rows, sample: DataFrame, sample_rows, name: str) -> DataFrame:
-    """_d, _t, pos, n of the suffixes that equal another (twice) or whose windows must be asked for (near)."""
+def suffix_sort(source: DataFrame, records, rows: int, parts: int, name: str) -> DataFrame:
+    """(_d, _t, _places): of each text the blocks that another block equals (GONE) and those whose windows must be
+    asked for (OPEN); a repeated block may be open as a witness for others."""
     spark = source.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = sample_splitters(sample, sample_rows, parts)
-    dealt = source.mapInArrow(rows(splitters), ROWS).repartitionById(parts, F.col("bucket"))
-    done = materialize(dealt.mapInArrow(sort_buckets, BUCKET), name)
-    ends = done.where("side > 0").orderBy("bucket", "side").collect()  # two rows of a bucket at most
-    fixed, run = [], []
+    sample = source.sample(SAMPLE_DOCS / rows, 7) if rows > SAMPLE_DOCS else source
+    splitters = sample_splitters(sample, records, parts)
+    blocks = source.mapInArrow(lambda batches: X.packed(records(batches), lambda r: deal(r, splitters)), X.BLOCKS)
+    done = materialize(X.dealt(blocks, parts).mapInArrow(sort_bucket(parts), BUCKET), name)
+    ends = done.where("end > 0").drop("bucket", "data").orderBy("own", "end").collect()  # two rows of a bucket at most
+    fixed = []
     for i, r in enumerate(ends):
-        before, after = (ends[j] if 0 <= j < len(ends) else None for j in (i - 1, i + 1))
-        same = lambda o, keys: o is not None and all(r[c] == o[c] for c in keys)
-        twice = r.twice or same(before, KEYS) or same(after, KEYS)
-        near = r.near or same(before, KEYS[:2]) or same(after, KEYS[:2])
-        if near or twice:
-            fixed.append((r._d, r._t, r.pos, r.n, twice, near))
-    inner = done.where("side = 0").select("_d", "_t", "pos", "n", "twice", "near")
-    return inner.unionByName(spark.createDataFrame(fixed, inner.schema)) if fixed else inner
-
-
-def spans(rows: DataFrame) -> DataFrame:
-    """Per text its repeated blocks and its open blocks; a repeated block may be open as a witness for others."""
-    block = F.struct("pos", "n")
-    return rows.groupBy("_d", "_t").agg(
-        F.sort_array(F.collect_set(F.when(F.col("twice"), block))).alias("_gone"),
-        F.sort_array(F.collect_set(F.when(F.col("near"), block))).alias("_open"),
-    )
+        around = [ends[j] for j in (i - 1, i + 1) if 0 <= j < len(ends)]
+        like = lambda keys: any(all(r[c] == o[c] for c in keys) for o in around)  # noqa: B023,E731
+        fixed += [(r.d, r.t, r.pos, r.n, kind) for kind, hit in ((GONE, r.twice or like(KEYS)), (OPEN, r.near or like(KEYS[:2]))) if hit]
+    places = done.where("end = 0").select("bucket", "data")
+    if fixed:
+        late = {c: np.array(x, t) for (c, t), x in zip(X.PLACES.items(), zip(*fixed))}
+        places = places.unionByName(spark.createDataFrame(pa.Table.from_batches([X.pack(late, X.by_text(late, parts))])))
+    return X.gather_places(places, parts)
 
 
 def split(names: list[str], n_keep: int):
     def run(batches):
         for b in batches:
-            text, gone, opened = (b.column(n_keep + i) for i in range(3))
-            text = K.string_column(text)
-            has = gone.is_valid().to_numpy(zero_copy_only=False)
+            text, found = K.string_column(b.column(n_keep)), b.column(n_keep + 1)
+            has = found.is_valid().to_numpy(zero_copy_only=False)
             sizes, sha = [], []
             for i, busy in enumerate(has):
                 data = None if busy else text[i].as_buffer().to_pybytes()
                 sizes.append(None if busy else len(data))
                 sha.append(None if busy else hashlib.sha256(data).hexdigest())
             kept = pa.compute.if_else(pa.array(has), text, pa.scalar(None, text.type))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_keep)), kept, gone, opened, pa.array(sizes, pa.int64()), pa.array(sha, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n_keep)), kept, found, pa.array(sizes, pa.int64()), pa.array(sha, pa.string())], names=names)
 
     return run
 
@@ -283,15 +309,15 @@ def cut(n_keep: int, length: int, names: list[str], with_bytes: bool):
     def run(batches):
         for b in batches:
             text = K.string_column(b.column(n_keep))
-            gone, more = b.column(n_keep + 1).to_pylist(), b.column(n_keep + 2).to_pylist()
+            found, more = b.column(n_keep + 1).to_pylist(), b.column(n_keep + 2).to_pylist()
             n_bytes, sha = b.column(n_keep + 3).to_pylist(), b.column(n_keep + 4).to_pylist()
             n_removed, n_spans, kept = [0] * len(sha), [0] * len(sha), [None] * len(sha)
             for i in range(len(sha)):
                 if sha[i] is not None:
                     continue
                 data = np.frombuffer(text[i].as_buffer(), np.uint8)
-                own = np.array([(x["pos"], x["n"]) for x in [*gone[i], *(more[i] or ())]], np.int64).reshape(-1, 2)
-                out = K.covered(len(data), own[:, 0], own[:, 0] + own[:, 1] - 1 + length)
+                _, begin, n = gone([found[i]], [more[i]])
+                out = K.covered(len(data), begin, begin + n - 1 + length)
                 left = data[~out].tobytes()
                 n_bytes[i], n_removed[i], sha[i] = len(data), int(out.sum()), hashlib.sha256(left).hexdigest()
                 n_spans[i] = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
@@ -314,30 +340,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], *row_keys(id_col, text_col), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     texts = base.select("_d", "_t", "_text")
     total = docs.count()
-    none = np.zeros((0, 4), np.int64)
-    blocks = suffix_sort(
-        texts,
-        lambda s: suffix_rows(length, spread, gram, s),
-        texts.sample(min(1.0, SAMPLE_DOCS / max(total, 1)), 7) if total > SAMPLE_DOCS else texts,
-        suffix_rows(length, spread, gram, none, SAMPLE_SUFFIXES),
-        "suffix-blocks",
-    )
+    parts = X.bucket_count(docs, total)
+    blocks = suffix_sort(texts, block_records(length, spread, gram), total, parts, "suffix-blocks")
     held = ["_d", "_t", *names]
-    block = ArrayType(StructType([StructField("pos", IntegerType()), StructField("n", IntegerType())]))
-    step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_gone", block), StructField("_open", block), StructField("n_bytes", LongType()), StructField("sha", StringType())])
-    joined = base.join(spans(blocks), ["_d", "_t"], "left").select(*held, "_text", "_gone", "_open")
-    parts = materialize(joined.mapInArrow(split(step.names, len(held)), step), "suffix-parts")
-    opened = parts.where("_text is not null and size(_open) > 0").select("_d", "_t", "_text", "_open")
-    n_open = opened.count()
-    windows = suffix_sort(
-        opened,
-        lambda s: window_rows(length, s),
-        opened.sample(min(1.0, SAMPLE_DOCS / max(n_open, 1)), 7) if n_open > SAMPLE_DOCS else opened,
-        window_rows(length, none, SAMPLE_SUFFIXES),
-        "suffix-windows",
-    ).where("twice")
-    more = windows.groupBy("_d", "_t").agg(F.collect_set(F.struct("pos", "n")).alias("_more"))
-    last = parts.join(more, ["_d", "_t"], "left").select(*names, "_text", "_gone", "_more", "n_bytes", "sha")
+    step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_bytes", LongType()), StructField("sha", StringType())])
+    joined = base.join(blocks, ["_d", "_t"], "left").select(*held, "_text", "_places")
+    settled = materialize(joined.mapInArrow(split(step.names, len(held)), step), "suffix-texts")
+    opened = settled.where("_text is not null").select("_d", "_t", "_text", "_places")
+    windows = suffix_sort(opened, window_records(length), opened.count(), parts, "suffix-windows").withColumnRenamed("_places", "_more")
+    last = settled.join(windows, ["_d", "_t"], "left").select(*names, "_text", "_places", "_more", "n_bytes", "sha")
     out = StructType([base.schema[n] for n in names] + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept_bytes", BinaryType())])
     done = last.mapInArrow(cut(len(names), length, to_arrow_schema(out).names, with_bytes), out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
