@@ -3,8 +3,9 @@
 D is a difference cover modulo v: for any two places i and j some shift below v moves both into
 places that D marks. So if the same 35 words begin at i and at j, the two runs share an aligned
 anchor, and it is enough to hash the 35 - v + 1 words that follow marked places (a quarter of
-all). Anchors that occur twice are extended: the windows around them are hashed in full with 128
-bits, and a window whose hash occurs twice is a repeat.
+all). Anchors that occur twice are extended to the windows around them. Runs of such windows that
+occur twice as a whole are repeats; where runs are only alike (at the ends of a passage), their
+windows are hashed in full with 128 bits, and a window whose hash occurs twice is a repeat.
 
 Hot keys: of equal keys that a task holds at once, one asks for all, so a passage that a third of
 all documents share gives as many questions as there are tasks. Texts are
@@ -28,6 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
+from strandlake.llm import suffix_dedup as S
 from strandlake.llm.common import materialize, quoted, row_keys
 
 WINDOW = 35
@@ -102,10 +104,12 @@ def anchor_blocks(window: int, v: int, parts: int):
     return lambda batches: X.packed(anchors(batches), lambda r: ask(r, parts))
 
 
-def window_blocks(window: int, v: int, parts: int):
-    """mapInArrow over (_d, _t, _text, _places): the windows around repeated anchors."""
+def run_records(window: int, v: int):
+    """Over batches of (_d, _t, _text, _places): runs of windows around repeated anchors. A window's first v places
+    decide by their smallest hash of three words where its run begins, so equal windows lie in alike runs."""
+    gram = min(3, window - v + 1)
 
-    def windows(batches):
+    def run(batches, most=0):
         for b in batches:
             d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             found = b.column(3).to_pylist()
@@ -117,7 +121,31 @@ def window_blocks(window: int, v: int, parts: int):
                 near = K.covered(len(w), np.maximum(anchor - v + 1, lowest), anchor + 1)
                 at = w.windows(window)
                 at = at[near[at]]
-                own = w.doc_of()[at]
+                if not len(at):
+                    continue
+                spans, own = w.spans(), w.doc_of()
+                grams = np.arange(len(w) - gram + 1)
+                where = S.sliding_argmin(spans(grams, grams + gram), v)[at]
+                begin = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1) | (own[at[1:]] != own[at[:-1]])))
+                count = np.diff(np.append(begin, len(at)))
+                low, where = at[begin], where[begin]
+                k1, k2 = spans(where, where + window - v + 1), w.spans(1)(low, low + count - 1 + window)
+                made = (own[low], low - w.first[own[low]], count, K.signed(w.hashes()[where]), K.signed(k1), K.signed(k2))
+                yield S.suffixes(*(x[:: S.thin(len(low), end - row, most)] for x in made), d[row:end], t[row:end])
+
+    return run
+
+
+def window_blocks(window: int, parts: int):
+    """mapInArrow over (_d, _t, _text, _places): the windows of open runs."""
+
+    def windows(batches):
+        for b in batches:
+            d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found = b.column(3).to_pylist()
+            for row, end, buf, offsets in K.slices(K.string_column(b.column(2))):
+                w = K.Tokens(buf, offsets, K.NON_SPACE, lower=False)
+                own, at = S.opened(found[row:end], w.first)
                 yield asking(w.spans(0)(at, at + window), w.spans(1)(at, at + window), d[row:end][own], t[row:end][own], at - w.first[own])
 
     return lambda batches: X.packed(windows(batches), lambda r: ask(r, parts))
@@ -144,15 +172,14 @@ def split(names: list[str], n_keep: int):
 def cut(n_keep: int, window: int, schema, with_text: bool):
     def run(batches):
         for b in batches:
-            text, starts = K.string_column(b.column(n_keep)), b.column(n_keep + 1).to_pylist()
-            n_words = b.column(n_keep + 2).to_pylist()
-            sha = b.column(n_keep + 3).to_pylist()
+            text = K.string_column(b.column(n_keep))
+            runs, more, n_words, sha = (b.column(n_keep + i).to_pylist() for i in (1, 2, 3, 4))
             n_removed, texts = [0] * len(text), [None] * len(text)
             for row, end, buf, offsets in K.slices(text):
                 w = K.Tokens(buf, offsets, K.NON_SPACE, lower=False)
-                at = [X.places(x)[0] for x in starts[row:end]]
-                begin = np.concatenate(at) + np.repeat(w.first[:-1], [len(x) for x in at])
-                gone = K.covered(len(w), begin, begin + window)
+                own, begin, n = S.gone(runs[row:end], more[row:end])
+                begin += w.first[own]
+                gone = K.covered(len(w), begin, begin + n - 1 + window)
                 data = buf.tobytes()
                 for i in range(row, end):
                     a, z = w.first[i - row], w.first[i - row + 1]
@@ -184,9 +211,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = ["_d", "_t", *names]
     step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_words", LongType()), StructField("sha", StringType())])
     settled = materialize(joined.select(*held, "_text", "_places").mapInArrow(split(step.names, len(held)), step), "substring-parts")
-    opened = settled.where("_text is not null").select("_d", "_t", "_text", "_places")
-    windows = repeated(opened.mapInArrow(window_blocks(window, v, parts), X.BLOCKS), parts).withColumnRenamed("_places", "_w")
+    near = settled.where("_text is not null")
+    runs = S.suffix_sort(near.select("_d", "_t", "_text", "_places"), run_records(window, v), near.count(), parts, "substring-runs")
+    runs = materialize(runs, "substring-places")
+    opened = near.drop("_places").join(runs, ["_d", "_t"]).select("_d", "_t", "_text", "_places")
+    windows = repeated(opened.mapInArrow(window_blocks(window, parts), X.BLOCKS), parts).withColumnRenamed("_places", "_w")
     out = StructType([StructField(c, base.schema[n].dataType) for c, n in zip(names, names)] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])
-    last = settled.join(windows, ["_d", "_t"], "left").select(*names, "_text", "_w", "n_words", "sha")
+    last = settled.drop("_places").join(runs, ["_d", "_t"], "left").join(windows, ["_d", "_t"], "left").select(*names, "_text", "_places", "_w", "n_words", "sha")
     done = last.mapInArrow(cut(len(names), window, to_arrow_schema(out), with_text), out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_removed", "kept_sha256", "kept_text")
