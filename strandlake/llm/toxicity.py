@@ -38,7 +38,9 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown"
 #: Least and greatest length of a word beginning.
 SHORTEST, LONGEST = 3, 9
 #: An entry is in this share of the toxic training texts at least, and in this many.
-SHARE, FEWEST = 0.01, 8
+SHARE, FEWEST = 0.025, 4
+#: How often a feature counts in one text at most when it is weighted, so that a text that repeats a word says no more.
+MOST_PER_TEXT = 4
 #: Least logarithm of the ratio of rates, and how much more a longer beginning must have than a shorter.
 RATIO, GAIN = 2.0, 1.0
 
@@ -122,11 +124,11 @@ def hits(automaton, text: str) -> tuple[float, int]:
 
 
 def measure(total: float, n: int) -> tuple[float, ...]:
-    return total / (n + 20), math.log1p(total), total / math.sqrt(n + 1), math.log1p(n)
+    return total / (n + 20), math.log1p(total), total / math.sqrt(n + 1)
 
 
 def score(model: Model, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    x = np.array([measure(a, b) for a, b in zip(total.tolist(), n.tolist())]).reshape(-1, 4)
+    x = np.array([measure(a, b) for a, b in zip(total.tolist(), n.tolist())]).reshape(-1, 3)
     z = ((x - model.mean) / model.scale) @ np.array(model.weights[:-1]) + model.weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -162,7 +164,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def count_terms(batches):
-    """mapInArrow over (text, y): how often and in how many texts of a kind each feature is."""
+    """mapInArrow over (text, y): how often (see MOST_PER_TEXT) and in how many texts of a kind each feature is."""
     n = [Counter(), Counter()]
     texts = [Counter(), Counter()]
     for b in batches:
@@ -172,10 +174,9 @@ def count_terms(batches):
             for word, times in Counter(_WORD.findall(fold(text))).items():
                 for f in features(word):
                     seen[f] += times
-                n[y][""] += times
-            n[y].update(seen)
+            n[y].update({f: min(times, MOST_PER_TEXT) for f, times in seen.items()})
             texts[y].update(dict.fromkeys([*seen, ""], 1))
-    keys = list(n[0].keys() | n[1].keys())
+    keys = list(texts[0].keys() | texts[1].keys())
     for low in range(0, len(keys), 50_000):
         part = keys[low : low + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[k] for k in part], pa.int64()) for c in (n[0], n[1], texts[0], texts[1]))], names=["f", "n0", "n1", "t0", "t1"])
@@ -187,24 +188,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = counts.where("f = ''").first()
     if whole is None or not whole.t0 or not whole.t1:
         share = 0.0 if whole is None or not whole.t1 else 1.0
-        return Model({}, [0.0] * 4, [1.0] * 4, [0.0] * 4 + [30.0 * (2 * share - 1)])
-    ratio = F.log((F.col("n1") + 0.5) / F.lit(float(whole.n1))) - F.log((F.col("n0") + 1.0) / F.lit(float(whole.n0)))
+        return Model({}, [0.0] * 3, [1.0] * 3, [0.0] * 3 + [30.0 * (2 * share - 1)])
+    ratio = F.log((F.col("n1") + 0.5) / F.lit(float(whole.t1))) - F.log((F.col("n0") + 1.0) / F.lit(float(whole.t0)))
     terms = counts.where((F.col("f") != "") & (F.col("t1") >= max(FEWEST, math.ceil(SHARE * whole.t1)))).withColumn("w", ratio).where(F.col("w") > RATIO)
     lexicon: dict[str, float] = {}
     for r in sorted(terms.select("f", "w").collect(), key=lambda r: (len(r.f), r.f)):
         shorter = [lexicon[r.f[:k]] for k in range(2, len(r.f)) if r.f[:k] in lexicon]
         if not shorter or r.w >= max(shorter) + GAIN:
             lexicon[r.f] = r.w
-    model = Model(lexicon, [0.0] * 4, [1.0] * 4, [0.0] * 5)
+    model = Model(lexicon, [0.0] * 3, [1.0] * 3, [0.0] * 4)
 
     def measured(batches):
         automaton = model.automaton()
         for b in batches:
             found = [measure(*hits(automaton, x)) for x in string_column(b.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.float64()) for i in range(4)), b.column(1)], names=["x0", "x1", "x2", "x3", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.float64()) for i in range(3)), b.column(1)], names=["x0", "x1", "x2", "y"])
 
-    got = rows.mapInArrow(measured, "x0 double, x1 double, x2 double, x3 double, y int").toArrow()  # at most `most` rows
-    x, y = np.stack([got.column(i).to_numpy() for i in range(4)], 1), (got.column(4).to_numpy() > 0).astype(float)
+    got = rows.mapInArrow(measured, "x0 double, x1 double, x2 double, y int").toArrow()  # at most `most` rows
+    x, y = np.stack([got.column(i).to_numpy() for i in range(3)], 1), (got.column(3).to_numpy() > 0).astype(float)
     order = np.lexsort((y, *x.T))  # the sums do not depend on the order of rows
     model.mean, model.scale = x[order].mean(0).tolist(), (x[order].std(0) + 1e-9).tolist()
     model.weights = logistic((x[order] - model.mean) / model.scale, y[order]).tolist()
