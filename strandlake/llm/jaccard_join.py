@@ -9,10 +9,14 @@ subsets of n2 - 1 of them finds one on which both sets agree. The hash of a set'
 subset is a signature. A set has signatures for its own band and for the next.
 
 Equal sets are one class; only classes are compared. Of the classes under a signature each is
-verified against the smallest (a star); classes that the links already connect need no more.
+compared with the smallest (a star); classes that the links already connect need no more.
 What a star leaves open - classes under one signature that no link connects - is compared
 pair by pair, in blocks (see `remainder`). No pairs are capped or sampled.
 
+A comparison begins with sketches: how many shingles a set has in each of n / 2 cells of the
+domain. Sets that differ in k shingles have sketches that differ by k at most, so a pair whose
+sketches differ by more cannot link. Only pairs that pass are verified on their texts.
+
 Parts of a set that are empty agree with each other and say nothing; there is one partition
 more than needed, so they are signed only for sets that have two or more of them.
 
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
@@ -118,20 +122,42 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate(sets), np.concatenate(found)
 
 
-CLASS = StructType([StructField("n_shingles", LongType()), StructField("c", LongType())])
+CLASS = StructType([StructField("n_shingles", LongType()), StructField("c", LongType()), StructField("sketch", BinaryType())])
+#: Cells of a sketch: a power of two between these.
+FEWEST_CELLS, MOST_CELLS = 64, 4096
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Counts (16 bits each) of each set's shingles by cell; null for an empty set."""
+    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) / 2)), FEWEST_CELLS, MOST_CELLS).astype(np.int64) * (sizes > 0)
+    begin = np.cumsum(cells) - cells
+    cell = (K.mix(h + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc] - 1)
+    counts = np.minimum(np.bincount(begin[doc] + cell, minlength=int(cells.sum())), 65535).astype(np.uint16).tobytes()
+    return [counts[2 * b : 2 * (b + n)] if n else None for b, n in zip(begin.tolist(), cells.tolist())]
+
+
+def folded(sketch: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint16).astype(np.int64).reshape(-1, cells).sum(0)
 
 
-def classify(size: int):
-    """fn for annotate(): the size of each text's set and its class (null if empty)."""
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    cells = min(len(a), len(b)) // 2
+    x, y = folded(a, cells), folded(b, cells)
+    return np.abs(x - y).sum() * (100 + percent) <= (x.sum() + y.sum()) * (100 - percent)
+
+
+def classify(size: int, sketched: bool = True):
+    """fn for annotate(): the size of each text's set, its class (null if empty) and its sketch."""
 
     def fn(column: pa.Array):
-        n, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, buf, offsets in K.slices(column):
+        n, c, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for row, end, buf, offsets in K.slices(column):
             doc, h, sizes = shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)
             n.append(sizes)
             c.append(class_keys(doc, h, sizes))
+            found += sketches(doc, h, sizes) if sketched else [None] * (end - row)
         n, c = np.concatenate(n), np.concatenate(c)
-        return [pa.array(n, pa.int64()), pa.array(c, pa.int64(), mask=n == 0)]
+        return [pa.array(n, pa.int64()), pa.array(c, pa.int64(), mask=n == 0), pa.array(found, pa.binary())]
 
     return fn
 
@@ -239,33 +265,40 @@ def verify(size: int, percent: int):
     return run
 
 
-def block_links(size: int, percent: int):
-    """mapInArrow over pairs of blocks (c, root and text of each member): the links between different roots."""
+def sketch_filter(percent: int):
+    """mapInArrow over (a, b, sketches): the pairs that may link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def block_pairs(percent: int):
+    """mapInArrow over pairs of blocks (c, root and sketch of each member): the pairs of different roots that may link."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                left, right = r["x"], r["y"]
-                members = left if r["same"] else left + right
-                texts = pa.array([m["text"] or "" for m in members], pa.large_string())
-                doc, h, sizes = shingle_sets(K.Tokens(*K.flat(texts), K.NON_SPACE, lower=True), size)
-                shingles, column = np.unique(h, return_inverse=True)
-                table = np.zeros((len(members), 4096), np.float32)
-                common = np.zeros((len(members), len(members)), np.float32)
-                for low in range(0, len(shingles), 4096):
-                    table[:] = 0
-                    here = (column >= low) & (column < low + 4096)
-                    table[doc[here], column[here] - low] = 1
-                    common += table @ table.T
-                i, j = np.nonzero(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
-                linked = [(members[x]["c"], members[y]["c"]) for x, y in zip(i.tolist(), j.tolist()) if x < y and members[x]["root"] != members[y]["root"]]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([y for _, y in linked], pa.int64())], names=["a", "b"])
+                members = r["x"] if r["same"] else r["x"] + r["y"]
+                cells = min(len(m["sketch"]) for m in members) // 2
+                table = np.stack([folded(m["sketch"], cells) for m in members])
+                sizes, roots, c = table.sum(1), np.array([m["root"] for m in members]), np.array([m["c"] for m in members])
+                a, b = [], []
+                for i in range(len(r["x"])):
+                    off = np.abs(table[i + 1 :] - table[i]).sum(1)
+                    j = i + 1 + np.flatnonzero((off * (100 + percent) <= (sizes[i + 1 :] + sizes[i]) * (100 - percent)) & (roots[i + 1 :] != roots[i]))
+                    a.append(np.minimum(c[i], c[j]))
+                    b.append(np.maximum(c[i], c[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
-def remainder(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links between classes under one signature that the stars left in different components.
+def remainder(shared: DataFrame, roots: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes under one signature that the stars left in different components and that may link.
 
     shared: see shared_signatures(); the centre of a whole star is compared with all. Classes are dealt to
     blocks of about BLOCK, those of a large component to blocks of their own; pairs of blocks are compared at
@@ -280,11 +313,11 @@ def remainder(shared: DataFrame, roots: DataFrame, texts: DataFrame, size: int,
     dealt = labelled.join(per_root.select("s", "root", "n"), ["s", "root"]).join(group, "s")
     number = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / F.lit(BLOCK))).cast("string")
     block = F.when(large, F.concat_ws(":", F.col("root").cast("string"), number("c", F.col("n")))).otherwise(F.concat_ws(":", F.lit("pool"), number("root", F.col("pool"))))
-    held = dealt.withColumn("b", block).join(texts, "c").groupBy("s", "b").agg(F.collect_list(F.struct("c", "root", "text")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    held = dealt.withColumn("b", block).join(drawn, "c").groupBy("s", "b").agg(F.collect_list(F.struct("c", "root", "sketch")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     other = held.select("s", *[F.col(c).alias(f"{c}2") for c in ("b", "x", "lo", "hi")])
     one_root = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
     pairs = held.join(other, "s").where((F.col("b") <= F.col("b2")) & ~one_root).select("x", F.col("x2").alias("y"), (F.col("b") == F.col("b2")).alias("same"))
-    return pairs.mapInArrow(block_links(size, percent), "a long, b long").distinct()
+    return pairs.mapInArrow(block_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -294,22 +327,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"_k{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
     found, s = annotate(base, "_text", CLASS, classify(size), [*names, "_id"], "_s")
-    found = materialize(found.select(*names, "_id", F.col(s)["n_shingles"].alias("n_shingles"), F.col(s)["c"].alias("_c")), "jaccard-classes")
+    found = materialize(found.select(*names, "_id", F.col(s)["n_shingles"].alias("n_shingles"), F.col(s)["c"].alias("_c"), F.col(s)["sketch"].alias("_sketch")), "jaccard-classes")
     rows = docs.count()
-    shared = shared_signatures(base.select("_text"), rows, X.bucket_count(docs, rows), size, percent)
-    shared = materialize(shared, "jaccard-shared")
+    shared = materialize(shared_signatures(base.select("_text"), rows, X.bucket_count(docs, rows), size, percent), "jaccard-shared")
     wanted = shared.where("split or c <> m").select(F.explode(F.array("c", "m")).alias("_c")).distinct()
-    holder = found.join(wanted, "_c").groupBy("_c").agg(F.min("_id").alias("_h"))
-    classed, s = annotate(base, "_text", CLASS, classify(size), ["_id", "_text"], "_s")
-    classed = classed.select("_id", F.col("_text").alias("text"), F.col(s)["c"].alias("c"))
-    texts = classed.join(holder, classed["_id"].eqNullSafe(holder["_h"]) & (classed["c"] == holder["_c"])).select("c", "text").dropDuplicates(["c"])
-    texts = materialize(texts, "jaccard-texts")
+    holder = materialize(found.join(wanted, "_c").groupBy("_c").agg(F.min("_id").alias("_h")), "jaccard-holders")
+    same = lambda t: t["_id"].eqNullSafe(holder["_h"]) & (t["c"] == holder["_c"])
+    one = found.select("_id", F.col("_c").alias("c"), F.col("_sketch").alias("sketch"))
+    drawn = materialize(one.join(holder, same(one)).select("c", "sketch").dropDuplicates(["c"]), "jaccard-sketches")
     centres = shared.where("split").select("s", "m").distinct().withColumn("a", F.min("m").over(Window.partitionBy("s")))
     stars = shared.where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(centres.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-    pairs = stars.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-    links = materialize(pairs.select("a", "b", "ta", "tb").mapInArrow(verify(size, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
-    roots = components(links, name="jaccard-stars")
-    more = materialize(remainder(shared, roots, texts, size, percent), "jaccard-remainder")
+    sides = [drawn.select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}")) for x in ("a", "b")]
+    stars = stars.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(sketch_filter(percent), "a long, b long")
+    stars = materialize(stars, "jaccard-stars")
+    classed, s = annotate(base, "_text", CLASS, classify(size, False), ["_id", "_text"], "_s")
+    classed = classed.select("_id", F.col("_text").alias("text"), F.col(s)["c"].alias("c"))
+    texts = materialize(classed.join(holder, same(classed)).select("c", "text").dropDuplicates(["c"]), "jaccard-texts")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+        return materialize(with_texts.select("a", "b", "ta", "tb").mapInArrow(verify(size, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), name)
+
+    links = verified(stars, "jaccard-links")
+    roots = components(links, name="jaccard-components")
+    rest = materialize(remainder(shared, roots, drawn, percent), "jaccard-rest")
+    more = verified(rest, "jaccard-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), name="jaccard-all")
     least = found.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_m"))
