@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialize
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(node, root) for each node of the links; root is the smallest node of its component.
+#: Links that one task may join by itself: 16 MB of ids. More are joined by tables.
+LOCAL_LINKS = 1 << 20
 
-    Each round links the larger neighbours of a node to its smallest neighbour, then the smaller
-    ones. Rounds are written tables; only two sums come to the driver. Self-links and nulls
-    are left out; no links give no rows.
+
+def union_find(batches):
+    """mapInArrow over all links (u, v), for tables of at most LOCAL_LINKS rows."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components", local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(node, root) for each node of the links (longs); root is the smallest node of its component.
+
+    Up to local_links distinct links one task joins them. Beyond, each round links the larger
+    neighbours of a node to its smallest neighbour, then the smaller ones, until nothing changes;
+    rounds are written tables, and only sums come to the driver. Self-links and nulls are left out;
+    no links give no rows.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     pairs, before = materialize(pairs, f"{name}-0"), None
+    if pairs.count() <= local_links:
+        return materialize(pairs.repartition(1).mapInArrow(union_find, "node long, root long"), f"{name}-roots")
     for i in range(1, 100):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

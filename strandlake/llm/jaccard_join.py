@@ -3,9 +3,9 @@
 Sets fall into size bands [l, r] with r = l / 0.9, so that similar sets lie in the same or in
 neighbouring bands. In a band, sets of Jaccard similarity 0.9 differ in at most
 k = 2r (1 - 0.9) / (1 + 0.9) shingles. The domain of shingles is cut into n1 first-level and in
-each n2 second-level partitions, so that some first-level partition holds at most k2 = 1 of the
-differences; then all second-level partitions but one are equal there, and enumerating the
-subsets of n2 - 1 of them finds one on which both sets agree. The hash of a set's part in such a
+each n2 second-level partitions, so that some first-level partition holds at most k2 of the
+differences; then all second-level partitions but k2 are equal there, and enumerating the
+subsets of n2 - k2 of them finds one on which both sets agree. The hash of a set's part in such a
 subset is a signature. A set has signatures for its own band and for the next.
 
 Equal sets are one class; only classes are compared. Of the classes under a signature each is
@@ -13,12 +13,14 @@ compared with the smallest (a star); classes that the links already connect need
 What a star leaves open - classes under one signature that no link connects - is compared
 pair by pair, in blocks (see `remainder`). No pairs are capped or sampled.
 
-A comparison begins with sketches: how many shingles a set has in each of n / 2 cells of the
+A comparison begins with sketches: how many shingles a set has in each of n cells of the
 domain. Sets that differ in k shingles have sketches that differ by k at most, so a pair whose
-sketches differ by more cannot link. Only pairs that pass are verified on their texts.
+sketches differ by more cannot link. Only pairs that pass are verified on their texts. Of each
+two components a block pair first gives only its closest pair; what the links from those leave
+open is then compared in full.
 
-Parts of a set that are empty agree with each other and say nothing; there is one partition
-more than needed, so they are signed only for sets that have two or more of them.
+Parts of a set that are empty agree with each other and say nothing; they are signed only for
+sets that have so many of them that all signatures two similar sets share could be empty.
 
 Defined results: null texts and texts without words have an empty set, and link to nothing; a
 null id never names a component, unless all ids of the component are null.
@@ -26,7 +28,9 @@ null id never names a component, unless all ids of the component are null.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,8 @@ from strandlake.llm.components import components
 
 SIZE = 3
 PERCENT = 90
-#: Classes in a block of the remainder.
-BLOCK = 64
+#: Classes in a block of the remainder, and how often it gives only the closest pairs before it gives all.
+BLOCK, ROUNDS = 64, 1
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int]]:
@@ -55,9 +59,24 @@ def bands(percent: int, up_to: int) -> list[tuple[int, int]]:
     return out
 
 
-def levels(k: int) -> tuple[int, int]:
-    """(n1, n2) for at most k differences; k2 = 1. Two or three second-level partitions: three while sets are small."""
-    return ((k + 2) // 2, 3) if k <= 3 else ((k + 3) // 2, 2)
+@cache
+def levels(k: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, sure) for at most k differences: first- and second-level partitions, differences in the best
+    first-level partition, and how many signatures two such sets share at least.
+
+    Of the ways with at most k + 16 signatures it is the one whose signatures cover most of a set. Sets that
+    differ much must share two signatures, so that a set with one empty part need not sign it.
+    """
+
+    def shared(n1: int, n2: int, k2: int) -> int:
+        each, more = divmod(k, n1)  # differences that are spread evenly spoil most signatures
+        agree = lambda d: comb(n2 - d, n2 - k2) if d <= k2 else 0
+        return (n1 - more) * agree(each) + more * agree(each + 1)
+
+    ways = [(n1, n2, k2) for k2 in range(min(k, 4) + 1) for n1 in (k // (k2 + 1) + 1, k // (k2 + 1) + 2) for n2 in range(k2 + 1, 9)]
+    ways = [w for w in ways if w[0] * comb(w[1], w[2]) <= k + 16 and shared(*w) >= (2 if k >= 12 else 1)]
+    best = max(ways, key=lambda w: ((w[1] - w[2]) / (w[0] * w[1]), -w[0] * comb(w[1], w[2])))
+    return *best, shared(*best)
 
 
 def shingle_sets(t: K.Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +116,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
             k = int(ks[b])
             if k == 0:  # similar sets of so few shingles are equal
                 continue
-            n1, n2 = levels(k)
+            n1, n2, k2, sure = levels(k)
             chosen = np.flatnonzero((own == b) & (sizes > 0))
             number = np.full(len(sizes), -1)
             number[chosen] = np.arange(len(chosen))
@@ -109,10 +128,10 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
             np.add.at(total, cell, K.mix(hs + np.uint64(0xD6E8FEB86659FD93)))
             filled = np.bincount(cell, minlength=len(total)).reshape(-1, n1, n2)
             total = total.reshape(-1, n1, n2)
-            subsets = list(combinations(range(n2), n2 - 1))
+            subsets = list(combinations(range(n2), n2 - k2))
             sums = np.stack([total[:, :, list(s)].sum(axis=2, dtype=np.uint64) for s in subsets], axis=2)
             some = np.stack([filled[:, :, list(s)].sum(axis=2) for s in subsets], axis=2) > 0
-            some |= (~some).sum(axis=(1, 2), keepdims=True) > 1
+            some |= (~some).sum(axis=(1, 2), keepdims=True) >= sure
             salt = K.mix(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64(int(b) << 32)).reshape(n1, -1)
             i, p, s = np.nonzero(some)
             sets.append(chosen[i])
@@ -123,25 +142,29 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
 
 
 CLASS = StructType([StructField("n_shingles", LongType()), StructField("c", LongType()), StructField("sketch", BinaryType())])
-#: Cells of a sketch: a power of two between these.
-FEWEST_CELLS, MOST_CELLS = 64, 4096
+#: Cells of a sketch: a power of two between these. Larger sets than MOST_SKETCHED have none and are always verified.
+FEWEST_CELLS, MOST_CELLS, MOST_SKETCHED = 64, 8192, 200_000
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
-    """Counts (16 bits each) of each set's shingles by cell; null for an empty set."""
-    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) / 2)), FEWEST_CELLS, MOST_CELLS).astype(np.int64) * (sizes > 0)
+    """Counts (8 bits each) of each set's shingles by cell; null for an empty or very large set."""
+    drawn = (sizes > 0) & (sizes <= MOST_SKETCHED)
+    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64) * drawn
     begin = np.cumsum(cells) - cells
-    cell = (K.mix(h + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc] - 1)
-    counts = np.minimum(np.bincount(begin[doc] + cell, minlength=int(cells.sum())), 65535).astype(np.uint16).tobytes()
-    return [counts[2 * b : 2 * (b + n)] if n else None for b, n in zip(begin.tolist(), cells.tolist())]
+    mine = drawn[doc]
+    cell = (K.mix(h[mine] + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc[mine]] - 1)
+    counts = np.minimum(np.bincount(begin[doc[mine]] + cell, minlength=int(cells.sum())), 255).astype(np.uint8).tobytes()
+    return [counts[b : b + n] if n else None for b, n in zip(begin.tolist(), cells.tolist())]
 
 
 def folded(sketch: bytes, cells: int) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint16).astype(np.int64).reshape(-1, cells).sum(0)
+    return np.frombuffer(sketch, np.uint8).astype(np.int64).reshape(-1, cells).sum(0)
 
 
-def may_link(a: bytes, b: bytes, percent: int) -> bool:
-    cells = min(len(a), len(b)) // 2
+def may_link(a: bytes | None, b: bytes | None, percent: int) -> bool:
+    if a is None or b is None:
+        return True
+    cells = min(len(a), len(b))
     x, y = folded(a, cells), folded(b, cells)
     return np.abs(x - y).sum() * (100 + percent) <= (x.sum() + y.sum()) * (100 - percent)
 
@@ -276,28 +299,38 @@ def sketch_filter(percent: int):
     return run
 
 
-def block_pairs(percent: int):
-    """mapInArrow over pairs of blocks (c, root and sketch of each member): the pairs of different roots that may link."""
+def block_pairs(percent: int, closest: bool):
+    """mapInArrow over pairs of blocks (c, root and sketch of each member): the pairs of different roots that may
+    link, or only the closest one of each two roots."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 members = r["x"] if r["same"] else r["x"] + r["y"]
-                cells = min(len(m["sketch"]) for m in members) // 2
-                table = np.stack([folded(m["sketch"], cells) for m in members])
+                drawn = [m["sketch"] for m in members]
+                cells = min((len(x) for x in drawn if x), default=1)
+                table = np.stack([folded(x, cells) if x else np.zeros(cells, np.int64) for x in drawn])
+                unknown = np.array([x is None for x in drawn])
                 sizes, roots, c = table.sum(1), np.array([m["root"] for m in members]), np.array([m["c"] for m in members])
-                a, b = [], []
+                found = []
                 for i in range(len(r["x"])):
                     off = np.abs(table[i + 1 :] - table[i]).sum(1)
-                    j = i + 1 + np.flatnonzero((off * (100 + percent) <= (sizes[i + 1 :] + sizes[i]) * (100 - percent)) & (roots[i + 1 :] != roots[i]))
-                    a.append(np.minimum(c[i], c[j]))
-                    b.append(np.maximum(c[i], c[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    near = (off * (100 + percent) <= (sizes[i + 1 :] + sizes[i]) * (100 - percent)) | unknown[i + 1 :] | unknown[i]
+                    j = np.flatnonzero(near & (roots[i + 1 :] != roots[i]))
+                    found.append((np.full(len(j), i), i + 1 + j, off[j]))
+                i, j, off = (np.concatenate(x) for x in zip(*found))
+                if closest and len(i):
+                    first = np.lexsort((off, np.maximum(roots[i], roots[j]), np.minimum(roots[i], roots[j])))
+                    i, j = i[first], j[first]
+                    low, high = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
+                    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+                    i, j = i[new], j[new]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
 
     return run
 
 
-def remainder(shared: DataFrame, roots: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+def remainder(shared: DataFrame, roots: DataFrame, drawn: DataFrame, percent: int, closest: bool) -> DataFrame:
     """The pairs (a, b) of classes under one signature that the stars left in different components and that may link.
 
     shared: see shared_signatures(); the centre of a whole star is compared with all. Classes are dealt to
@@ -309,15 +342,18 @@ def remainder(shared: DataFrame, roots: DataFrame, drawn: DataFrame, percent: in
     large = F.col("n") >= BLOCK
     group = per_root.groupBy("s").agg(F.count("*").alias("roots"), F.sum(F.when(large, 0).otherwise(F.col("n"))).alias("pool"), F.sum("g").alias("g"), F.sum("n").alias("n_all")).where("roots > 1")
     # One set of members often stands under several signatures: it is compared once.
-    group = group.groupBy("g", "n_all").agg(F.min(F.struct("s", "pool")).alias("x")).select("x.s", "x.pool")
+    group = group.groupBy("g", "n_all").agg(F.min(F.struct("s", "pool")).alias("x")).select("x.s", "x.pool", "n_all")
     dealt = labelled.join(per_root.select("s", "root", "n"), ["s", "root"]).join(group, "s")
     number = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / F.lit(BLOCK))).cast("string")
     block = F.when(large, F.concat_ws(":", F.col("root").cast("string"), number("c", F.col("n")))).otherwise(F.concat_ws(":", F.lit("pool"), number("root", F.col("pool"))))
-    held = dealt.withColumn("b", block).join(drawn, "c").groupBy("s", "b").agg(F.collect_list(F.struct("c", "root", "sketch")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    members = lambda t, *by: t.join(drawn, "c").groupBy(*by).agg(F.collect_list(F.struct("c", "root", "sketch")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    whole = members(dealt.where(F.col("n_all") <= BLOCK), "s").select("x", F.lit(None).cast("array<struct<c:bigint,root:bigint,sketch:binary>>").alias("y"), F.lit(True).alias("same"))
+    held = members(dealt.where(F.col("n_all") > BLOCK).withColumn("b", block), "s", "b")
     other = held.select("s", *[F.col(c).alias(f"{c}2") for c in ("b", "x", "lo", "hi")])
     one_root = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
     pairs = held.join(other, "s").where((F.col("b") <= F.col("b2")) & ~one_root).select("x", F.col("x2").alias("y"), (F.col("b") == F.col("b2")).alias("same"))
-    return pairs.mapInArrow(block_pairs(percent), "a long, b long").distinct()
+    found = [t.mapInArrow(block_pairs(percent, closest), "a long, b long") for t in (whole, pairs)]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -350,10 +386,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = verified(stars, "jaccard-links")
     roots = components(links, name="jaccard-components")
-    rest = materialize(remainder(shared, roots, drawn, percent), "jaccard-rest")
-    more = verified(rest, "jaccard-more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), name="jaccard-all")
+    for step in range(ROUNDS + 1):
+        rest = materialize(remainder(shared, roots, drawn, percent, step < ROUNDS), f"jaccard-rest-{step}")
+        more = verified(rest, f"jaccard-more-{step}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links, name=f"jaccard-components-{step}")
     least = found.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_m"))
     rooted = least.join(roots.withColumnRenamed("node", "_c"), "_c", "left").withColumn("root", F.coalesce("root", "_c"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("_m").alias("component_id")), "root").select("_c", "component_id", F.col("root").alias("_root"))
