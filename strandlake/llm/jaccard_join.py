@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(stars, "jaccard-stars")
     classed, s = annotate(base, "_text", CLASS, classify(size, False), ["_id", "_text"], "_s")
     classed = classed.select("_id", F.col("_text").alias("text"), F.col(s)["c"].alias("c"))
-    texts = materialize(classed.join(holder, same(classed)).select("c", "text").dropDuplicates(["c"]), "jaccard-texts")
+    # One plan at every size: the table of holders grows with the corpus, so it is never broadcast.
+    texts = materialize(classed.join(holder.hint("merge"), same(classed)).select("c", "text").dropDuplicates(["c"]), "jaccard-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
