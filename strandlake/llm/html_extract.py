@@ -2,12 +2,14 @@
 
 The standard library's parser streams events; text is gathered in lines, one for each block. Every
 line has a text-to-tag ratio (characters for each tag met since the line before, counted over the
-whole page), which is smoothed by a Gaussian kernel; two-means clustering of the smoothed ratios
-gives the threshold of content lines. Lines inside menus, headers, footers, sidebars, notices,
+whole page), which counts no further than FULL, so that one very long paragraph does not outweigh the
+others, and is smoothed by a Gaussian kernel; two-means clustering of the smoothed ratios gives the
+threshold of content lines. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments never count. If the page marks an article or a main
 part, its lines are the region when at least one of them is content or no line is; otherwise the
-region reaches from the first to the last content line. All remaining lines of the region are
-kept: short paragraphs between long ones belong to the text.
+region reaches from the first to the last line that is content or in the marked part, and over the
+lines next to these, up to where two lines in a row are mostly link text. All remaining lines of the region are kept: short paragraphs
+between long ones, titles and closing lines belong to the text.
 
 Each page is parsed alone, so nothing is shuffled. Defined results: null and empty pages and pages
 without text give an empty string; a tag that the end of the page cuts off is dropped.
@@ -40,26 +42,28 @@ _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 #: Lines to each side that smoothing looks at.
 RADIUS, SIGMA = 2, 1.0
+#: Characters for each tag beyond which a line is no more likely to be content.
+FULL = 40.0
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags since the line before, whether it may be content, whether in an article."""
+    """Lines of a page: text, tags since the line before, whether it may be content, whether in an article, whether mostly link text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool, bool]] = []
         self.held: list[str] = []
         self.tags = 0
-        self.stack: list[tuple[str, bool, bool]] = []  # (tag, drops its text, is the article)
-        self.drop = self.article = 0
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # (tag, drops its text, is the article, is a link)
+        self.drop = self.article = self.links = self.linked = 0
 
     def end_line(self):
         if self.held:
             text = _SPACE.sub(" ", "".join(self.held)).strip()
-            self.held = []
             if text:
-                self.lines.append((text, self.tags, not self.drop, self.article > 0))
+                self.lines.append((text, self.tags, not self.drop, self.article > 0, 2 * self.linked > len(text)))
                 self.tags = 0
+            self.held, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -79,19 +83,21 @@ class Lines(HTMLParser):
         article = tag in ("article", "main")
         if article and not drops and self.drop and not any(x[0] in ("form", "section", "ol", "ul") for x in self.stack):
             self.pop_to(next(i for i, x in enumerate(self.stack) if x[1]))  # what should have ended before the article
-        self.push(tag, drops, article)
+        self.push(tag, drops, article, tag == "a" and any(name == "href" for name, _ in attrs))
 
-    def push(self, tag, drops, article):
+    def push(self, tag, drops, article, link):
         if drops and not self.drop:
             self.end_line()
-        self.stack.append((tag, drops, article))
+        self.stack.append((tag, drops, article, link))
         self.drop += drops
         self.article += article
+        self.links += link
 
     def pop_to(self, i):
-        for _, drops, article in self.stack[i:]:
+        for _, drops, article, link in self.stack[i:]:
             self.drop -= drops
             self.article -= article
+            self.links -= link
         del self.stack[i:]
 
     def handle_endtag(self, tag):
@@ -112,6 +118,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.held.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
 
 def marked(attrs) -> bool:
@@ -143,6 +151,21 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def grown(allowed: list[int], core: list[int], linked: list[bool]) -> list[int]:
+    """The allowed lines from the first to the last of the core, and those to both sides up to two link lines in a row."""
+    ends = []
+    for at, step in ((allowed.index(core[0]), -1), (allowed.index(core[-1]), 1)):
+        i = at + step
+        while 0 <= i < len(allowed):
+            if not linked[allowed[i]]:
+                at = i
+            elif abs(i - at) > 1:
+                break
+            i += step
+        ends.append(at)
+    return allowed[ends[0] : ends[1] + 1]
+
+
 def extract(html: str) -> str:
     parser = Lines()
     parser.feed(_CUT_TAG.sub("", html))
@@ -152,12 +175,12 @@ def extract(html: str) -> str:
     allowed = [i for i, x in enumerate(lines) if x[2]]
     if not allowed:
         return ""
-    values = smoothed(np.array([len(x[0]) / max(1, x[1]) for x in lines]))
+    values = smoothed(np.array([min(FULL, len(x[0]) / max(1, x[1])) for x in lines]))
     cut = threshold(values[allowed])
     content = [i for i in allowed if values[i] > cut]
     region = [i for i in allowed if lines[i][3]]
     if not region or (content and not any(lines[i][3] for i in content)):
-        region = [i for i in allowed if content[0] <= i <= content[-1]] if content else allowed
+        region = grown(allowed, sorted({*content, *region}), [x[4] for x in lines]) if content else allowed
     return "\n\n".join(lines[i][0] for i in region)
 
 

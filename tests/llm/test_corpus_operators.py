@@ -144,6 +144,20 @@ def test_pages(spark):
     assert html_extract.threshold(np.array([1.0, 1.0])) == 0
 
 
+@pytest.mark.parametrize("most", [200, 800, 6000])
+def test_pages_without_article_keep_all_paragraphs(most):
+    """One very long paragraph, a short title, lead and end: nothing of the article goes, link lists around it do."""
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8)) + "</ul>"
+    texts = [("word " * ((most if i == 20 else 200) // 5)).strip() for i in range(41)]
+    lines = ["A title", "Short lead.", *texts, "The end."]
+    body = f"<h1>{lines[0]}</h1><p>By <a href='/x'>Somebody Else</a></p>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    want = [lines[0], "By Somebody Else", *lines[1:]]
+    assert html_extract.extract(f"<body>{links}{body}{links}</body>").split("\n\n") == want
+    assert html_extract.extract("<body>" + "".join(f"<p>{x}</p>" for x in texts) + "</body>").split("\n\n") == texts
+    aside = f"<article><p>Brief.</p></article>{links}<p>{texts[20]}</p>"
+    assert html_extract.extract(aside).startswith("Brief.") and texts[20] in html_extract.extract(aside)
+
+
 def test_licences(spark):
     mit = license_scan.TEMPLATES["MIT"][2]
     rows = [
