@@ -2,8 +2,11 @@
 
 Every line, every paragraph and the whole text is a sparse vector of word counts weighted by
 log((N + 1) / (df + 1)) + 1, where N and df count all texts of the corpus. The best cosine to a
-template of THRESHOLD or more names the text's own licence. A text of which half the words lie in
-matching lines is a licence file and licenses its directory; texts without a licence of their own
+template of THRESHOLD or more names the text's own licence. A text that has the mark of a whole
+licence (WHOLE) is compared with it too; if the cosine reaches THRESHOLD and half of the text's words
+lie in runs of three of the licence, it is that licence. A text of which half the words lie in lines
+or paragraphs that match, or in runs of the whole licence that it is, is a licence file and licenses
+its directory, and so is a text that matches as a whole; texts without a licence of their own
 take that of the nearest directory above them. Directories are resolved once for each directory,
 so a directory with many files costs one look-up per file and no more.
 
@@ -21,6 +24,7 @@ import math
 import re
 from collections import Counter
 from functools import cache
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,6 +54,25 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+#: Whole licences: the file in licenses/, and words that this licence has and its relatives lack. The licences CC BY and
+#: CC BY-NC share the body of CC BY-SA, and their marks tell them apart.
+WHOLE = {
+    "Apache-2.0": ("Apache-2.0", "apache license version 2.0 january 2004"),
+    "MIT": ("MIT", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    "GPL-3.0": ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    "GPL-2.0": ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    "LGPL-3.0": ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    "BSD-3-Clause": ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "MPL-2.0": ("MPL-2.0", "mozilla public license version 2.0"),
+    "CC-BY-4.0": ("CC-BY-SA-4.0", "creative commons attribution 4.0 international public license"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "creative commons attribution-sharealike 4.0 international public license"),
+    "CC-BY-NC-4.0": ("CC-BY-SA-4.0", "creative commons attribution-noncommercial 4.0 international public license"),
+    "CC0-1.0": ("CC0-1.0", "cc0 1.0 universal"),
+    "ISC": ("ISC", "provided that the above copyright notice and this permission notice appear in all copies"),
+    "Unlicense": ("Unlicense", "this is free and unencumbered software released into the public domain"),
+}
+RUN = 3
+
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -62,11 +85,28 @@ def vocabulary() -> frozenset[str]:
     return frozenset(w for forms in TEMPLATES.values() for t in forms for w in words(t))
 
 
+@cache
+def whole_words(file: str) -> tuple[str, ...]:
+    return tuple(words((resources.files("strandlake.llm") / "licenses" / f"{file}.txt").read_text("utf-8")))
+
+
+@cache
+def whole_runs(file: str) -> frozenset[tuple[str, ...]]:
+    w = whole_words(file)
+    return frozenset(w[i : i + RUN] for i in range(len(w) - RUN + 1))
+
+
+@cache
+def whole_vocabulary() -> frozenset[str]:
+    return frozenset(w for file, _ in WHOLE.values() for w in whole_words(file))
+
+
 class Matcher:
     """Cosines of word counts to the templates."""
 
-    def __init__(self, idf: dict[str, float], unknown: float, least: float):
+    def __init__(self, idf: dict[str, float], unknown: float, least: float, whole_idf: dict[str, float] | None = None):
         self.idf, self.unknown, self.least = idf, unknown, least
+        self.whole_idf = idf if whole_idf is None else whole_idf
         self.vectors = []
         for name, forms in TEMPLATES.items():
             for t in forms:
@@ -93,34 +133,64 @@ class Matcher:
                 score, name = s, t
         return score, name
 
+    def best_whole(self, found: list[str], counts: Counter) -> tuple[float, str | None, int]:
+        """(cosine, whole licence that the words are, words in its runs)"""
+        best, joined = (0.0, None, 0), None
+        for name, (file, mark) in WHOLE.items():
+            if joined is None:
+                joined = f" {' '.join(found)} "
+            if f" {mark} " not in joined:
+                continue
+            weight = lambda c: {w: n * self.whole_idf.get(w, self.unknown) for w, n in c.items()}
+            x, y = weight(counts), weight(Counter(whole_words(file)))
+            s = sum(v * y[w] for w, v in x.items() if w in y) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            if s < self.least or s <= best[0]:
+                continue
+            runs, covered = whole_runs(file), set()
+            for i in range(len(found) - RUN + 1):
+                if tuple(found[i : i + RUN]) in runs:
+                    covered.update(range(i, i + RUN))
+            if len(covered) >= FILE_SHARE * len(found):
+                best = (s, name, len(covered))
+        return best
+
     def scan(self, text: str) -> tuple[str | None, float, int, int]:
-        """(licence, its cosine, words in matching lines, words)"""
-        score, name, inside, total = 0.0, None, 0, 0
-        whole, paragraph, n_lines, n_paragraphs = Counter(), Counter(), 0, 0
+        """(licence, its cosine, words in what matches, words)"""
+        score, name, inside = 0.0, None, 0
+        whole, paragraph, n_lines, n_paragraphs, in_lines, every = Counter(), Counter(), 0, 0, 0, []
         for line in [*text.split("\n"), ""]:
             found = words(line)
-            total += len(found)
+            every += found
             if found:
                 counts = Counter(found)
                 s, t = self.best(counts)
-                inside += len(found) * (s >= self.least)
+                in_lines += len(found) * (s >= self.least)
                 score, name = max((score, name), (s, t), key=lambda x: x[0])
                 paragraph.update(counts)
                 n_lines += 1
             elif paragraph:
                 if n_lines > 1:
-                    score, name = max((score, name), self.best(paragraph), key=lambda x: x[0])
+                    s, t = self.best(paragraph)
+                    in_lines = paragraph.total() if s >= self.least else in_lines
+                    score, name = max((score, name), (s, t), key=lambda x: x[0])
+                inside += in_lines
                 whole.update(paragraph)
                 n_paragraphs += 1
-                paragraph, n_lines = Counter(), 0
+                paragraph, n_lines, in_lines = Counter(), 0, 0
+        total = len(every)
         if n_paragraphs > 1:
-            score, name = max((score, name), self.best(whole), key=lambda x: x[0])
+            s, t = self.best(whole)
+            inside = total if s >= self.least else inside
+            score, name = max((score, name), (s, t), key=lambda x: x[0])
+        s, t, covered = self.best_whole(every, whole)
+        if t:  # it says more than lines, which may name other licences
+            return t, s, max(inside, covered), total
         return (name, score, inside, total) if score >= self.least else (None, score, 0, total)
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """How many texts there are, and how many have each word of the templates."""
-    wanted = vocabulary()
+    wanted = vocabulary() | whole_vocabulary()
 
     def run(batches):
         df, n = Counter(), 0
@@ -131,7 +201,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str,
         yield pa.RecordBatch.from_arrays([pa.array([*df, ""]), pa.array([*df.values(), n], pa.int64())], names=["w", "n"])
 
     rows = docs.select(quoted(text_col)).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    counts = {r.w: r.n for r in rows}  # one row for each word of the templates at most
+    counts = {r.w: r.n for r in rows}  # one row for each word of the templates and whole licences at most
     return counts.pop("", 0), counts
 
 
@@ -150,7 +220,7 @@ def scan(docs: DataFrame, path: Column, text_col: str = "text", keep: list[str]
     keep = docs.columns if keep is None else keep
     n, df = document_frequencies(docs, text_col)
     weight = lambda d: math.log((n + 1) / (d + 1)) + 1
-    matcher = Matcher({w: weight(df.get(w, 0)) for w in vocabulary()}, weight(0), least)
+    matcher = Matcher({w: weight(df.get(w, 0)) for w in vocabulary()}, weight(0), least, {w: weight(df.get(w, 0)) for w in whole_vocabulary()})
 
     def fn(column: pa.Array):
         found = [matcher.scan(x) for x in column.to_pylist()]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -172,6 +174,48 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0), F.col("path")).count() == 0
 
 
+#: The MIT licence as repositories have it.
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Holder and the contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_directories_inherit_whole_licences(spark):
+    folder = Path(license_scan.__file__).parent / "licenses"
+    files = {p.stem: "Notes of a holder\n\n" + textwrap.fill(p.read_text(), 66) for p in folder.glob("*.txt")} | {"MIT": MIT_FILE}
+    assert set(files) <= set(license_scan.TEMPLATES)
+    files["other"] = files["GPL-3.0"].replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC").replace("29 June", "19 November")
+    files["prose"] = "\n".join(["Released under the MIT License.", *["A chapter of the text tells what was done and how."] * 20])
+    rows = [(f"{n}/LICENSE", t) for n, t in files.items()] + [(f"{n}/a/b", f"a text of its own, number {i}") for i, n in enumerate(files)]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    found = {r.path: (r.license, r.basis, r.license_dir) for r in license_scan.scan(docs, F.col("path")).collect()}
+    for n in files:
+        if n in license_scan.TEMPLATES:
+            assert found[f"{n}/LICENSE"] == (n, "own", None)
+            assert found[f"{n}/a/b"] == (n, "inherited", n)
+        else:
+            assert found[f"{n}/a/b"] == (None, None, None)
+
+
 def test_licence_cosine_is_the_plain_one():
     idf = {w: 1.0 + len(w) / 5 for w in license_scan.vocabulary()}
     m = license_scan.Matcher(idf, 3.0, 0.6)
