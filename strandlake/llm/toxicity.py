@@ -37,8 +37,10 @@ THRESHOLD = 0.7
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "sore loser")
 #: Least and greatest length of a word beginning.
 SHORTEST, LONGEST = 3, 9
-#: An entry is in this share of the toxic training texts at least, and in this many.
-SHARE, FEWEST = 0.025, 4
+#: An entry is in this many toxic training texts at least, at any size of the training set.
+FEWEST = 4
+#: Chernoff's bound on the chance that a feature which says nothing has so many toxic among its texts is this at most.
+CHANCE = 1e-5
 #: How often a feature counts in one text at most when it is weighted, so that a text that repeats a word says no more.
 MOST_PER_TEXT = 4
 #: Least logarithm of the ratio of rates, and how much more a longer beginning must have than a shorter.
@@ -190,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = 0.0 if whole is None or not whole.t1 else 1.0
         return Model({}, [0.0] * 3, [1.0] * 3, [0.0] * 3 + [30.0 * (2 * share - 1)])
     ratio = F.log((F.col("n1") + 0.5) / F.lit(float(whole.t1))) - F.log((F.col("n0") + 1.0) / F.lit(float(whole.t0)))
-    terms = counts.where((F.col("f") != "") & (F.col("t1") >= max(FEWEST, math.ceil(SHARE * whole.t1)))).withColumn("w", ratio).where(F.col("w") > RATIO)
+    n, p = F.col("t0") + F.col("t1"), whole.t1 / (whole.t0 + whole.t1)
+    excess = F.col("t1") * F.log(F.col("t1") / (n * p)) + F.when(F.col("t0") > 0, F.col("t0") * F.log(F.col("t0") / (n * (1 - p)))).otherwise(0.0)
+    terms = counts.where((F.col("f") != "") & (F.col("t1") >= FEWEST)).withColumn("w", ratio).where((F.col("w") > RATIO) & (excess >= -math.log(CHANCE)))
     lexicon: dict[str, float] = {}
     for r in sorted(terms.select("f", "w").collect(), key=lambda r: (len(r.f), r.f)):
         shorter = [lexicon[r.f[:k]] for k in range(2, len(r.f)) if r.f[:k] in lexicon]

@@ -116,6 +116,15 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), model)[0].count() == 0
 
 
+def test_toxic_words_of_few_texts_are_learned(spark):
+    """A word of 30 of 2,000 toxic texts and of no clean one is learned; one of 30 toxic and 30 clean ones is not."""
+    text = lambda i, y: "idiot says so" if y and i % 40 else "something was said"
+    rows = [(i, int(i % 2), text(i, i % 2) + (" bellaco" if i % 2 and i % 134 == 1 else " ordinary" if i % 134 in (2, 3) else "")) for i in range(6200)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, toxic int, text string"), spark.createDataFrame([r[:2] for r in rows], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, marks).lexicon
+    assert any("^bellaco$".startswith(f) for f in lexicon) and not any("^ordinary$".startswith(f) for f in lexicon)
+
+
 def test_held_out_accuracy(spark):
     """On the larger labelled table: few clean texts are rejected and most toxic ones are."""
     d = str(SF.parent / "sf0.01")
