@@ -46,7 +46,7 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     """_d and _t tell rows apart also where ids repeat or are null; rows that agree in id and text share them."""
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"),
-        F.hash(F.col(text_col), F.col(id_col)).alias("_t"),
+        F.xxhash64(F.col(text_col), F.col(id_col)).alias("_t"),
     ]
 
 

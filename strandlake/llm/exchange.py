@@ -75,7 +75,7 @@ def dealt(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 #: Records that go back to their texts.
-PLACES = {"d": np.int64, "t": np.int32, "pos": np.int32, "n": np.int32, "kind": np.int8}
+PLACES = {"d": np.int64, "t": np.int64, "pos": np.int32, "n": np.int32, "kind": np.int8}
 
 
 def by_text(records: Record, parts: int) -> np.ndarray:
@@ -105,7 +105,7 @@ def gather_places(blocks: DataFrame, parts: int) -> DataFrame:
             data = [pack_places(r["pos"][i:j], r["n"][i:j], r["kind"][i:j]) for i, j in zip(a.tolist(), z.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(r["d"][a]), pa.array(r["t"][a]), pa.array(data, pa.binary())], names=["_d", "_t", "_places"])
 
-    return dealt(blocks, parts).mapInArrow(run, "_d long, _t int, _places binary")
+    return dealt(blocks, parts).mapInArrow(run, "_d long, _t long, _places binary")
 
 
 def pack_places(pos: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:

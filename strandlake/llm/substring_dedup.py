@@ -36,7 +36,7 @@ WINDOW = 35
 PERIOD = 21
 
 #: Records that ask how often a key occurs. known 0: asks; 1: a repeat already, bears witness; 2: a repeat already.
-ASKED = {"k1": np.uint64, "k2": np.uint64, "d": np.int64, "t": np.int32, "pos": np.int32, "known": np.int8}
+ASKED = {"k1": np.uint64, "k2": np.uint64, "d": np.int64, "t": np.int64, "pos": np.int32, "known": np.int8}
 
 
 @cache

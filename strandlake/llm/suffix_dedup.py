@@ -45,7 +45,7 @@ SAMPLE_DOCS, SAMPLE_SUFFIXES = 1500, 40
 KEYS = ["k0", "k1", "k2"]
 #: A suffix: its three tokens, its text, its block's first window and windows. known 0: compare; 1: a repeat already,
 #: bears witness; 2: a repeat already.
-SUFFIX = {"k0": np.int64, "k1": np.int64, "k2": np.int64, "d": np.int64, "t": np.int32, "pos": np.int32, "n": np.int32, "known": np.int8}
+SUFFIX = {"k0": np.int64, "k1": np.int64, "k2": np.int64, "d": np.int64, "t": np.int64, "pos": np.int32, "n": np.int32, "known": np.int8}
 #: Kinds of places: a repeated block or window; an open block.
 GONE, OPEN = 0, 1
 
@@ -215,7 +215,7 @@ def sample_splitters(sample: DataFrame, records, parts: int) -> np.ndarray:
 
 
 #: What a bucket gives: packed places for the texts (end 0), and its first (1) and last (2) suffix or only one (3).
-BUCKET = "bucket int, data binary, end byte, own int, k0 long, k1 long, k2 long, d long, t int, pos int, n int, twice boolean, near boolean"
+BUCKET = "bucket int, data binary, end byte, own int, k0 long, k1 long, k2 long, d long, t long, pos int, n int, twice boolean, near boolean"
 
 
 def sort_bucket(parts: int):
@@ -254,7 +254,7 @@ def sort_bucket(parts: int):
         out = X.concat(places)
         if len(out["d"]):
             b = X.pack(out, X.by_text(out, parts))
-            rest = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
+            rest = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int8)), *rest], names=names)
 
     names = [x.split()[0] for x in BUCKET.split(", ")]

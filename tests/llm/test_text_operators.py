@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, jaccard_join, kernels, substring_dedup, suffix_dedup
 
@@ -179,6 +180,22 @@ def test_decontamination(spark, docs, rows, texts, block_bytes):
     same(found.select("doc_id", f"{leak}.n_words", f"{leak}.n_hit", f"{leak}.n_items", f"{leak}.items_sha256").collect(), want)
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    """Texts whose 32-bit hashes agree, without ids: none is dropped and none gets what the other has removed."""
+    text = F.concat_ws(" ", *[F.concat(F.lit(x), F.col("id")) for x in "abcdef"])
+    hashed = spark.range(400_000).select(text.alias("text")).withColumn("h", F.hash("text", F.lit(None).cast("long")))
+    alike = hashed.groupBy("h").agg(F.sort_array(F.collect_list("text")).alias("x")).where("size(x) > 1").orderBy("h").limit(2).collect()
+    assert alike
+    pairs = [t for r in alike for t in r.x[:2]]
+    docs = spark.createDataFrame([(None, t) for t in pairs], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard_join.one_of_each(docs, size=3).collect()) == sorted(pairs)
+    a, b = alike[0].x[:2]
+    docs = spark.createDataFrame([(None, a), (None, b), (1, f"{a} g")], "doc_id long, text string")
+    for found, kept in ((substring_dedup.remove_repeats(docs, window=5, v=3), ["", b, "g"]), (suffix_dedup.remove_repeats(docs, length=20, spread=1, gram=8), ["", b, " g"])):
+        want = Counter(hashlib.sha256(t.encode()).hexdigest() for t in kept)
+        assert Counter(r[-2] for r in found.collect()) == want
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     assert substring_dedup.remove_repeats(none).count() == suffix_dedup.remove_repeats(none).count() == jaccard_join.near_duplicates(none).count() == jaccard_join.one_of_each(none).count() == 0
