@@ -4,7 +4,7 @@ Items are cut into windows of 13 consecutive words (an item of fewer words is on
 window is contained in a document only if all its shingles are, so one necessary prefix token
 is enough to find it: shingles of up to three words are ordered by how often the whole corpus
 has them, and each window is looked up by its rarest one. A match fixes where the window would
-begin (positional bound) and end (length bound); the whole window is then verified.
+begin (positional bound) and end (length bound); the words of the window are then compared.
 
 Items come to the executors in blocks of a fixed size. A benchmark of one block costs two scans
 of the corpus and no shuffle of texts; each further block costs two more scans and a written
@@ -50,8 +50,10 @@ class Block:
 
     ids: list[str]
     length: np.ndarray  # of each window
-    hash0: np.ndarray
-    hash1: np.ndarray
+    hash: np.ndarray
+    text: bytes  # all words of the items, joined by one space
+    text_from: np.ndarray  # text[text_from[w]:text_to[w]] are the words of window w
+    text_to: np.ndarray
     item_from: np.ndarray  # items[item_from[w]:item_from[w + 1]] hold window w
     items: np.ndarray
     first: np.ndarray  # tokens of the item in which window w was seen first
@@ -83,7 +85,9 @@ def build_block(rows: list[tuple[str, str]], window: int = WINDOW) -> Block | No
         at = np.flatnonzero((own == s) & (np.arange(len(t)) + s <= t.first[1:][doc]))
         shingles[at] = t.spans()(at, at + s)
         keys[int(s)] = np.unique(shingles[at])
-    return Block(ids, length[pick], h0[pick], h1[pick], item_from, pairs[1], starts[pick], size, keys, shingles)
+    text, begin, end = t.joined()
+    first = starts[pick]
+    return Block(ids, length[pick], h0[pick], text, begin[first], end[first + length[pick] - 1], item_from, pairs[1], first, size, keys, shingles)
 
 
 class Filter:
@@ -161,13 +165,16 @@ def match(t: K.Tokens, block: Block, index: dict, filters: dict[int, Filter]) ->
         start = token - place[k]
         fits = (start >= doc_begin[token]) & (start + block.length[w] <= doc_end[token])
         start, w = start[fits], w[fits]
-        end = start + block.length[w]
-        same = t.spans(0)(start, end) == block.hash0[w]
-        start, w, end = start[same], w[same], end[same]
-        same = t.spans(1)(start, end) == block.hash1[w] if len(start) else np.zeros(0, bool)
+        same = t.spans()(start, start + block.length[w]) == block.hash[w]
         all_starts.append(start[same])
         all_windows.append(w[same])
-    return np.concatenate(all_starts), np.concatenate(all_windows)
+    starts, windows = np.concatenate(all_starts), np.concatenate(all_windows)
+    if not len(starts):
+        return starts, windows
+    text, begin, end = t.joined()
+    places = zip(begin[starts].tolist(), end[starts + block.length[windows] - 1].tolist(), block.text_from[windows].tolist(), block.text_to[windows].tolist())
+    same = np.array([text[a:z] == block.text[c:d] for a, z, c, d in places])
+    return starts[same], windows[same]
 
 
 def digest(ids: list[str]) -> str:

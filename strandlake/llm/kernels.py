@@ -3,7 +3,9 @@
 Every kernel works on one flat byte buffer with document offsets. Tokens are runs of bytes of
 one class; as all class limits are ASCII, byte runs and code-point runs are the same in UTF-8.
 Hashes are polynomials with random byte values modulo 2**64, taken from prefix sums, so the
-hash of any span costs two look-ups.
+hash of a short span costs two look-ups. Long regular sequences can cancel in such polynomials
+whatever their base (those of Thue and Morse do), so a longer span is hashed piece by piece, CHUNK
+values each, and the pieces are mixed one into the next.
 """
 
 from __future__ import annotations
@@ -62,6 +64,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Values that one polynomial covers; regular sequences of so many lose at most 21 of 64 bits.
+CHUNK = 64
+
+
 class Spans:
     """Hashes of spans of a sequence of 64-bit values: spans(starts, ends)."""
 
@@ -70,9 +76,22 @@ class Spans:
         np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
         self.inverse = inverse
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def piece(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * powers(self.inverse, len(self.sums))[starts])
 
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        long = np.flatnonzero(ends - starts > CHUNK)
+        if not len(long):
+            return self.piece(starts, ends)
+        h = self.piece(starts, np.minimum(ends, starts + CHUNK))
+        at, end = starts[long] + CHUNK, ends[long]
+        while len(long):
+            stop = np.minimum(at + CHUNK, end)
+            h[long] = mix(h[long] * np.uint64(0x9FB21C651E98DF25) + self.piece(at, stop))
+            more = stop < end
+            long, at, end = long[more], stop[more], end[more]
+        return h
+
 
 def byte_spans(buf: np.ndarray, lane: int = 0) -> Spans:
     values, p, p_inv, _, _ = _seeded(lane)
@@ -128,6 +147,14 @@ class Tokens:
             ok[last[last >= self.first[:-1]]] = False
         return np.flatnonzero(ok)
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words joined by one space, and where each begins and ends there."""
+        size = self.ends - self.starts
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        out[ranges(begin, size)] = self.buf[ranges(self.starts, size)]
+        return out.tobytes(), begin, begin + size
+
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
