@@ -16,26 +16,54 @@ from strandlake.llm.kernels import string_column
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share.
 
-    It is what spark.checkpoint.dir names; only where that is unset (tests, one machine) a
-    folder in /tmp is set instead.
+    It is what spark.checkpoint.dir names. Only where that is unset and all runs on one machine
+    (tests) a folder in /tmp is set instead; a cluster without it fails.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file:///tmp/strandlake-shared"
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it again.
+#: Spark deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Work:
+    """Work tables of one operator call in the shared folder.
 
-    This cuts the lineage: a lost executor costs its running tasks, not the steps before.
+    A step that is written and read again cuts the lineage: a lost executor costs its running
+    tasks, not the steps before. Steps that nothing reads any more are deleted by drop().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for n in names:
+            at = path(f"{self.root}/{n}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """One work table that stays until the shared folder is emptied."""
+    return Work(df.sparkSession, name).save(df, "table")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_keys(id_col: str, text_col: str) -> list[Column]:
-    """_d and _t tell rows apart also where ids repeat or are null; rows that agree in id and text share them."""
-    return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d"),
-        F.xxhash64(F.col(text_col), F.col(id_col)).alias("_t"),
-    ]
+    """_d and _t, 128 bits of the id (of any type) and the text, tell rows apart also where ids repeat or are null.
+
+    Rows that agree in id and text share them.
+    """
+    name, text = quoted(id_col).cast("string"), quoted(text_col)
+    return [F.xxhash64(F.lit(1), name, F.isnull(name), text).alias("_d"), F.xxhash64(F.lit(2), text, F.isnull(text), name).alias("_t")]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

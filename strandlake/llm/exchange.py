@@ -16,18 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import kernels as K
+from strandlake.llm.common import quoted
 
 BLOCKS = "bucket int, data binary"
 #: Records that a task packs at once.
 PACK = 1 << 20
-#: Documents for each bucket, so that a bucket's records fit in a worker's memory.
-DOCS_PER_BUCKET = 20_000
+#: Bytes of text and rows for each bucket, so that a bucket's records fit in a worker's memory.
+TEXT_PER_BUCKET, ROWS_PER_BUCKET = 32 << 20, 200_000
 
 Record = dict[str, np.ndarray]
 
 
-def bucket_count(df: DataFrame, rows: int) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // DOCS_PER_BUCKET), 1)
+def bucket_count(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(rows, buckets), by the bytes of all texts: long texts take as much room as many short ones."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(quoted(text_col).cast("string")).cast("long"))).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n, max(least, -(-(size or 0) // TEXT_PER_BUCKET), -(-n // ROWS_PER_BUCKET), 1)
 
 
 def concat(parts: list[Record]) -> Record:

@@ -6,18 +6,20 @@ k = 2r (1 - 0.9) / (1 + 0.9) shingles. The domain of shingles is cut into n1 fir
 each n2 second-level partitions, so that some first-level partition holds at most k2 of the
 differences; then all second-level partitions but k2 are equal there, and enumerating the
 subsets of n2 - k2 of them finds one on which both sets agree. The hash of a set's part in such a
-subset is a signature. A set has signatures for its own band and for the next.
+subset is a signature. A set has signatures for its own band and for the next; see levels().
 
-Equal sets are one class; only classes are compared. Of the classes under a signature each is
-compared with the smallest (a star); classes that the links already connect need no more.
-What a star leaves open - classes under one signature that no link connects - is compared
-pair by pair, in blocks (see `remainder`). No pairs are capped or sampled.
+Equal sets are one class, told apart by 128 bits; only classes are compared. A class has a sketch:
+for each of m cells of the domain one bit, whether the number of the set's shingles there is odd.
+Sets that differ in d shingles have sketches that differ in d bits at most, so a pair whose
+sketches differ in more cannot link, and only pairs that pass are verified on their texts.
 
-A comparison begins with sketches: how many shingles a set has in each of n cells of the
-domain. Sets that differ in k shingles have sketches that differ by k at most, so a pair whose
-sketches differ by more cannot link. Only pairs that pass are verified on their texts. Of each
-two components a block pair first gives only its closest pair; what the links from those leave
-open is then compared in full.
+The classes under a signature form a group. Its passing pairs are not all verified: a spanning
+forest of the closest ones is. If all pairs of the forest link, the group is settled, as any other
+passing pair is connected already. Large groups are compared in blocks that share their first
+class. What forests leave open - groups with a pair that passed and does not link, and groups of
+several blocks - is compared across the components that the links make (see `blocks_of`), first the
+closest pair of each two components, and then, if one of those does not link, all. No pairs are
+capped or sampled.
 
 Parts of a set that are empty agree with each other and say nothing; they are signed only for
 sets that have so many of them that all signatures two similar sets share could be empty.
@@ -41,13 +43,15 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm import suffix_dedup as S
-from strandlake.llm.common import annotate, free_name, materialize, quoted, row_keys
+from strandlake.llm.common import Work, annotate, free_name, quoted, row_keys
 from strandlake.llm.components import components
 
 SIZE = 3
 PERCENT = 90
-#: Classes in a block of the remainder, and how often it gives only the closest pairs before it gives all.
-BLOCK, ROUNDS = 64, 1
+#: Classes that are compared at once.
+BLOCK = 256
+#: Texts for each bucket (and in all, at least) and signatures of each that the splitters are sampled from.
+SAMPLE_PER_BUCKET, SAMPLE_DOCS, SAMPLE_SIGNATURES = 2, 1500, 40
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int]]:
@@ -64,8 +68,10 @@ def levels(k: int) -> tuple[int, int, int, int]:
     """(n1, n2, k2, sure) for at most k differences: first- and second-level partitions, differences in the best
     first-level partition, and how many signatures two such sets share at least.
 
-    Of the ways with at most k + 16 signatures it is the one whose signatures cover most of a set. Sets that
-    differ much must share two signatures, so that a set with one empty part need not sign it.
+    Of the ways with at most k + 16 signatures, or half as many again as the k + 1 that plain partitions need, it is
+    the one whose signatures cover most of a set: for sets with many differences n2 = 3, k2 = 1 and about 1.5 k
+    signatures, each over 4 / 3 of what a plain partition covers. Sets that differ much must share two signatures,
+    so that a set with one empty part need not sign it.
     """
 
     def shared(n1: int, n2: int, k2: int) -> int:
@@ -73,8 +79,9 @@ def levels(k: int) -> tuple[int, int, int, int]:
         agree = lambda d: comb(n2 - d, n2 - k2) if d <= k2 else 0
         return (n1 - more) * agree(each) + more * agree(each + 1)
 
+    most = max(k + 16, 3 * (k // 2 + 2))
     ways = [(n1, n2, k2) for k2 in range(min(k, 4) + 1) for n1 in (k // (k2 + 1) + 1, k // (k2 + 1) + 2) for n2 in range(k2 + 1, 9)]
-    ways = [w for w in ways if w[0] * comb(w[1], w[2]) <= k + 16 and shared(*w) >= (2 if k >= 12 else 1)]
+    ways = [w for w in ways if w[0] * comb(w[1], w[2]) <= most and shared(*w) >= (2 if k >= 12 else 1)]
     best = max(ways, key=lambda w: ((w[1] - w[2]) / (w[0] * w[1]), -w[0] * comb(w[1], w[2])))
     return *best, shared(*best)
 
@@ -97,10 +104,12 @@ def shingle_sets(t: K.Tokens, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def class_keys(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One key for each set, whatever the order of its shingles."""
-    sums = np.zeros(len(sizes), np.uint64)
-    np.add.at(sums, doc, K.mix(h + np.uint64(0x9E3779B97F4A7C15)))
-    return K.signed(K.mix(sums + sizes.astype(np.uint64)))
+    """A row of two longs for each set, whatever the order of its shingles."""
+    out = np.zeros((len(sizes), 2), np.uint64)
+    for lane, salt in enumerate((0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D)):
+        np.add.at(out[:, lane], doc, K.mix(K.mix(h + np.uint64(salt)) ^ np.uint64(salt >> 7)))
+        out[:, lane] = K.mix(out[:, lane] + sizes.astype(np.uint64))
+    return out
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,46 +150,115 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate(sets), np.concatenate(found)
 
 
-CLASS = StructType([StructField("n_shingles", LongType()), StructField("c", LongType()), StructField("sketch", BinaryType())])
-#: Cells of a sketch: a power of two between these. Larger sets than MOST_SKETCHED have none and are always verified.
-FEWEST_CELLS, MOST_CELLS, MOST_SKETCHED = 64, 8192, 200_000
+#: Cells of a sketch: a power of two, twice the size of the set or more, between these.
+FEWEST_CELLS, MOST_CELLS = 64, 1 << 16
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
-    """Counts (8 bits each) of each set's shingles by cell; null for an empty or very large set."""
-    drawn = (sizes > 0) & (sizes <= MOST_SKETCHED)
-    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64) * drawn
+def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bit for each cell: whether the set has an odd number of shingles there."""
+    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64)
     begin = np.cumsum(cells) - cells
-    mine = drawn[doc]
-    cell = (K.mix(h[mine] + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc[mine]] - 1)
-    counts = np.minimum(np.bincount(begin[doc[mine]] + cell, minlength=int(cells.sum())), 255).astype(np.uint8).tobytes()
-    return [counts[b : b + n] if n else None for b, n in zip(begin.tolist(), cells.tolist())]
+    cell = (K.mix(h + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc] - 1)
+    odd = (np.bincount(begin[doc] + cell, minlength=int(cells.sum())) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[b : b + n] for b, n in zip((begin // 8).tolist(), (cells // 8).tolist())]
+
+
+def folded(drawn: list[bytes]) -> np.ndarray:
+    """One row of longs for each sketch, of the width of the smallest; cells that fall together add up."""
+    width = min(map(len, drawn)) // 8
+    if all(len(x) == 8 * width for x in drawn):
+        return np.frombuffer(b"".join(drawn), np.uint64).reshape(-1, width)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in drawn])
+
+
+def passing(drawn: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits by which the sketches of each pair differ, whether the pair may link)"""
+    off = np.bitwise_count(drawn[i] ^ drawn[j]).sum(axis=1, dtype=np.int64)
+    return off, off * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    return bool(passing(folded([a, b]), np.array([n_a, n_b]), np.array([0]), np.array([1]), percent)[1][0])
+
+
+def close_pairs(drawn: np.ndarray, sizes: np.ndarray, percent: int, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) of all pairs i < j that may link; with `split` only those with i below it."""
+    n = len(drawn)
+    if n <= 48:
+        i, j = pairs_of(n)
+        off, ok = passing(drawn, sizes, i, j, percent)
+        return i[ok], j[ok], off[ok]
+    found = []
+    for x in range(min(n, split or n) - 1 if not split else split):
+        j = np.arange(x + 1, n)
+        off, ok = passing(drawn, sizes, np.array([x]), j, percent)
+        found.append((np.full(int(ok.sum()), x), j[ok], off[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def folded(sketch: bytes, cells: int) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint8).astype(np.int64).reshape(-1, cells).sum(0)
+@cache
+def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the closest pairs."""
+    if len(i) < 2:
+        return list(zip(i.tolist(), j.tolist()))
+    far = 1 << 60
+    weight = np.full((n, n), far)
+    weight[i, j] = weight[j, i] = off
+    outside = np.zeros(n, bool)
+    outside[i] = outside[j] = True
+    best, source, out = np.full(n, far), np.zeros(n, np.int64), []
+    for _ in range(int(outside.sum())):
+        v = int(np.argmin(np.where(outside, best, far + 1)))
+        if best[v] < far:
+            out.append((int(source[v]), v))
+        outside[v] = False
+        nearer = outside & (weight[v] < best)
+        best[nearer], source[nearer] = weight[v][nearer], v
+    return out
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of longs as binary values."""
+    rows = np.ascontiguousarray(rows)
+    width = 8 * rows.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
 
+def keys_of(column: pa.Array) -> np.ndarray:
+    """The rows of two longs of a column of class keys."""
+    return K.flat(column)[0].view(np.uint64).reshape(-1, 2)
 
-def may_link(a: bytes | None, b: bytes | None, percent: int) -> bool:
-    if a is None or b is None:
-        return True
-    cells = min(len(a), len(b))
-    x, y = folded(a, cells), folded(b, cells)
-    return np.abs(x - y).sum() * (100 + percent) <= (x.sum() + y.sum()) * (100 - percent)
 
+#: What the first pass finds of a text: the size of its set, its class (null if empty), the first half of that
+#: as a long, its sketch, and signatures with the class's long if the text is in the sample for splitters.
+FOUND = StructType([StructField("n_shingles", LongType()), StructField("k", BinaryType()), StructField("c", LongType()), StructField("sketch", BinaryType()), StructField("sample", BinaryType())])
 
-def classify(size: int, sketched: bool = True):
-    """fn for annotate(): the size of each text's set, its class (null if empty) and its sketch."""
+
+def classify(size: int, percent: int, rate: float):
+    """fn for annotate()"""
 
     def fn(column: pa.Array):
-        n, c, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        for row, end, buf, offsets in K.slices(column):
+        n, keys, drawn, sample = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [], []
+        for _, _, buf, offsets in K.slices(column):
             doc, h, sizes = shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)
+            k = class_keys(doc, h, sizes)
             n.append(sizes)
-            c.append(class_keys(doc, h, sizes))
-            found += sketches(doc, h, sizes) if sketched else [None] * (end - row)
-        n, c = np.concatenate(n), np.concatenate(c)
-        return [pa.array(n, pa.int64()), pa.array(c, pa.int64(), mask=n == 0), pa.array(found, pa.binary())]
+            keys.append(k)
+            drawn += sketches(doc, h, sizes)
+            chosen = np.random.default_rng(int(k[:, 0].sum(dtype=np.uint64))).random(len(sizes)) < rate
+            i, s = signatures(doc[chosen[doc]], h[chosen[doc]], np.where(chosen, sizes, 0), percent)
+            own = [s[i == x] for x in range(len(sizes))] if chosen.any() else []
+            thin = lambda x: x[:: len(x) // SAMPLE_SIGNATURES + 1]
+            sample += [np.stack([thin(x), np.full(len(thin(x)), k[d, 0])], 1).tobytes() if chosen[d] else None for d, x in enumerate(own)] or [None] * len(sizes)
+        n, keys = np.concatenate(n), np.concatenate(keys)
+        empty = pa.array(n == 0)
+        blank = lambda x: pa.compute.if_else(empty, pa.scalar(None, x.type), x)
+        return [pa.array(n, pa.int64()), blank(binaries(keys)), blank(pa.array(K.signed(keys[:, 0]))), blank(pa.array(drawn, pa.binary())), pa.array(sample, pa.binary())]
 
     return fn
 
@@ -190,70 +268,119 @@ SIGNED = {"s": np.int64, "c": np.int64}
 
 
 def sign(size: int, percent: int):
-    """Over batches of texts: their signatures; of equal sets of a slice one signs for all. `most` thins them."""
+    """Over batches of texts: their signatures; of equal sets of a slice one signs for all."""
 
-    def run(batches, most=0):
+    def run(batches):
         for b in batches:
-            for row, end, buf, offsets in K.slices(K.string_column(b.column(0))):
+            for _, _, buf, offsets in K.slices(K.string_column(b.column(0))):
                 doc, h, sizes = shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)
-                c = class_keys(doc, h, sizes)
-                once = np.zeros(len(sizes), bool)
-                once[np.unique(c, return_index=True)[1]] = True
+                keys = class_keys(doc, h, sizes)
+                once = K.first_of_each(keys[:, 0], keys[:, 1])[0]
                 mine = once[doc]
                 i, s = signatures(doc[mine], h[mine], np.where(once, sizes, 0), percent)
-                step = len(i) // (most * (end - row)) + 1 if most else 1
-                yield {"s": K.signed(s[::step]), "c": c[i[::step]]}
+                yield {"s": K.signed(s), "c": K.signed(keys[i, 0])}
 
     return run
 
 
-def splitters_of(texts: DataFrame, records, rows: int, parts: int) -> np.ndarray:
-    """parts - 1 splitters of (s, c) from a bounded sample of texts; a hot signature gets several."""
+def splitters_of(sample: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts - 1 splitters (s, c) from rows (s, c), the signatures that several splitters have).
 
-    def run(batches):
-        for r in records(batches, S.SAMPLE_SUFFIXES):
-            yield pa.RecordBatch.from_arrays([pa.array(r["s"]), pa.array(r["c"])], names=["s", "c"])
+    Buckets part between signatures; only a signature so frequent that several splitters have it is cut, by classes.
+    """
+    if not len(sample) or parts < 2:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    sample = sample[np.lexsort(sample.T[::-1])]
+    found = sample[(np.arange(1, parts) * len(sample)) // parts]
+    s, n = np.unique(found[:, 0], return_counts=True)
+    found[~np.isin(found[:, 0], s[n > 1]), 1] = np.iinfo(np.int64).min
+    return found, s[n > 1]
 
-    sample = texts.sample(S.SAMPLE_DOCS / rows, 7) if rows > S.SAMPLE_DOCS else texts
-    found = sample.mapInArrow(run, "s long, c long").toArrow()
-    keys = np.stack([found.column(c).to_numpy() for c in ("s", "c")], 1).reshape(-1, 2).astype(np.int64)
-    if not len(keys) or parts < 2:
-        return np.zeros((0, 2), np.int64)
-    keys = keys[np.lexsort(keys.T[::-1])]
-    return keys[(np.arange(1, parts) * len(keys)) // parts]
 
+#: Groups of classes under a signature, block by block; `open` if the group has several blocks.
+GROUPS = "s long, block long, c long, open boolean"
 
-def shared_signatures(texts: DataFrame, rows: int, parts: int, size: int, percent: int) -> DataFrame:
-    """(s, c, m, split): the classes c under each signature that several have, and the centre m of their star.
 
-    Signatures are ranges of (signature, class), so a hot one spreads over several buckets; there each bucket
-    has a star of its own (split).
-    """
-    records = sign(size, percent)
-    splitters = splitters_of(texts, records, rows, parts)
+def shared_signatures(texts: DataFrame, sample: np.ndarray, parts: int, size: int, percent: int) -> DataFrame:
+    """GROUPS of two classes or more. Of the groups of a bucket that have the same classes one stands for all."""
+    splitters, cut = splitters_of(sample, parts)
 
     def deal(r):
         first, _ = K.first_of_each(r["s"], r["c"])
         r = {c: x[first] for c, x in r.items()}
         return r, S.bucket_of([r["s"], r["c"]], splitters)
 
-    def stars(batches):
-        r = X.unpacked(batches, SIGNED)
-        if not len(r["s"]):
+    def group(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        own, r = batches[0].column(0)[0].as_py(), X.unpacked(batches, SIGNED)
         order = np.lexsort((r["c"], r["s"]))
         s, c = r["s"][order], r["c"][order]
         fresh = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
         s, c = s[fresh], c[fresh]
-        new = np.append(True, s[1:] != s[:-1])
-        run = np.cumsum(new) - 1
-        split = (run == 0) | (run == run[-1])
-        hold = (np.bincount(run)[run] > 1) | split
-        m = c[np.flatnonzero(new)][run]
-        yield pa.RecordBatch.from_arrays([pa.array(x[hold]) for x in (s, c, m, split)], names=["s", "c", "m", "split"])
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.diff(np.append(begin, len(s)))
+        hot = np.isin(s[begin], cut)
+        print_of = np.add.reduceat(K.mix(c.view(np.uint64)), begin)
+        chosen = np.flatnonzero((n > 1) & ~hot)
+        chosen = chosen[K.first_of_each(print_of[chosen], n[chosen])[0]]
+        chosen = np.sort(np.concatenate([chosen, np.flatnonzero(hot)]))
+        at = K.ranges(begin[chosen], n[chosen])
+        group, place = np.repeat(chosen, n[chosen]), at - np.repeat(begin[chosen], n[chosen])
+        block, several = place // BLOCK, (n[group] > BLOCK) | hot[group]
+        # The first class of a group is in all of its blocks.
+        more = chosen[n[chosen] > BLOCK]
+        blocks = (n[more] - 1) // BLOCK
+        again = np.repeat(begin[more], blocks)
+        block = np.concatenate([block, K.ranges(np.ones(len(more), np.int64), blocks)]) + (own << 32) * np.concatenate([hot[group], np.repeat(hot[more], blocks)])
+        at, several = np.concatenate([at, again]), np.concatenate([several, np.ones(len(again), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(block.astype(np.int64)), pa.array(c[at]), pa.array(several)], names=["s", "block", "c", "open"])
+
+    blocks = texts.mapInArrow(lambda batches: X.packed(sign(size, percent)(batches), deal), X.BLOCKS)
+    return X.dealt(blocks, parts).mapInArrow(group, GROUPS)
+
+
+PAIRS = "s long, a binary, b binary"
+
+
+def pair_batch(s: list, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs of class keys, the smaller (by its first long) first."""
+    swap = (a[:, :1] > b[:, :1]) | ((a[:, :1] == b[:, :1]) & (a[:, 1:] > b[:, 1:]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), binaries(a), binaries(b)], names=["s", "a", "b"])
+
+
+def members_of(column: pa.ListArray):
+    """(keys, sizes, sketches, roots or None) of each list of (k, n, sketch[, root])."""
+    offsets, flat = column.offsets.to_pylist(), column.values
+    keys, sizes, drawn = keys_of(flat.field("k")), flat.field("n").to_numpy(), flat.field("sketch").to_pylist()
+    roots = keys_of(flat.field("root")) if flat.type.get_field_index("root") >= 0 else None
+    base = flat.offset
+    assert base == 0
+    for a, z in zip(offsets, offsets[1:]):
+        yield keys[a:z], sizes[a:z], drawn[a:z], None if roots is None else roots[a:z]
+
+
+def forests(percent: int):
+    """mapInArrow over (s, x), blocks of groups: the pairs of their forests."""
 
-    blocks = texts.mapInArrow(lambda batches: X.packed(records(batches), deal), X.BLOCKS)
-    return X.dealt(blocks, parts).mapInArrow(stars, "s long, c long, m long, split boolean")
+    def run(batches):
+        for batch in batches:
+            signature = batch.column(0).to_pylist()
+            out, left, right = [], [], []
+            for s, (keys, sizes, drawn, _) in zip(signature, members_of(batch.column(1))):
+                if len(keys) < 2:
+                    continue
+                i, j, off = close_pairs(folded(drawn), sizes, percent)
+                for a, b in forest(len(keys), i, j, off):
+                    out.append(s)
+                    left.append(keys[a])
+                    right.append(keys[b])
+            if out:
+                yield pair_batch(out, np.stack(left), np.stack(right))
+
+    return run
 
 
 def pair_sizes(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,72 +415,101 @@ def verify(size: int, percent: int):
     return run
 
 
-def sketch_filter(percent: int):
-    """mapInArrow over (a, b, sketches): the pairs that may link."""
+def of_class(size: int):
+    """mapInArrow over (k, text): the texts that are of the class."""
 
     def run(batches):
         for batch in batches:
-            keep = [may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            ok = [np.zeros(0, bool)]
+            text, keys = K.string_column(batch.column(1)), keys_of(batch.column(0))
+            for row, end, buf, offsets in K.slices(text):
+                ok.append((class_keys(*shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)) == keys[row:end]).all(axis=1))
+            yield batch.filter(pa.array(np.concatenate(ok)))
 
     return run
 
 
+BLOCKS = "s long, b long, low binary, high binary, x array<struct<k:binary,n:bigint,sketch:binary,root:binary>>"
+
+
+def blocks_of(labelled: DataFrame, parts: int) -> DataFrame:
+    """BLOCKS of open groups, in the order of signature and component: (low, high) are a block's first and last component.
+
+    A group of one block and one component needs no more.
+    """
+
+    def run(batches):
+        number, held = 0, None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows >= 1 << 14:
+                s = held.column("s").to_numpy()
+                last = int(np.searchsorted(s, s[-1]))  # what may go on stays, but for whole blocks
+                last += (len(s) - last) // BLOCK * BLOCK
+                yield from cut(held.slice(0, last), number)
+                number, held = number + last, held.slice(last)
+        if held is not None and held.num_rows:
+            yield from cut(held, number)
+
+    def cut(table, number):
+        if not table.num_rows:
+            return
+        table = table.combine_chunks()
+        s = table.column("s").to_numpy()
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        n = np.diff(np.append(begin, len(s)))
+        per = -(-n // BLOCK)
+        at = np.repeat(begin, per) + K.ranges(np.zeros(len(per), np.int64), per) * BLOCK
+        ends = np.minimum(at + BLOCK, np.repeat(begin + n, per))
+        batch = table.to_batches()[0]
+        flat = pa.StructArray.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("k", "n", "sketch", "root")], names=["k", "n", "sketch", "root"])
+        x = pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]).astype(np.int32)), flat)
+        root = batch.column(batch.schema.get_field_index("root"))
+        yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(number + at), root.take(pa.array(at)), root.take(pa.array(ends - 1)), x], names=["s", "b", "low", "high", "x"])
+
+    dealt = labelled.repartitionByRange(parts, "s", "root", "k").sortWithinPartitions("s", "root", "k")
+    found = dealt.select("s", "k", "n", "sketch", "root").mapInArrow(run, BLOCKS)
+    return found.withColumn("b", F.spark_partition_id().cast("long") * (1 << 40) + F.col("b"))
+
+
 def block_pairs(percent: int, closest: bool):
-    """mapInArrow over pairs of blocks (c, root and sketch of each member): the pairs of different roots that may
-    link, or only the closest one of each two roots."""
+    """mapInArrow over pairs of blocks (s, x, y; y null for a block and itself): the pairs of different components that
+    may link, or only the closest of each two components."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                members = r["x"] if r["same"] else r["x"] + r["y"]
-                drawn = [m["sketch"] for m in members]
-                cells = min((len(x) for x in drawn if x), default=1)
-                table = np.stack([folded(x, cells) if x else np.zeros(cells, np.int64) for x in drawn])
-                unknown = np.array([x is None for x in drawn])
-                sizes, roots, c = table.sum(1), np.array([m["root"] for m in members]), np.array([m["c"] for m in members])
-                found = []
-                for i in range(len(r["x"])):
-                    off = np.abs(table[i + 1 :] - table[i]).sum(1)
-                    near = (off * (100 + percent) <= (sizes[i + 1 :] + sizes[i]) * (100 - percent)) | unknown[i + 1 :] | unknown[i]
-                    j = np.flatnonzero(near & (roots[i + 1 :] != roots[i]))
-                    found.append((np.full(len(j), i), i + 1 + j, off[j]))
-                i, j, off = (np.concatenate(x) for x in zip(*found))
+            out, left, right = [], [], []
+            members = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for s, x, y in members:
+                rows = x + (y or [])
+                keys, roots = (np.frombuffer(b"".join(r[c] for r in rows), np.uint64).reshape(-1, 2) for c in ("k", "root"))
+                sizes = np.array([r["n"] for r in rows])
+                i, j, off = close_pairs(folded([r["sketch"] for r in rows]), sizes, percent, len(x) if y else 0)
+                apart = (roots[i] != roots[j]).any(axis=1) & ((i < len(x)) & (j >= len(x)) if y else True)
+                i, j, off = i[apart], j[apart], off[apart]
                 if closest and len(i):
-                    first = np.lexsort((off, np.maximum(roots[i], roots[j]), np.minimum(roots[i], roots[j])))
-                    i, j = i[first], j[first]
-                    low, high = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
-                    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-                    i, j = i[new], j[new]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
+                    number = np.unique(roots, axis=0, return_inverse=True)[1].reshape(-1)
+                    low, high = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
+                    order = np.lexsort((off, high, low))
+                    new = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+                    i, j = i[order][new], j[order][new]
+                out += [s] * len(i)
+                left.append(keys[i])
+                right.append(keys[j])
+            if out:
+                yield pair_batch(out, np.concatenate(left), np.concatenate(right))
 
     return run
 
 
-def remainder(shared: DataFrame, roots: DataFrame, drawn: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """The pairs (a, b) of classes under one signature that the stars left in different components and that may link.
-
-    shared: see shared_signatures(); the centre of a whole star is compared with all. Classes are dealt to
-    blocks of about BLOCK, those of a large component to blocks of their own; pairs of blocks are compared at
-    once, so that a row stands for BLOCK ** 2 pairs, and blocks of one component are not compared.
-    """
-    labelled = shared.where("c <> m or split").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    per_root = labelled.groupBy("s", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("g"))
-    large = F.col("n") >= BLOCK
-    group = per_root.groupBy("s").agg(F.count("*").alias("roots"), F.sum(F.when(large, 0).otherwise(F.col("n"))).alias("pool"), F.sum("g").alias("g"), F.sum("n").alias("n_all")).where("roots > 1")
-    # One set of members often stands under several signatures: it is compared once.
-    group = group.groupBy("g", "n_all").agg(F.min(F.struct("s", "pool")).alias("x")).select("x.s", "x.pool", "n_all")
-    dealt = labelled.join(per_root.select("s", "root", "n"), ["s", "root"]).join(group, "s")
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / F.lit(BLOCK))).cast("string")
-    block = F.when(large, F.concat_ws(":", F.col("root").cast("string"), number("c", F.col("n")))).otherwise(F.concat_ws(":", F.lit("pool"), number("root", F.col("pool"))))
-    members = lambda t, *by: t.join(drawn, "c").groupBy(*by).agg(F.collect_list(F.struct("c", "root", "sketch")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    whole = members(dealt.where(F.col("n_all") <= BLOCK), "s").select("x", F.lit(None).cast("array<struct<c:bigint,root:bigint,sketch:binary>>").alias("y"), F.lit(True).alias("same"))
-    held = members(dealt.where(F.col("n_all") > BLOCK).withColumn("b", block), "s", "b")
-    other = held.select("s", *[F.col(c).alias(f"{c}2") for c in ("b", "x", "lo", "hi")])
-    one_root = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
-    pairs = held.join(other, "s").where((F.col("b") <= F.col("b2")) & ~one_root).select("x", F.col("x2").alias("y"), (F.col("b") == F.col("b2")).alias("same"))
-    found = [t.mapInArrow(block_pairs(percent, closest), "a long, b long") for t in (whole, pairs)]
-    return found[0].unionByName(found[1]).distinct()
+def across(blocks: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """The distinct pairs (a, b) of block_pairs() over all blocks of each group."""
+    x = blocks.select("s", "b", "low", "high", "x")
+    y = blocks.select("s", *[F.col(c).alias(f"{c}2") for c in ("b", "low", "high")], F.col("x").alias("y"))
+    one = (F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))
+    pairs = x.join(y, "s").where((F.col("b") <= F.col("b2")) & ~one)
+    rows = pairs.select("s", "x", F.when(F.col("b") < F.col("b2"), F.col("y")).alias("y"))
+    return rows.mapInArrow(block_pairs(percent, closest), PAIRS).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -361,42 +517,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stands for its component (null: empty set)."""
     keep = [id_col] if keep is None else keep
     names = [f"_k{i}" for i in range(len(keep))]
-    base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))
-    found, s = annotate(base, "_text", CLASS, classify(size), [*names, "_id"], "_s")
-    found = materialize(found.select(*names, "_id", F.col(s)["n_shingles"].alias("n_shingles"), F.col(s)["c"].alias("_c"), F.col(s)["sketch"].alias("_sketch")), "jaccard-classes")
-    rows = docs.count()
-    shared = materialize(shared_signatures(base.select("_text"), rows, X.bucket_count(docs, rows), size, percent), "jaccard-shared")
-    wanted = shared.where("split or c <> m").select(F.explode(F.array("c", "m")).alias("_c")).distinct()
-    holder = materialize(found.join(wanted, "_c").groupBy("_c").agg(F.min("_id").alias("_h")), "jaccard-holders")
-    same = lambda t: t["_id"].eqNullSafe(holder["_h"]) & (t["c"] == holder["_c"])
-    one = found.select("_id", F.col("_c").alias("c"), F.col("_sketch").alias("sketch"))
-    drawn = materialize(one.join(holder, same(one)).select("c", "sketch").dropDuplicates(["c"]), "jaccard-sketches")
-    centres = shared.where("split").select("s", "m").distinct().withColumn("a", F.min("m").over(Window.partitionBy("s")))
-    stars = shared.where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(centres.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-    sides = [drawn.select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}")) for x in ("a", "b")]
-    stars = stars.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(sketch_filter(percent), "a long, b long")
-    stars = materialize(stars, "jaccard-stars")
-    classed, s = annotate(base, "_text", CLASS, classify(size, False), ["_id", "_text"], "_s")
-    classed = classed.select("_id", F.col("_text").alias("text"), F.col(s)["c"].alias("c"))
+    work = Work(docs.sparkSession, "jaccard")
+    base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], quoted(id_col).alias("_id"), quoted(text_col).alias("_text"), row_keys(id_col, text_col)[1])
+    rows, parts = X.bucket_count(docs, text_col)
+    rate = max(SAMPLE_DOCS, SAMPLE_PER_BUCKET * parts) / max(rows, 1)
+    found, s = annotate(base, "_text", FOUND, classify(size, percent, rate), [*names, "_id", "_t"], "_s")
+    found = work.save(found.select(*names, "_id", "_t", F.col(f"{s}.*")), "found")
+    sample = [np.frombuffer(r.as_py(), np.int64).reshape(-1, 2) for r in found.where("sample is not null").select("sample").toArrow().column(0)]
+    sample = np.concatenate([np.zeros((0, 2), np.int64), *sample])
+    shared = work.save(shared_signatures(base.select("_text"), sample, parts, size, percent), "shared")
+    least = [F.min("_id").alias("m"), F.min("_t").alias("t"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")]
+    classes = work.save(found.where("k is not null").groupBy("c", "k").agg(*least), "classes")
+    drawn = classes.select("c", "k", "n", "sketch")
+    member = F.struct("k", "n", "sketch")
+    groups = shared.join(drawn, "c").groupBy("s", "block").agg(F.collect_list(member).alias("x")).select("s", "x")
+    pairs = work.save(groups.mapInArrow(forests(percent), PAIRS), "forests")
+    several = shared.where("open").select("s").distinct()
+    large = not several.isEmpty()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+    if large:
+        wanted = wanted.unionByName(drawn.join(shared.where("open").select("c").distinct(), "c").select("k"))
+    holders = classes.join(wanted.distinct(), "k").select(F.col("t").alias("_t"), "k")
     # One plan at every size: the table of holders grows with the corpus, so it is never broadcast.
-    texts = materialize(classed.join(holder.hint("merge"), same(classed)).select("c", "text").dropDuplicates(["c"]), "jaccard-texts")
+    texts = base.select("_t", F.col("_text").alias("text")).join(holders.hint("merge"), "_t").select("k", "text")
+    texts = work.save(texts.mapInArrow(of_class(size), "k binary, text string").dropDuplicates(["k"]), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        with_texts = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
-        return materialize(with_texts.select("a", "b", "ta", "tb").mapInArrow(verify(size, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), name)
-
-    links = verified(stars, "jaccard-links")
-    roots = components(links, name="jaccard-components")
-    for step in range(ROUNDS + 1):
-        rest = materialize(remainder(shared, roots, drawn, percent, step < ROUNDS), f"jaccard-rest-{step}")
-        more = verified(rest, f"jaccard-more-{step}")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links, name=f"jaccard-components-{step}")
-    least = found.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("_m"))
-    rooted = least.join(roots.withColumnRenamed("node", "_c"), "_c", "left").withColumn("root", F.coalesce("root", "_c"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("_m").alias("component_id")), "root").select("_c", "component_id", F.col("root").alias("_root"))
-    out = found.join(named, "_c", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
+        sides = [texts.select(F.col("k").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b")]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb")
+        return work.save(both.mapInArrow(verify(size, percent), "a binary, b binary, linked boolean"), name)
+
+    checked = verified(pairs.select("a", "b").distinct(), "checked")
+    links, failed = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+    roots = components(links, work, "roots")
+    if large or not failed.isEmpty():
+        again = pairs.join(failed, ["a", "b"]).select("s").unionByName(several).distinct()
+        labelled = shared.join(again, "s").select("s", "c").distinct().join(drawn, "c").select("s", "k", "n", "sketch")
+        labelled = work.save(labelled, "open")
+        for step, closest in enumerate((True, False)):
+            named = labelled.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+            blocks = work.save(blocks_of(named, parts), f"blocks-{step}")
+            more = verified(across(blocks, percent, closest), f"more-{step}")
+            if not more.where("linked").isEmpty():
+                links = links.unionByName(more.where("linked").select("a", "b"))
+                roots = components(links, work, f"roots-{step}")
+            if more.where("not linked").isEmpty():
+                break
+    rooted = classes.select("k", "m").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    lowest = work.save(rooted.groupBy("root").agg(F.min("m").alias("component_id")), "lowest")
+    named = work.save(rooted.join(lowest, "root").select("k", "component_id", F.col("root").alias("_root")), "named")
+    work.drop("shared", "classes", "forests", "texts", "checked", "open", "lowest", *[f"{x}-{i}" for x in ("blocks", "more") for i in (0, 1)])
+    out = found.select(*names, "_id", "n_shingles", "k").join(named, "k", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_shingles", "component_id", "_root")
 
 
@@ -405,10 +576,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if there is no other), of rows that repeat one, and every row with an empty set."""
     row, key = free_name(docs, "_row"), ["_d", "_t"]
     keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(row), *row_keys(id_col, text_col), quoted(id_col).alias("_i"), quoted(text_col).alias("_x"))
-    found = near_duplicates(keyed.select(*key, "_i", "_x"), "_i", "_x", key, size, percent)
-    order = F.struct((F.col("_d") == -(2**63)).alias("no_id"), *key)
+    found = near_duplicates(keyed.select(*key, "_i", "_x"), "_i", "_x", [*key, "_i"], size, percent)
+    order = F.struct(F.isnull("_i").alias("no_id"), F.col("_i"), *key)
     chosen = found.where("_root is not null").groupBy("_root").agg(F.min(order).alias("k")).select("k._d", "k._t", F.lit(False).alias("empty"))
     empty = found.where("_root is null").select(*key, F.lit(True).alias("empty")).distinct()
-    held = keyed.select(row, *key).join(materialize(chosen.unionByName(empty), "jaccard-chosen"), key)
+    chosen = Work(docs.sparkSession, "jaccard").save(chosen.unionByName(empty), "chosen")
+    held = keyed.select(row, *key).join(chosen, key)
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("empty"))
     return held.withColumn("turn", turn).where("empty or turn = 1").select(f"{row}.*")

@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"_c{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], *row_keys(id_col, text_col), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     texts = base.select("_d", "_t", "_text")
-    parts = X.bucket_count(docs, docs.count())
+    _, parts = X.bucket_count(docs, text_col)
     anchors = repeated(texts.mapInArrow(anchor_blocks(window, v, parts), X.BLOCKS), parts)
     joined = base.join(anchors, ["_d", "_t"], "left")
     held = ["_d", "_t", *names]

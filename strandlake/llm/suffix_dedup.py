@@ -339,8 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"_c{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], *row_keys(id_col, text_col), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     texts = base.select("_d", "_t", "_text")
-    total = docs.count()
-    parts = X.bucket_count(docs, total)
+    total, parts = X.bucket_count(docs, text_col)
     blocks = suffix_sort(texts, block_records(length, spread, gram), total, parts, "suffix-blocks")
     held = ["_d", "_t", *names]
     step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_bytes", LongType()), StructField("sha", StringType())])

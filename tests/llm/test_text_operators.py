@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, jaccard_join, kernels, substring_dedup, suffix_dedup
+from strandlake.llm.common import Work
+from strandlake.llm.components import components
 
 key = lambda r: tuple((x is None, str(x)) for x in r)
 lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
@@ -128,7 +131,107 @@ def test_signatures_never_miss_a_link():
             i, s = jaccard_join.signatures(doc, h, sizes, 90)
             assert set(a.tolist()) == set(b.tolist()) or set(s[i == 0].tolist()) & set(s[i == 1].tolist())
             sk = jaccard_join.sketches(doc, h, sizes)
-            assert jaccard_join.may_link(sk[0], sk[1], 90)
+            assert jaccard_join.may_link(sk[0], sk[1], n, len(b), 90)
+
+
+def test_large_sets_enumerate_subsets():
+    """Sets that may differ in many shingles sign subsets of second-level partitions, about 1.5 for each difference."""
+    for k in (40, 100, 1000):
+        n1, n2, k2, sure = jaccard_join.levels(k)
+        assert n2 > 1 and k2 > 0 and sure >= 2 and n1 * comb(n2, k2) <= 1.5 * k + 8
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m in ((5, 5), (60, 70), (300, 900), (40_000, 35_000)):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n // 2], r.integers(0, 1 << 63, m, dtype=np.uint64)])
+        doc = np.repeat([0, 1], [len(a), len(b)])
+        drawn = jaccard_join.folded(jaccard_join.sketches(doc, np.concatenate([a, b]), np.array([len(a), len(b)])))
+        assert np.bitwise_count(drawn[0] ^ drawn[1]).sum() <= n - n // 2 + m
+
+
+def thue_morse(n, a, b):
+    """A sequence and its complement, which polynomials modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [a if x else b for x in bits], [b if x else a for x in bits]
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 4096])
+def test_regular_sequences_do_not_collide(spark, n):
+    """Long words and long texts of two symbols: each is another text for every operator."""
+    x, y = ("".join(t) for t in thue_morse(n, "a", "b"))
+    filler = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{x} same words {filler}"), (2, f"{y} same words")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, " ".join([x, "u", "v"])), (2, " ".join([y, "u", "v"]))], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.near_duplicates(one).collect()} == {1, 2}
+    found = substring_dedup.remove_repeats(docs, window=3, v=2).collect()
+    assert [r.n_removed for r in found] == [0, 0]
+    bench = spark.createDataFrame([("q", f"{x} same words")], "item_id string, text string")
+    found, leak = decontaminate.decontaminate(docs, bench, keep=["doc_id"], window=3)
+    assert {r.doc_id: r[leak].n_hit for r in found.collect()} == {1: 3, 2: 0}
+    docs = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(docs, length=n, spread=n // 2, gram=8, with_bytes=False).collect()] == [0, 0]
+    left, right = (" ".join(t) for t in thue_morse(n, "alpha", "beta"))
+    docs = spark.createDataFrame([(1, left), (2, right)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs, window=n, v=n // 2 if n < 100 else 7).collect()] == [0, 0]
+
+
+def test_components_by_tables(spark):
+    """The way of large link tables against the way of small ones, for longs and binaries."""
+    r = np.random.default_rng(6)
+    rows = [(int(a), int(b)) for a, b in r.integers(0, 400, (330, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, None), (9, 9)]
+    for kind in ("long", "binary"):
+        links = spark.createDataFrame(rows, "a long, b long").select(F.col("a").cast("string").cast(kind).alias("a"), F.col("b").cast("string").cast(kind).alias("b"))
+        by = [sorted((x.node, x.root) for x in components(links, Work(spark, "test"), f"c{n}", local_links=n).collect()) for n in (0, 1 << 20)]
+        assert by[0] == by[1] and len(by[0]) > 300
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_groups_of_several_blocks(spark, monkeypatch, block):
+    """Groups of more classes than a block, and signatures that several buckets hold, lose no link."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}x{i}" for i in range(150)]
+        for i in range(70):
+            w = list(base)
+            for p in r.choice(150, int(r.integers(0, 4)), replace=False):
+                w[p] = f"x{r.integers(0, 9)}"
+            rows.append((100 * g + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 3) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in [j for j in sets if j < i]:
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if x == high else x for k, x in group.items()}
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == group
+
+
+def test_ids_of_any_type(spark):
+    """Ids that are no numbers, for all operators that keep rows apart."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("x-1", text), ("x-2", text), (None, text), ("é", "other words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(r.doc_id or "" for r in jaccard_join.one_of_each(docs).collect()) == ["", "x-1", "é"]
+    assert sorted(r.n_removed for r in substring_dedup.remove_repeats(docs).collect()) == [0, 0, 60, 60, 60]
+    assert sorted(r.n_spans for r in suffix_dedup.remove_repeats(docs, length=100, spread=40).collect()) == [0, 0, 1, 1, 1]
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {"x-1", "é", None}
+
+
+def test_long_texts(spark):
+    """Texts of several MB, longer than what is worked on at once."""
+    r = np.random.default_rng(9)
+    words_of = lambda n: " ".join(f"w{x}" for x in r.integers(0, 1 << 30, n))
+    passage, long = words_of(60), words_of(300_000)
+    docs = spark.createDataFrame([(1, long), (2, f"{long} end"), (3, f"{words_of(250_000)} {passage}"), (4, f"{passage} {words_of(30)}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, with_text=False).collect()} == {1: 300_000, 2: 300_000, 3: 60, 4: 60}
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs, with_bytes=False).collect()}
+    assert gone[1] == gone[2] == len(long) and gone[3] == gone[4] >= len(passage)
 
 
 def test_large_groups_are_linked(spark):
