@@ -5,7 +5,9 @@ line has a text-to-tag ratio (characters for each tag met since the line before,
 whole page), which counts no further than FULL, so that one very long paragraph does not outweigh the
 others, and is smoothed by a Gaussian kernel; two-means clustering of the smoothed ratios gives the
 threshold of content lines. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments never count. If the page marks an article or a main
+adverts, forms, scripts, styles and comments never count; a class or id marks them only by its whole
+name (`sidebar`, `cookie-banner`, but not `has-sidebar`), and never on the page, its body or its main
+part. What is dropped inside a line (a button, a drawing) does not part it. If the page marks an article or a main
 part, its lines are the region when at least one of them is content or no line is; otherwise the
 region reaches from the first to the last line that is content or in the marked part, and over the
 lines next to these, up to where two lines in a row are mostly link text. All remaining lines of the region are kept: short paragraphs
@@ -29,14 +31,21 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from strandlake.llm.common import annotate
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form script style noscript template svg math iframe object canvas video audio button select textarea dialog menu head title option label fieldset datalist".split())
+DROPPED = frozenset("nav header footer aside form dialog menu head title fieldset".split())
+#: Elements whose text is no text; they stand inside a line.
+MUTED = frozenset("script style noscript template svg iframe button select textarea option label datalist".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROPPED
 #: Elements that a new one of the same kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of a class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo cookie cookies disclaimer disqus dialog feedback footer gdpr header hidden infobox masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split())
+#: Words that may stand beside a mark in one name.
+BESIDE = frozenset("area bar block bottom box button buttons container content cta form global group icons inner item items left link links list main message outer page policy posts primary right section secondary site slot top unit wrap wrapper".split())
+#: Elements that are the page or its main part, whatever their class.
+WHOLE = frozenset("html body main".split())
 ATTRIBUTES = frozenset(("class", "id", "role", "aria-label"))
 _SPLIT = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
@@ -54,8 +63,8 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, bool, bool]] = []
         self.held: list[str] = []
         self.tags = 0
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # (tag, drops its text, is the article, is a link)
-        self.drop = self.article = self.links = self.linked = 0
+        self.stack: list[tuple[str, bool, bool, bool, bool]] = []  # (tag, drops its text, is the article, is a link, mutes)
+        self.drop = self.article = self.links = self.linked = self.muted = 0
 
     def end_line(self):
         if self.held:
@@ -66,6 +75,13 @@ class Lines(HTMLParser):
             self.held, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if self.muted and tag in ("article", "main") and not self.article:
+            self.pop_to(next(i for i, x in enumerate(self.stack) if x[4]))  # what should have ended before the article
+        if self.muted:  # all that it holds is muted, too
+            self.tags += 1
+            if tag not in VOID:
+                self.push(tag, False, False, False, True)
+            return
         if tag in BLOCKS:
             self.end_line()
             for i in range(len(self.stack) - 1, -1, -1):
@@ -79,32 +95,38 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        drops = tag in DROPPED or marked(attrs)
+        # An article in an article may be a reader's comment.
+        drops = tag in DROPPED or (tag not in WHOLE and tag not in MUTED and (tag != "article" or self.article > 0) and marked(attrs))
         article = tag in ("article", "main")
         if article and not drops and self.drop and not any(x[0] in ("form", "section", "ol", "ul") for x in self.stack):
             self.pop_to(next(i for i, x in enumerate(self.stack) if x[1]))  # what should have ended before the article
-        self.push(tag, drops, article, tag == "a" and any(name == "href" for name, _ in attrs))
+        self.push(tag, drops, article, tag == "a" and any(name == "href" for name, _ in attrs), tag in MUTED)
 
-    def push(self, tag, drops, article, link):
-        if drops and not self.drop:
+    def push(self, tag, drops, article, link, mutes):
+        if drops and not self.drop and tag in BLOCKS:
             self.end_line()
-        self.stack.append((tag, drops, article, link))
+        elif drops:
+            mutes = mutes or not self.drop
+            drops = False
+        self.stack.append((tag, drops, article, link, mutes))
         self.drop += drops
         self.article += article
         self.links += link
+        self.muted += mutes
 
     def pop_to(self, i):
-        for _, drops, article, link in self.stack[i:]:
+        for _, drops, article, link, mutes in self.stack[i:]:
             self.drop -= drops
             self.article -= article
             self.links -= link
+            self.muted -= mutes
         del self.stack[i:]
 
     def handle_endtag(self, tag):
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if tag in BLOCKS or any(x[1] for x in self.stack[i:]):
+                if not self.stack[i][4] and (tag in BLOCKS or any(x[1] for x in self.stack[i:])):
                     self.end_line()
                 self.pop_to(i)
                 return
@@ -117,6 +139,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
+        if self.muted:
+            return
         self.held.append(data)
         if self.links:
             self.linked += len(data.strip())
@@ -126,11 +150,17 @@ def marked(attrs) -> bool:
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
             return True
-        if name in ATTRIBUTES and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
+        if name in ATTRIBUTES and value and any(map(is_mark, value.split() if name != "aria-label" else [value])):
             return True
     return False
 
 
+def is_mark(name: str) -> bool:
+    """Whether a class name is a mark, or marks and words that may stand beside them."""
+    parts = [x for x in _SPLIT.split(_CAMEL.sub("-", name).lower()) if x]
+    return not MARKS.isdisjoint(parts) and all(x in MARKS or x in BESIDE for x in parts)
+
+
 def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
     """Means weighted by a Gaussian kernel, which is cut off and weighted anew at both ends."""
     kernel = np.array([math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1)])
