@@ -1,7 +1,7 @@
 """Quality rules as a ledger of failure bits, with DataFrame functions only.
 
-ledger() measures every text once and stores the measurements and one bit for each rule that the
-text fails. Policies are versioned sets of rules; applying one is a bitwise test on the stored
+ledger() measures every text once, with one bit for each rule that the text fails, and stored()
+writes measurements and bits, without the texts. Policies are versioned sets of rules; applying one is a bitwise test on the stored
 bits, so a new policy never reads a text again. ablation() counts from the same bits what each
 rule of a policy costs.
 
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import quoted
+from strandlake.llm.common import materialize, quoted
 
 WINDOW = 8
 
@@ -107,6 +107,11 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     return m.select("row", *MEASURES, failed.alias("failed"))
 
 
+def stored(led: DataFrame) -> DataFrame:
+    """The ledger as a written table, which policies and ablations read instead of the texts."""
+    return materialize(led, "quality-ledger")
+
+
 def passes(failed: Column, version: int = CURRENT) -> Column:
     return failed.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0
 
@@ -127,7 +132,7 @@ def ablation(led: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
-ORACLE_SQL = r"""
+MEASURED_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -140,11 +145,24 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_trans
         length(regexp_replace(text, '[^!]+', '', 'g'))::BIGINT AS n_exclamations,
         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1]))::BIGINT AS n_stutter,
-        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
-f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id))
+"""
+
+#: The bits of all rules, in their order.
+FAILED_SQL = "(" + " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values())) + ")::BIGINT"
+
+ORACLE_SQL = f"""{MEASURED_SQL}, f AS (SELECT *, {FAILED_SQL} AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
     OR (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_capitals > word_chars
     OR 4 * n_exclamations > n_words OR n_words > 1000000 OR 5 * n_stutter > n_words) AS kept
 FROM f
 """
+
+ABLATION_SQL = f"""{MEASURED_SQL}, f AS (SELECT {FAILED_SQL} AS bits FROM m),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({v}, '{n}', {mask([n])}, {mask(names)})" for v, names in POLICIES.items() for n in names)}) AS t(version, rule, bit, policy))
+SELECT version::BIGINT AS version, rule, count(*) FILTER (bits & bit <> 0)::BIGINT AS failed, count(*) FILTER (bits & policy = bit)::BIGINT AS failed_alone,
+  count(*) FILTER (bits & policy & ~bit = 0)::BIGINT AS kept_without, count(*) FILTER (bits & policy = 0)::BIGINT AS kept
+FROM f, rules GROUP BY version, rule
+"""

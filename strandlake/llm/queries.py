@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """The newest policy, read from the stored bits."""
+    led = quality_rules.stored(quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     base = F.lit(quality_rules.mask(quality_rules.BASE))
-    return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), quality_rules.passes(F.col("failed")).alias("kept"))
+    return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), quality_rules.passes(F.col("failed")).alias("kept"), "failed")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the stored bits."""
+    led = quality_rules.stored(quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    found = [quality_rules.ablation(led, v).withColumn("version", F.lit(v).cast("long")) for v in quality_rules.POLICIES]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +85,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"quality_ablation": quality_ablation}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "quality_ablation": quality_rules.ABLATION_SQL, "op9_mixing": mixing.ORACLE_SQL}

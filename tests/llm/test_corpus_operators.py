@@ -143,6 +143,13 @@ PAGES = {
     "<article><p>x</p><script>var a='</p>';</script><style>p{}</style><p>y&nbsp;z &am": "x\n\ny z &am",
     "<p>cut <foot": "cut",
     "<div class=ad>open <article><p>kept</p></article>": "kept",
+    "<body class='single has-sidebar'><main class=with-sidebar><article class='post share-enabled'><p>whole text</p></article></main></body>": "whole text",
+    "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><video>no player</video><p>a<button>press</button> b<svg><title>t</title></svg> c</p></article>": "so x=1 holds\n\nno player\n\na b c",
+    "<article><div class='cookie-banner'>no</div><div class='sidebarLeft'>no</div><div class='no-comments'><p>yes</p></div><div id=comment-list><p>no</p></div></article>": "yes",
+    "<article class='sponsored'><p>x</p><article class=comment><p>no</p></article></article>": "x",
+    "<article><p>one <span class=share>no</span> two</p><p>three <!-- no --> four</article>": "one two\n\nthree four",
+    "<article><p>x</p><a class=ad href=/><div>no</div></a><p>y</article>": "x\n\ny",
+    "<article><p>x<script>a<b</script>y</p></article><p>z</p>": "xy",
 }
 
 
@@ -243,24 +250,50 @@ def test_licence_cosine_is_the_plain_one():
 
 def test_shards(spark, docs, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s", target_bytes=20_000)
-    assert store.version() == 0
+    assert store.version() == 0 and store.vacuum() == 0
     for i in range(5):
         store.append(docs.where(F.coalesce(F.col("doc_id"), F.lit(0)) % 5 == i), max_rows=4)
     before = store.version()
     _, live = store.manifest()
     assert before == 5 and sum(s.rows for s in live) == docs.count()
-    after = store.compact(everything=True)
+    after = store.compact()
     assert after > before and len(store.manifest()[1]) < len(live)
     for v in (before, after):  # an older version stays readable
         assert store.read(v).exceptAll(docs).count() == docs.exceptAll(store.read(v)).count() == 0
     with pytest.raises(sharding.Conflict):
         store.commit(docs.schema, [], live[:1])
-    store.append(docs.limit(0))
-    assert store.read().count() == docs.count()
+    for _ in range(sharding.CHECKPOINT):  # over a version that lists all shards
+        store.append(docs.limit(0))
+    assert store.read().count() == docs.count() and store.manifest(after)[1] == store.manifest()[1]
     placed = sharding.placed(store, after, docs.columns)
     assert placed.count() == docs.count()
-    sizes = [s.bytes for s in store.manifest(after)[1]]
-    assert max(sizes) < 3 * 20_000
+    found = {s.path.rsplit("/", 1)[1]: s for s in store.manifest(after)[1]}
+    for name, tier, size, n in placed.groupBy("shard", "tier", "shard_bytes").count().collect():
+        assert (found[name].tier, found[name].bytes, found[name].rows) == (tier, size, n)
+    assert max(s.bytes for s in found.values()) < 3 * 20_000
+    assert store.vacuum() == len({s.path for v in range(1, after + 1) for s in store.manifest(v)[1]} - {s.path for s in found.values()})
+    assert store.vacuum() == 0 and store.read().count() == docs.count()
+
+
+@pytest.mark.parametrize("arrivals", [1, 6])
+def test_arrivals_are_compacted_by_tiers(spark, docs, tmp_path, arrivals):
+    """Arrivals of different sizes against plain rules: every row is there once, and no tier keeps FANOUT shards."""
+    store, version = sharding.shard(docs, target_bytes=8_000, small_rows=2, root=f"file://{tmp_path}/s", arrivals=arrivals)
+    assert version > arrivals and store.read().exceptAll(docs).count() == docs.exceptAll(store.read()).count() == 0
+    _, live = store.manifest()
+    tiers = Counter(s.tier for s in live)
+    assert all(n < sharding.FANOUT for t, n in tiers.items() if t) and len({s.run for s in live}) > 1
+    log = [store._load(v) for v in range(1, version + 1)]
+    merges = [m for m in log if m["removed"]]
+    assert merges and sum(not m["removed"] for m in log) == arrivals
+    sizes = {x["path"]: x for m in log for x in m["added"]}
+    for m in merges:  # what is merged is of one tier, and its rows stay
+        assert len({sizes[p]["tier"] for p in m["removed"]}) == 1
+        assert sum(sizes[p]["rows"] for p in m["removed"]) == sum(x["rows"] for x in m["added"])
+    files = {p.name for p in (tmp_path / "s" / "data").rglob("*.parquet")}
+    assert files == {s.path.rsplit("/", 1)[1] for s in live}
+    empty, version = sharding.shard(docs.limit(0), root=f"file://{tmp_path}/e", arrivals=2)
+    assert version == 2 and sharding.placed(empty, version, docs.columns).count() == 0
 
 
 def test_concurrent_commits(spark, docs, tmp_path, monkeypatch):
