@@ -20,7 +20,7 @@ from strandlake.llm.common import quoted
 
 BLOCKS = "bucket int, data binary"
 #: Records that a task packs at once.
-PACK = 1 << 20
+PACK = 1 << 19
 #: Bytes of text and rows for each bucket, so that a bucket's records fit in a worker's memory.
 TEXT_PER_BUCKET, ROWS_PER_BUCKET = 32 << 20, 200_000
 

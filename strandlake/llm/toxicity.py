@@ -145,7 +145,7 @@ def scorer(model: Model):
     def fn(column: pa.Array):
         if not cache:
             cache.append(model.automaton())
-        found = [hits(cache[0], x) for x in column.to_pylist()]
+        found = [hits(cache[0], x.as_py()) for x in column]  # one text at a time
         total, n = np.array([x for x, _ in found], float), np.array([x for _, x in found], np.int64)
         return [pa.array(score(model, total, n)), pa.array(total), pa.array(n)]
 
@@ -165,23 +165,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return materialize(texts.join(F.broadcast(rows), "i").select("text", "y"), "toxicity-training")
 
 
+#: Features that a task counts before it passes its counts on.
+HELD = 150_000
+
+
 def count_terms(batches):
-    """mapInArrow over (text, y): how often (see MOST_PER_TEXT) and in how many texts of a kind each feature is."""
-    n = [Counter(), Counter()]
-    texts = [Counter(), Counter()]
+    """mapInArrow over (text, y): how often (see MOST_PER_TEXT) and in how many texts of a kind each feature is.
+
+    A feature may come several times from one task; the counts are sums.
+    """
+    counts: dict[str, list[int]] = {}  # n0, n1, t0, t1
+
+    def passed_on():
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][i] for k in keys], pa.int64()) for i in range(4))], names=["f", "n0", "n1", "t0", "t1"])
+
     for b in batches:
-        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for text, y in zip(b.column(0), b.column(1).to_pylist()):
             y = int(bool(y))
             seen = Counter()
-            for word, times in Counter(_WORD.findall(fold(text))).items():
+            for word, times in Counter(_WORD.findall(fold(text.as_py()))).items():
                 for f in features(word):
                     seen[f] += times
-            n[y].update({f: min(times, MOST_PER_TEXT) for f, times in seen.items()})
-            texts[y].update(dict.fromkeys([*seen, ""], 1))
-    keys = list(texts[0].keys() | texts[1].keys())
-    for low in range(0, len(keys), 50_000):
-        part = keys[low : low + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[k] for k in part], pa.int64()) for c in (n[0], n[1], texts[0], texts[1]))], names=["f", "n0", "n1", "t0", "t1"])
+            seen[""] = 0
+            for f, times in seen.items():
+                c = counts.setdefault(f, [0, 0, 0, 0])
+                c[y] += min(times, MOST_PER_TEXT)
+                c[2 + y] += 1
+            if len(counts) >= HELD:
+                yield passed_on()
+                counts.clear()
+    if counts:
+        yield passed_on()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN) -> Model:
@@ -205,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measured(batches):
         automaton = model.automaton()
         for b in batches:
-            found = [measure(*hits(automaton, x)) for x in string_column(b.column(0)).to_pylist()]
+            found = [measure(*hits(automaton, x.as_py())) for x in string_column(b.column(0))]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.float64()) for i in range(3)), b.column(1)], names=["x0", "x1", "x2", "y"])
 
     got = rows.mapInArrow(measured, "x0 double, x1 double, x2 double, y int").toArrow()  # at most `most` rows
