@@ -1,7 +1,8 @@
 """The byte level of archives: varints, packed sequences, streams of a frame, headers and checksums.
 
-Encoding works on whole Arrow columns: the pieces of all records (lengths, packed bases, exceptions)
-are computed as arrays and scattered to their places in one buffer.
+Records are columns: the bytes of all values and the length of each. Encoding computes the pieces of
+all records (lengths, packed bases, exceptions) as arrays and puts them in their places in one buffer;
+decoding finds where the values lie and gathers them at once.
 """
 
 from __future__ import annotations
@@ -34,7 +35,15 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[list(BASES)] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(IUPAC)] = True
-_QUAD = np.array([[BASES[(b >> (2 * i)) & 3] for i in range(4)] for b in range(256)], np.uint8)
+_QUAD = np.array([[BASES[(b >> (2 * i)) & 3] for i in range(4)] for b in range(256)], np.uint8).view(np.uint32).ravel()
+_NOT_ID, _NOT_COMMENT, _NOT_QUALITY = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_NOT_ID[list(b" \r\n")] = _NOT_COMMENT[list(b"\r\n")] = True
+_NOT_QUALITY[33:127] = False
+
+#: The bytes of all values of a column, and the length of each.
+Column = tuple[np.ndarray, np.ndarray]
+#: Mean length of values from which they are joined as slices instead of being scattered byte by byte.
+SLICED = 24
 
 FRAME_HEADER = struct.Struct("<4I7Q")
 FOOTER = struct.Struct("<2I4Q")
@@ -85,16 +94,41 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def interleave(*pieces: tuple[np.ndarray, np.ndarray]) -> bytes:
+def cut(data, lengths: np.ndarray) -> list:
+    """The values of a column, as slices of it."""
+    ends = np.cumsum(lengths)
+    view = memoryview(data)
+    return [view[a:z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
+
+
+def interleave(*pieces: Column) -> bytes:
     """The pieces of record 0, then those of record 1 and so on; a piece is (bytes, length in each record)."""
     lengths = np.stack([n for _, n in pieces])
+    total = int(lengths.sum())
+    if total >= SLICED * lengths.size:
+        out = [b""] * lengths.size
+        for i, (data, n) in enumerate(pieces):
+            out[i :: len(pieces)] = cut(data, n)
+        return b"".join(out)
     begin = np.cumsum(lengths.sum(0)) - lengths.sum(0)
-    out = np.empty(int(lengths.sum()), np.uint8)
+    out = np.empty(total, np.uint8)
     for (data, n), before in zip(pieces, np.cumsum(lengths, 0) - lengths):
         out[ranges(begin + before, n)] = data
     return out.tobytes()
 
 
+def gather(data, starts: np.ndarray, lengths: np.ndarray) -> Column:
+    """The column of values that begin at these places of data."""
+    if not len(starts):
+        return np.zeros(0, np.uint8), lengths
+    n, step = int(lengths[0]), int(starts[1] - starts[0]) if len(starts) > 1 else 0
+    if (lengths == n).all() and (np.diff(starts) == step).all():  # all alike: rows of a matrix
+        rows = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8)[int(starts[0]) :], (len(starts), n), (step, 1), writeable=False)
+        return rows.reshape(-1), lengths
+    view = memoryview(data)
+    return np.frombuffer(b"".join([view[a:z] for a, z in zip(starts.tolist(), (starts + lengths).tolist())]), np.uint8), lengths
+
+
 def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, length of each) of a binary column; strings are written as Latin-1, one byte for a character."""
     if isinstance(values, pa.ChunkedArray):
@@ -109,27 +143,37 @@ def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def validate(ids, comments, bases, quals, error=UsageError) -> None:
+def validate(ids: Column, comments: Column, bases: Column, quals: Column, error=UsageError) -> None:
     (i, ni), (c, _), (s, ns), (q, nq) = ids, comments, bases, quals
     if (ni == 0).any() or (ns == 0).any() or (ns != nq).any():
         raise error("invalid record: empty field or different lengths")
-    if np.isin(i, list(b" \r\n")).any() or np.isin(c, list(b"\r\n")).any():
+    if _NOT_ID[i].any() or _NOT_COMMENT[c].any():
         raise error("invalid record: white space in the header")
     if not _SYMBOL[s].all():
         raise error("invalid record: not a base")
-    if ((q < 33) | (q > 126)).any():
+    if _NOT_QUALITY[q].any():
         raise error("invalid record: not a quality")
 
 
-def pack(bases: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pack(bases: np.ndarray, n: np.ndarray) -> Column:
     """(packed bytes, bytes of each read)"""
     size = (n + 3) // 4
-    padded = np.zeros(int(size.sum()) * 4, np.uint8)
-    padded[ranges(4 * (np.cumsum(size) - size), n)] = _CODE[bases]
-    return padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8), size
+    codes = _CODE[bases]
+    if (n % 4 != 0).any():
+        pad = [bytes(k) for k in range(4)]
+        codes = np.frombuffer(interleave_slices(cut(codes, n), [pad[k] for k in (4 * size - n).tolist()]), np.uint8)
+    quads = codes.view("<u4")
+    return (quads | quads >> np.uint32(6) | quads >> np.uint32(12) | quads >> np.uint32(18)).astype(np.uint8), size
 
 
-def exceptions(bases: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def interleave_slices(*pieces: list) -> bytes:
+    out = [b""] * (len(pieces) * len(pieces[0]))
+    for i, x in enumerate(pieces):
+        out[i :: len(pieces)] = x
+    return b"".join(out)
+
+
+def exceptions(bases: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, Column]:
     """(number in each read, their bytes): varint of the delta and the symbol, one after the other."""
     at = np.flatnonzero(~_PLAIN[bases])
     begin = np.cumsum(n) - n
@@ -145,11 +189,65 @@ def exceptions(bases: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.n
     return np.bincount(read, minlength=len(n)), (mixed, per_read)
 
 
-def encode_streams(ids, comments, sequences, qualities) -> tuple[bytes, bytes, bytes, int]:
-    """(ids, sequences, qualities) of a frame, and its bases, from four Arrow columns."""
-    i, c, s, q = (column(x) for x in (ids, comments, sequences, qualities))
+@dataclass(frozen=True)
+class Records:
+    """Records as columns."""
+
+    ids: Column
+    comments: Column
+    bases: Column
+    quals: Column
+
+    def __len__(self) -> int:
+        return len(self.ids[1])
+
+    @property
+    def columns(self) -> tuple[Column, Column, Column, Column]:
+        return self.ids, self.comments, self.bases, self.quals
+
+    def text_bytes(self) -> int:
+        """Bytes of the records as canonical FASTQ."""
+        return sum(int(n.sum()) for _, n in self.columns) + 6 * len(self) + int((self.comments[1] > 0).sum())
+
+    def fastq(self) -> bytes:
+        """The records as canonical FASTQ."""
+        return b"".join([b"@%b %b\n%b\n+\n%b\n" % r if r[1] else b"@%b%b\n%b\n+\n%b\n" % r for r in self.rows()])
+
+    def rows(self):
+        """Tuples (id, comment, bases, qualities)."""
+        return zip(*(cut(data.tobytes(), n) for data, n in self.columns))
+
+    def arrow(self) -> list[pa.Array]:
+        """String columns; bytes are Latin-1 characters."""
+        out = []
+        for data, n in self.columns:
+            if len(data) and data.max() > 127:
+                out.append(pa.array([bytes(x).decode("latin-1") for x in cut(data, n)], pa.string()))
+            else:
+                offsets = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(n, out=offsets[1:])
+                out.append(pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string()))
+        return out
+
+    @classmethod
+    def mates(cls, first: Records, second: Records) -> Records:
+        """The records of two files in turn."""
+        columns = []
+        for (a, n), (b, m) in zip(first.columns, second.columns):
+            lengths = np.stack([n, m], 1).ravel()
+            columns.append((np.frombuffer(interleave((a, n), (b, m)), np.uint8), lengths))
+        return cls(*columns)
+
+    @classmethod
+    def of_arrow(cls, *columns) -> Records:
+        return cls(*(column(x) for x in columns))
+
+
+def encode_streams(records: Records) -> tuple[bytes, bytes, bytes, int]:
+    """(ids, sequences, qualities) of a frame, and its bases."""
+    i, c, s, q = records.columns
     validate(i, c, s, q)
-    count = varint(len(s[1]))
+    count = varint(len(records))
     n_exceptions, mixed = exceptions(*s)
     return (
         count + interleave(varints(i[1]), i, varints(c[1]), c),
@@ -159,55 +257,104 @@ def encode_streams(ids, comments, sequences, qualities) -> tuple[bytes, bytes, b
     )
 
 
-def take(data: memoryview, at: int, n: int) -> tuple[memoryview, int]:
-    if n > len(data) - at:
+def walk(data: bytes, at: int, count: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, lengths, place after the last) of count values that follow their length."""
+    starts, lengths = [0] * count, [0] * count
+    try:
+        for k in range(count):
+            n = data[at]
+            if n < 128:
+                at += 1
+            elif (m := data[at + 1]) < 128:
+                n += (m << 7) - 128
+                at += 2
+            else:
+                n, at = read_varint(data, at)
+            starts[k], lengths[k] = at, n
+            at += n
+    except IndexError:
+        raise FormatError("truncated field") from None
+    if at > len(data):
         raise FormatError("truncated field")
-    return data[at : at + n], at + n
+    return np.array(starts, np.int64), np.array(lengths, np.int64), at
+
+
+def walk_sequences(data: bytes, at: int, count: int):
+    """(places of packed bases, lengths in bases, (reads, positions, symbols) of exceptions, place after the last)"""
+    starts, lengths = [0] * count, [0] * count
+    reads, positions, symbols = [], [], bytearray()
+    try:
+        for k in range(count):
+            n = data[at]
+            if n < 128:
+                at += 1
+            elif (m := data[at + 1]) < 128:
+                n += (m << 7) - 128
+                at += 2
+            else:
+                n, at = read_varint(data, at)
+            starts[k], lengths[k] = at, n
+            at += (n + 3) >> 2
+            e = data[at]
+            if not e:
+                at += 1
+                continue
+            e, at = read_varint(data, at)
+            if e > n:
+                raise FormatError("more exceptions than bases")
+            pos = 0
+            for j in range(e):
+                delta, at = (data[at], at + 1) if data[at] < 128 else read_varint(data, at)
+                if j and not delta:
+                    raise FormatError("exceptions out of order")
+                pos += delta
+                if pos >= n:
+                    raise FormatError("exception beyond the sequence")
+                reads.append(k)
+                positions.append(pos)
+                symbols.append(data[at])
+                at += 1
+    except IndexError:
+        raise FormatError("truncated field") from None
+    if at > len(data):
+        raise FormatError("truncated field")
+    return np.array(starts, np.int64), np.array(lengths, np.int64), (np.array(reads, np.int64), np.array(positions, np.int64), np.frombuffer(bytes(symbols), np.uint8)), at
+
+
+def unpack(packed: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bases of packed reads of n bases each."""
+    bases = _QUAD[packed].view(np.uint8)
+    spare = -n % 4
+    if not spare.any():
+        return bases
+    ends = np.cumsum((n + 3) // 4) * 4
+    keep = np.ones(len(bases), bool)
+    for k in (1, 2, 3):
+        keep[ends[spare >= k] - k] = False
+    return bases[keep]
 
 
-def decode_streams(ids: bytes, sequences: bytes, qualities: bytes, count: int) -> list[tuple[bytes, bytes, bytes, bytes]]:
-    ids, sequences, qualities = memoryview(ids), memoryview(sequences), memoryview(qualities)
+def decode_streams(ids: bytes, sequences: bytes, qualities: bytes, count: int) -> Records:
     (a, i), (b, s), (c, q) = read_varint(ids, 0), read_varint(sequences, 0), read_varint(qualities, 0)
     if (a, b, c) != (count, count, count):
         raise FormatError("stream counts differ")
-    out = []
-    for _ in range(count):
-        n, i = read_varint(ids, i)
-        name, i = take(ids, i, n)
-        n, i = read_varint(ids, i)
-        comment, i = take(ids, i, n)
-        bases, s = read_sequence(sequences, s)
-        n, q = read_varint(qualities, q)
-        quality, q = take(qualities, q, n)
-        out.append((bytes(name), bytes(comment), bases, bytes(quality)))
+    if 2 * count > len(ids) or count > len(sequences) or count > len(qualities):  # before anything is allocated for them
+        raise FormatError("truncated field")
+    places, lengths, i = walk(ids, i, 2 * count)
+    starts, n, (reads, positions, symbols), s = walk_sequences(sequences, s, count)
+    quality_places, quality_lengths, q = walk(qualities, q, count)
     if (i, s, q) != (len(ids), len(sequences), len(qualities)):
         raise FormatError("trailing bytes in a stream")
-    if out:
-        flat = [(np.frombuffer(b"".join(x), np.uint8), np.array([len(y) for y in x])) for x in zip(*out)]
-        validate(*flat, error=FormatError)
-    return out
-
-
-def read_sequence(data: memoryview, at: int) -> tuple[bytes, int]:
-    n, at = read_varint(data, at)
-    packed, at = take(data, at, (n + 3) // 4)
-    e, at = read_varint(data, at)
-    bases = _QUAD[np.frombuffer(packed, np.uint8)].ravel()[:n]
-    if e > n:
-        raise FormatError("more exceptions than bases")
-    pos = 0
-    for k in range(e):
-        delta, at = read_varint(data, at)
-        if k and not delta:
-            raise FormatError("exceptions out of order")
-        pos += delta
-        if pos >= n or at >= len(data):
-            raise FormatError("exception beyond the sequence")
-        if not _SYMBOL[data[at]]:
+    packed, _ = gather(sequences, starts, (n + 3) // 4)
+    bases = unpack(packed, n)
+    if len(reads):
+        if not _SYMBOL[symbols].all():
             raise FormatError("exception is not a base")
-        bases[pos] = data[at]
-        at += 1
-    return bases.tobytes(), at
+        bases = bases.copy()
+        bases[(np.cumsum(n) - n)[reads] + positions] = symbols
+    out = Records(gather(ids, places[::2], lengths[::2]), gather(ids, places[1::2], lengths[1::2]), (bases, n), gather(qualities, quality_places, quality_lengths))
+    validate(*out.columns, error=FormatError)
+    return out
 
 
 def logical_checksum(ids: bytes, sequences: bytes, qualities: bytes) -> int:
@@ -272,6 +419,8 @@ class FrameHeader:
     checksum: int
 
     def pack(self) -> bytes:
+        if max(self.frame_id, self.record_count) >> 32:
+            raise UsageError("a frame's number or its records do not fit 32 bits")
         return FRAME_HEADER.pack(FRAME_MAGIC, FRAME_HEADER_SIZE, *(getattr(self, f) for f in self.__dataclass_fields__))
 
     @property
@@ -292,17 +441,19 @@ def parse_frame_header(data: bytes, expected_id: int, paired: bool) -> FrameHead
 
 
 def footer(frames: int, records: int, bases: int, rolling: int) -> bytes:
+    if max(frames, records, bases) >> 64:
+        raise UsageError("totals do not fit 64 bits")
     return FOOTER.pack(FOOTER_MAGIC, FOOTER_SIZE, frames, records, bases, rolling)
 
 
-def encode_frame(frame_id: int, ids, comments, sequences, qualities) -> tuple[FrameHeader, int, bytes, bytes, bytes]:
-    raw_ids, raw_seq, raw_qual, bases = encode_streams(ids, comments, sequences, qualities)
+def encode_frame(frame_id: int, records: Records) -> tuple[FrameHeader, int, bytes, bytes, bytes]:
+    raw_ids, raw_seq, raw_qual, bases = encode_streams(records)
     i, s, q = compress(raw_ids), compress(raw_seq), compress(raw_qual)
-    h = FrameHeader(frame_id, len(ids), len(raw_ids), len(i), len(raw_seq), len(s), len(raw_qual), len(q), logical_checksum(raw_ids, raw_seq, raw_qual))
+    h = FrameHeader(frame_id, len(records), len(raw_ids), len(i), len(raw_seq), len(s), len(raw_qual), len(q), logical_checksum(raw_ids, raw_seq, raw_qual))
     return h, bases, i, s, q
 
 
-def decode_frame(h: FrameHeader, ids: bytes, seq: bytes, qual: bytes) -> list[tuple[bytes, bytes, bytes, bytes]]:
+def decode_frame(h: FrameHeader, ids: bytes, seq: bytes, qual: bytes) -> Records:
     i, s, q = decompress(ids, h.raw_ids), decompress(seq, h.raw_seq), decompress(qual, h.raw_qual)
     if logical_checksum(i, s, q) != h.checksum:
         raise ChecksumError("frame checksum differs")

@@ -49,36 +49,56 @@ class Cutter:
 def assign_frames(reads: DataFrame, target: int, paired: bool = False, file_col: str | None = None) -> DataFrame:
     """reads with frame_id. Files are cut independently and in parallel; within a file frames follow read_no.
 
-    One pass over each file's rows in order, holding one Arrow batch; nothing is gathered.
+    Where a frame ends depends on all records before it, so one task for each file goes through the sizes
+    of its records, two numbers each; the reads themselves are not moved. The first read of each frame
+    comes to the driver (one number for each frame) and goes to the tasks that number the reads.
     """
     retained = E.retained_bytes(*[F.col(c) for c in ("id", "comment", "sequence", "quality")])
-    sized = reads.withColumn("_retained", retained)
-    if file_col:
-        sized = sized.repartition(F.col(file_col)).sortWithinPartitions(file_col, "read_no")
-    else:
-        sized = sized.coalesce(1).sortWithinPartitions("read_no")
-    schema = StructType([*reads.schema.fields, StructField("frame_id", LongType())])
-    names = to_arrow_schema(schema).names
+    file = F.col(file_col).cast("string") if file_col else F.lit(None).cast("string")
+    sized = reads.select(file.alias("file"), F.col("read_no"), retained.alias("size"))
+    sized = sized.repartition(F.col("file")) if file_col else sized.repartition(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutters: dict = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cutter, last = object(), None, None
         for b in batches:
-            sizes = b.column(len(names) - 1).to_numpy()
-            files = b.column(names.index(file_col)).to_pylist() if file_col else [None] * len(sizes)
-            frame = np.empty(len(sizes), np.int64)
-            at = 0
+            files, numbers, sizes = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            at, out = 0, []
             while at < len(sizes):
                 end = at + 1
                 while end < len(sizes) and files[end] == files[at]:
                     end += 1
-                cutter = cutters.get(files[at])
-                if cutter is None:
-                    cutters = {files[at]: (cutter := Cutter(target, paired))}
-                frame[at:end] = cutter.cut(sizes[at:end])
+                if cutter is None or files[at] != held:
+                    held, cutter, last = files[at], Cutter(target, paired), -1
+                frame = cutter.cut(sizes[at:end])
+                new = np.flatnonzero(np.append(frame[0] != last, frame[1:] != frame[:-1]))
+                last = int(frame[-1])
+                out += [(held, int(frame[i]), int(numbers[at + i])) for i in new.tolist()]
                 at = end
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) - 1)), pa.array(frame)], names=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["file", "frame_id", "first"])
+
+    found = sized.sortWithinPartitions("file", "read_no").mapInArrow(cut, "file string, frame_id long, first long").collect()
+    firsts: dict = {}
+    for r in sorted(found, key=lambda r: (r.file or "", r.frame_id)):
+        firsts.setdefault(r.file, []).append(r.first)
+    firsts = {f: np.array(x) for f, x in firsts.items()}
+    schema = StructType([*reads.schema.fields, StructField("frame_id", LongType())])
+    names = to_arrow_schema(schema).names
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(names.index("read_no")).to_numpy()
+            if file_col:
+                files = b.column(names.index(file_col)).cast(pa.string())
+                frame = np.zeros(len(n), np.int64)
+                for f in files.unique().to_pylist():
+                    own = np.array([x == f for x in files.to_pylist()])
+                    frame[own] = np.searchsorted(firsts[f], n[own], "right") - 1
+            else:
+                frame = np.searchsorted(firsts[None], n, "right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(frame)], names=names)
 
-    return sized.mapInArrow(run, schema)
+    return reads.mapInArrow(number, schema)
 
 
 def exception_positions(reads: DataFrame) -> DataFrame:

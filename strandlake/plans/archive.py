@@ -41,7 +41,7 @@ def encode_frames(framed: DataFrame, memory: int | None = None) -> DataFrame:
 
     def encode(table: pa.Table) -> pa.Table:
         table = table.sort_by("read_no")
-        h, bases, *data = C.encode_frame(table.column("frame_id")[0].as_py(), *(table.column(c) for c in ("id", "comment", "sequence", "quality")))
+        h, bases, *data = C.encode_frame(table.column("frame_id")[0].as_py(), C.Records.of_arrow(*(table.column(c) for c in ("id", "comment", "sequence", "quality"))))
         if memory is not None:
             admit((h.raw_ids, h.raw_seq, h.raw_qual), h.record_count, table.nbytes, memory)
         values = [getattr(h, f) for f in HEADER_FIELDS]
@@ -62,8 +62,7 @@ def decode_frames(encoded: DataFrame) -> DataFrame:
                 h = C.FrameHeader(*(r[f] for f in HEADER_FIELDS[:-1]), unsigned(r["checksum"]))
                 records = C.decode_frame(h, r["ids"], r["seqs"], r["quals"])
                 n = len(records)
-                text = [pa.array([x.decode("latin-1") for x in c], pa.string()) for c in zip(*records)]
-                yield pa.RecordBatch.from_arrays([pa.array([h.frame_id] * n), pa.array([r["frame_first"]] * n), pa.array(range(n), pa.int64()), *text], names=["frame_id", "frame_first", "frame_pos", "id", "comment", "sequence", "quality"])
+                yield pa.RecordBatch.from_arrays([pa.array([h.frame_id] * n), pa.array([r["frame_first"]] * n), pa.array(range(n), pa.int64()), *records.arrow()], names=["frame_id", "frame_first", "frame_pos", "id", "comment", "sequence", "quality"])
 
     return encoded.join(first, "frame_id").mapInArrow(decode, DECODED)
 

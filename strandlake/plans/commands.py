@@ -6,17 +6,16 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from strandlake.functions import codec, errors
 from strandlake.functions import expr as E
-from strandlake.operators import frames as framing
 from strandlake.operators import profile as profiles
-from strandlake.plans import archive
-from strandlake.sources import register
+from strandlake.plans import transfer
+from strandlake.plans.archive import unsigned
 from strandlake.sources import storage
 from strandlake.sources.frames import MEMORY_MIB, inspect
+from strandlake.sources.storage import Staged
 
 MIN_MEMORY_MIB = 64
 FRAME_MIB = 64
@@ -46,79 +45,77 @@ def typed():
         raise
 
 
+def mib(n: int) -> int:
+    """Bytes of so many MiB, which must fit 64 bits."""
+    if n << 20 >> 64 > 0:
+        raise errors.UsageError("a size does not fit 64 bits")
+    return n << 20
+
+
 def check_memory(memory_mib: int) -> int:
     if memory_mib < MIN_MEMORY_MIB:
         raise errors.UsageError(f"the memory limit is at least {MIN_MEMORY_MIB} MiB")
-    return memory_mib << 20
-
+    return mib(memory_mib)
 
-def load(spark: SparkSession, path: str, mate: str | None) -> DataFrame:
-    """The reads in their order; mates are side by side, and inputs of different lengths fail."""
-    register(spark)
-    first = spark.read.format("fastq").load(path).drop("file_no")
-    if not mate:
-        return first
-    zipped = profiles.pair_zip(first, spark.read.format("fastq").load(mate).drop("file_no"))
-    if not profiles.unpaired(zipped).isEmpty():
-        raise errors.FormatError("paired inputs have different record counts")
-    return profiles.interleave(zipped)
 
-
-def resolve_profile(reads: DataFrame, memory: int, paired: bool) -> str:
+def resolve_profile(spark: SparkSession, paths: list[str], memory: int) -> str:
     limit = min(E.MAX_FRAME, (memory - E.RESERVE) // 8)
-    found = profiles.detect_profile(profiles.profile_sample(reads, limit, paired)).first().profile
+    reads = transfer.first_reads(spark, paths)
+    found = profiles.detect_profile(profiles.profile_sample(reads, limit, len(paths) == 2)).first().profile
     if found is None:
         raise errors.UsageError("the profile is ambiguous; name one")
     return found
 
 
+@contextmanager
+def published(target: str, force: bool):
+    """Output that appears whole or not at all."""
+    staged = Staged(target, force)
+    try:
+        with typed():
+            yield staged
+    except BaseException:
+        staged.abort()
+        raise
+
+
 def compress(spark: SparkSession, source: str, target: str, mate: str | None = None, profile: str | None = None, frame_mib: int = FRAME_MIB, memory_mib: int = MEMORY_MIB, force: bool = False) -> Stats:
     memory = check_memory(memory_mib)
-    if frame_mib <= 0:
+    frame = mib(frame_mib)
+    if frame <= 0:
         raise errors.UsageError("the frame size must be positive")
-    storage.check_output(source, target, force)
-    if mate is not None:
-        storage.check_output(mate, target, force)
+    paths = [source] if mate is None else [source, mate]
+    for p in paths:
+        storage.check_output(p, target, force)
     if profile is not None and profile not in codec.PROFILE_CODES:
         raise errors.UsageError(f"unknown profile: {profile}")
-    with typed():
-        reads = load(spark, source, mate)
-        profile = profile or resolve_profile(reads, memory, mate is not None)
-        size = min(frame_mib << 20, (memory - E.RESERVE) // 8)
-        framed = framing.assign_frames(reads, size, mate is not None)
-        encoded = archive.encode_frames(framed, memory)
-        encoded.write.format("readframes").mode("append").options(profile=profile, paired=str(mate is not None).lower(), force=str(force).lower()).save(target)
-        made = inspect(target, memory)
-    logical = made.bases * 2  # counted from the archive, so that the input is not parsed once more
-    logical += spark.read.format("readframes").load(target).agg(F.sum(F.length("id") + F.length("comment") + 6 + (F.col("comment") != "").cast("int"))).first()[0] or 0
-    return Stats(made.profile, made.paired, len(made.headers), made.records, made.bases, logical, made.size)
-
-
-def decoded_stats(found, rows: DataFrame) -> tuple[int, int]:
-    """(bases, logical bytes) of the decoded records, which must agree with the footer."""
-    fields = [F.col(c) for c in ("id", "comment", "sequence", "quality")]
-    n, bases, logical = rows.agg(F.count("*"), F.sum(F.length("sequence")), F.sum(E.canonical_bytes(*fields))).first()
-    if (n, bases or 0) != (found.records, found.bases):
-        raise errors.FormatError("footer totals differ")
-    return bases or 0, logical or 0
+    with published(target, force) as staged:
+        profile = profile or resolve_profile(spark, paths, memory)
+        done = transfer.encode_files(spark, paths, min(frame, (memory - E.RESERVE) // 8), memory, staged)
+        records, bases, rolling = sum(r.records for r in done), sum(r.bases for r in done), 0
+        if [r.frame_id for r in done] != list(range(len(done))):
+            raise errors.InternalError("frames are missing")
+        for r in done:
+            rolling = codec.advance(rolling, unsigned(r.checksum))
+        head, tail = codec.header(profile, mate is not None), codec.footer(len(done), records, bases, rolling)
+        transfer.assemble(spark, staged, head, done, tail)
+    size = len(head) + len(tail) + sum(r.n for r in done)
+    return Stats(profile, mate is not None, len(done), records, bases, sum(r.text for r in done), size)
 
 
 def decompress(spark: SparkSession, source: str, target: str, memory_mib: int = MEMORY_MIB, force: bool = False) -> Stats:
     memory = check_memory(memory_mib)
     storage.check_output(source, target, force)
-    register(spark)
     found = inspect(source, memory)
-    with typed():
-        rows = spark.read.format("readframes").option("memory_mib", memory_mib).load(source)
-        bases, logical = decoded_stats(found, rows)  # before anything is published
-        rows.write.format("fastq").mode("append").option("force", str(force).lower()).save(target)
-    return Stats(found.profile, found.paired, len(found.headers), found.records, bases, found.size, logical)
+    with published(target, force) as staged:
+        done = transfer.decode_frames(spark, source, found, memory, staged)  # totals and checksums agree, or nothing is published
+        transfer.assemble(spark, staged, b"", done, b"")
+    return Stats(found.profile, found.paired, len(done), found.records, found.bases, found.size, sum(r.text for r in done))
 
 
 def verify(spark: SparkSession, source: str, memory_mib: int = MEMORY_MIB) -> Stats:
     memory = check_memory(memory_mib)
-    register(spark)
     found = inspect(source, memory)
     with typed():
-        bases, logical = decoded_stats(found, spark.read.format("readframes").option("memory_mib", memory_mib).load(source))
-    return Stats(found.profile, found.paired, len(found.headers), found.records, bases, found.size, logical)
+        done = transfer.decode_frames(spark, source, found, memory, None)
+    return Stats(found.profile, found.paired, len(done), found.records, found.bases, found.size, sum(r.text for r in done))

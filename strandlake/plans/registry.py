@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import expr as E
 from strandlake.operators import frames, profile
-from strandlake.plans import archive
+from strandlake.plans import archive, commands
 from strandlake.plans.reads import DUCK, mates, reads
+from strandlake.sources import register
+from strandlake.sources.frames import inspect
+from strandlake.sources.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -393,6 +396,109 @@ def zstd_ratio(spark, d):
     return e.agg(F.sum(F.col("raw_ids") + F.col("raw_seq") + F.col("raw_qual")).alias("raw"), F.sum(F.col("enc_ids") + F.col("enc_seq") + F.col("enc_qual")).alias("encoded"))
 
 
+# Queries over files: the reads are written by the engine's own sinks and read by its sources
+
+
+def written_fastq(spark, rows, name: str) -> str:
+    """One FASTQ file of the rows in the order of read_no."""
+    register(spark)
+    path = f"{scratch(spark)}/{name}.fastq"
+    rows.orderBy("read_no").select(F.lit(0).alias("file_no"), "read_no", *RECORD).write.format("fastq").mode("append").save(path)
+    return path
+
+
+def written_archive(spark, d, paired: bool = False) -> str:
+    source = written_fastq(spark, reads(spark, d), "reads")
+    mate = written_fastq(spark, mates(spark, d), "mates") if paired else None
+    target = f"{scratch(spark)}/reads.arc"
+    commands.compress(spark, source, target, mate=mate, profile="illumina", frame_mib=1)
+    return target
+
+
+def load(spark, kind: str, path: str):
+    register(spark)
+    return spark.read.format(kind).load(path).select("read_no", *RECORD)
+
+
+NUMBERED = "SELECT row_number() OVER (ORDER BY read_no) - 1 AS read_no, id, comment, sequence, quality FROM reads"
+
+
+@query(NUMBERED)
+def fastq_scan(spark, d):
+    """A FASTQ file written and parsed: records, order and counters."""
+    return load(spark, "fastq", written_fastq(spark, reads(spark, d), "reads"))
+
+
+@query(NUMBERED)
+def fastq_parts_scan(spark, d):
+    """A folder of parts in their order, read like one file."""
+    register(spark)
+    path = f"{scratch(spark)}/parts"
+    reads(spark, d).orderBy("read_no").select(F.lit(0).alias("file_no"), "read_no", *RECORD).write.format("fastq").mode("append").option("layout", "parts").save(path)
+    return load(spark, "fastq", path)
+
+
+@query("SELECT id, comment, sequence, quality FROM reads")
+def gzip_scan(spark, d):
+    """Compressed FASTQ files with Windows line ends."""
+    register(spark)
+    path = f"{scratch(spark)}/gzip"
+    text = F.replace(E.render_fastq(*cols()), F.lit("\n"), F.lit("\r\n"))
+    reads(spark, d).select(text.alias("value")).write.option("compression", "gzip").text(path)
+    names = [r.p for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.col("path").alias("p")).orderBy("p").collect()]
+    return spark.read.format("fastq").load(",".join(names)).select(*RECORD)
+
+
+@query(NUMBERED)
+def archive_scan(spark, d):
+    """An archive written and read as a table."""
+    return load(spark, "readframes", written_archive(spark, d))
+
+
+@query(NUMBERED)
+def restored_reads(spark, d):
+    """An archive restored to FASTQ, and that parsed."""
+    source, target = written_archive(spark, d), f"{scratch(spark)}/back.fastq"
+    commands.decompress(spark, source, target)
+    return load(spark, "fastq", target)
+
+
+@query("""SELECT row_number() OVER (ORDER BY read_no, mate) - 1 AS read_no, id, comment, sequence, quality
+FROM (SELECT *, 0 AS mate FROM reads UNION ALL SELECT *, 1 AS mate FROM mates)""")
+def paired_archive_scan(spark, d):
+    """An archive of two files of mates."""
+    return load(spark, "readframes", written_archive(spark, d, paired=True))
+
+
+MIB_WALK = """, RECURSIVE_MARK
+sz AS (SELECT row_number() OVER (ORDER BY read_no) AS k, read_no, length(id) + length(comment) + length(sequence) + length(quality) + 132 AS b FROM reads),
+walk AS (SELECT k, read_no, 0::BIGINT AS frame_id, b AS held FROM sz WHERE k = 1 UNION ALL
+  SELECT sz.k, sz.read_no, CASE WHEN held >= 1048576 THEN frame_id + 1 ELSE frame_id END, CASE WHEN held >= 1048576 THEN b ELSE held + b END FROM walk JOIN sz ON sz.k = walk.k + 1)"""
+
+
+@query(f"""{MIB_WALK} SELECT 'illumina' AS profile, false AS paired, count(DISTINCT frame_id) AS frames, count(*) AS records, sum(length(sequence))::BIGINT AS bases
+FROM walk JOIN reads USING (read_no)""")
+def archive_footer(spark, d):
+    """What header and footer of an archive say."""
+    a = inspect(written_archive(spark, d))
+    return spark.createDataFrame([(a.profile, a.paired, len(a.headers), a.records, a.bases)], "profile string, paired boolean, frames long, records long, bases long")
+
+
+@query(f"""{MIB_WALK} SELECT frame_id, count(*) AS record_count, ({VS('count(*)')} + sum({VS('length(id)')} + length(id) + {VS('length(comment)')} + length(comment)))::BIGINT AS raw_ids,
+({VS('count(*)')} + sum({VS('length(quality)')} + length(quality)))::BIGINT AS raw_qual FROM walk JOIN reads USING (read_no) GROUP BY frame_id""")
+def frame_headers(spark, d):
+    """What the headers of an archive's frames say."""
+    rows = [(h.frame_id, h.record_count, h.raw_ids, h.raw_qual) for _, h in inspect(written_archive(spark, d)).headers]
+    return spark.createDataFrame(rows, "frame_id long, record_count long, raw_ids long, raw_qual long")
+
+
+@query("SELECT count(*) AS records, sum(length(sequence))::BIGINT AS bases, sum(length(id) + length(comment) + length(sequence) + length(quality) + 6 + CASE WHEN comment = '' THEN 0 ELSE 1 END)::BIGINT AS text_bytes FROM reads")
+def verify_totals(spark, d):
+    """Totals of an archive of which every frame was checked and decoded."""
+    s = commands.verify(spark, written_archive(spark, d))
+    return spark.createDataFrame([(s.records, s.bases, s.output_bytes)], "records long, bases long, text_bytes long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile and archive totals of all reads."""
     return archive_stats(spark, sf_dir).crossJoin(profile.detect_profile(reads(spark, sf_dir)).select("profile"))

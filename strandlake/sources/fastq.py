@@ -5,7 +5,12 @@ header), Arrow batches out. Columns: file_no, read_no (from 0 in each file), id,
 quality. Text is Latin-1, so that bytes and characters are the same. Faults name the line.
 
 Writing: rows of (id, comment, sequence, quality) in the order of partitions; the parts become one
-file that appears at once.
+file that appears at once. With the option layout=parts they stay files of a folder, in order by
+their names, which appears at once, and which is read like one file.
+
+records_of() and Lane work on blocks of bytes instead of lines: all records of a block are checked
+and measured as arrays. A block that is not plain (blank lines, carriage returns, faults) goes
+through the strict parser, which says what is wrong.
 """
 
 from __future__ import annotations
@@ -14,17 +19,21 @@ import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from strandlake.functions import codec as C
 from strandlake.functions.errors import FormatError, UsageError
-from strandlake.sources.storage import Staged, open_input
+from strandlake.sources.storage import Staged, is_plain, open_input, part_files
 
 SCHEMA = "file_no int, read_no long, id string, comment string, sequence string, quality string"
 NAMES = ["file_no", "read_no", "id", "comment", "sequence", "quality"]
 CHUNK = 4 << 20
 COPY = 1 << 20
+#: Bytes that a record counts for a frame besides its text: a fixed rule, see functions.expr.retained_bytes().
+RETAINED = 132
 
 
 class Parser:
@@ -106,6 +115,128 @@ def parse(stream: io.BufferedIOBase, file_no: int = 0) -> Iterator[pa.RecordBatc
         n += size
 
 
+def lines_of(block: bytes):
+    """(header, its first space or its end, its end, sequence, its end, quality, its end) of each record, as places in
+    the block; None if the block is not whole records without blank lines and carriage returns."""
+    buf = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    if not len(ends) or len(ends) % 4 or ends[-1] != len(buf) - 1 or b"\r" in block:
+        return None
+    starts = np.append(0, ends[:-1] + 1)
+    (h, s, p, q), (he, se, pe, qe) = (starts.reshape(-1, 4).T, ends.reshape(-1, 4).T)
+    if (buf[h] != 64).any() or (he - h < 2).any() or (buf[h + 1] == 32).any() or (buf[p] != 43).any() or (se == s).any() or (se - s != qe - q).any():
+        return None
+    spaces = np.append(np.flatnonzero(buf == 32), len(buf))
+    return h, np.minimum(spaces[np.searchsorted(spaces, h)], he), he, s, se, q, qe
+
+
+def records_of(block: bytes) -> C.Records:
+    """The records of a block of whole records."""
+    found = lines_of(block)
+    if found is None:
+        held = list(Parser(io.BytesIO(block)).blocks())
+        block = b"".join(b"@%b\n%b\n+\n%b\n" % r for b in held for r in zip(*b))
+        found = lines_of(block) if block else (np.zeros(0, np.int64),) * 7
+    h, space, he, s, se, q, qe = found
+    comment = np.minimum(space + 1, he)
+    return C.Records(C.gather(block, h + 1, space - h - 1), C.gather(block, comment, he - comment), C.gather(block, s, se - s), C.gather(block, q, qe - q))
+
+
+class Prefixed:
+    """A stream with bytes before it."""
+
+    def __init__(self, head: bytes, stream):
+        self.head, self.stream = head, stream
+
+    def read(self, n: int) -> bytes:
+        head, self.head = self.head, b""
+        return head or self.stream.read(n)
+
+
+@dataclass
+class Segment:
+    """Records of a lane that no frame has taken yet: where each begins and the last ends, in the file or in data."""
+
+    starts: np.ndarray
+    end: int
+    offset: int
+    data: bytes | None
+    used: int = 0
+
+
+class Lane:
+    """A file as measured records, which frames take in order; only what cannot be read again is held."""
+
+    def __init__(self, path: str):
+        self.segments: list[Segment] = []
+        self.sizes = np.zeros(0, np.int64)
+        self.found = self.measured(path)
+
+    def measured(self, path: str) -> Iterator[tuple[np.ndarray, Segment]]:
+        stream, again = open_input(path), is_plain(path)
+        offset, rest, line_no = 0, b"", 0
+        while data := stream.read(CHUNK):
+            block = rest + data
+            n = block.count(b"\n") // 4 * 4
+            if not n:
+                rest = block
+                continue
+            places = np.flatnonzero(np.frombuffer(block, np.uint8) == 10)
+            end = int(places[n - 1]) + 1
+            lines = lines_of(block[:end])
+            if lines is None:
+                rest = block
+                break
+            yield self.sizes_of(lines), Segment(lines[0], end, offset, None if again else block)
+            offset, rest, line_no = offset + end, block[end:], line_no + n
+        if rest:
+            parser = Parser(Prefixed(rest, stream))
+            parser.line_no = line_no
+            for block in parser.blocks():
+                data = b"".join(b"@%b\n%b\n+\n%b\n" % r for r in zip(*block))
+                lines = lines_of(data)
+                yield self.sizes_of(lines), Segment(lines[0], len(data), 0, data)
+
+    @staticmethod
+    def sizes_of(lines) -> np.ndarray:
+        """Bytes that each record counts for a frame."""
+        h, space, he, s, se, _, _ = lines
+        return (he - h - 1 - (space < he)) + 2 * (se - s) + RETAINED
+
+    def fill(self) -> int:
+        """Records that are measured and not yet seen."""
+        while not len(self.sizes):
+            got = next(self.found, None)
+            if got is None:
+                return 0
+            self.sizes = got[0]
+            self.segments.append(got[1])
+        return len(self.sizes)
+
+    def see(self, n: int) -> np.ndarray:
+        sizes, self.sizes = self.sizes[:n], self.sizes[n:]
+        return sizes
+
+    def take(self, n: int) -> list[dict]:
+        """The next n records as pieces: places in the file, or bytes."""
+        pieces = []
+        while n:
+            x = self.segments[0]
+            m = min(n, len(x.starts) - x.used)
+            last = x.used + m
+            a, z = int(x.starts[x.used]), int(x.starts[last]) if last < len(x.starts) else x.end
+            if x.data is not None:
+                pieces.append({"at": -1, "n": z - a, "data": x.data[a:z]})
+            elif pieces and pieces[-1]["at"] >= 0 and pieces[-1]["at"] + pieces[-1]["n"] == x.offset + a:
+                pieces[-1]["n"] += z - a
+            else:
+                pieces.append({"at": x.offset + a, "n": z - a, "data": None})
+            x.used, n = last, n - m
+            if last == len(x.starts):
+                self.segments.pop(0)
+        return pieces
+
+
 @dataclass
 class File(InputPartition):
     number: int
@@ -122,7 +253,13 @@ class FastqReader(DataSourceReader):
         return [File(i, p) for i, p in enumerate(self.paths)]
 
     def read(self, partition):
-        yield from parse(open_input(partition.path), partition.number)
+        before = 0
+        for path in part_files(partition.path):
+            n = before
+            for b in parse(open_input(path), partition.number):
+                n = before + b.column(1)[-1].as_py() + 1
+                yield b.set_column(1, NAMES[1], pa.compute.add(b.column(1), before)) if before else b
+            before = n
 
 
 @dataclass
@@ -137,11 +274,10 @@ class PartsWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite):
         force = overwrite or options.get("force", "false").lower() == "true"
-        self.staged = Staged(options["path"], force)
+        self.staged, self.stay = Staged(options["path"], force), options.get("layout", "file") == "parts"
 
     def render(self, batch: pa.RecordBatch) -> bytes:
-        rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in NAMES[2:]))
-        return "".join(f"@{i} {c}\n{s}\n+\n{q}\n" if c else f"@{i}\n{s}\n+\n{q}\n" for i, c, s, q in rows).encode("latin-1")
+        return C.Records.of_arrow(*(batch.column(batch.schema.get_field_index(c)) for c in NAMES[2:])).fastq()
 
     def write(self, iterator):
         context = TaskContext.get()
@@ -155,6 +291,8 @@ class PartsWriter(DataSourceArrowWriter):
         return Part(context.partitionId(), path, n)
 
     def commit(self, messages):
+        if self.stay:
+            return self.staged.commit_parts([m.path for m in sorted((m for m in messages if m), key=lambda m: m.number)])
         with self.staged.open() as out:
             for m in sorted((m for m in messages if m), key=lambda m: m.number):
                 with self.staged.fs.open_input_stream(m.path) as part:

@@ -28,7 +28,7 @@ NAMES = ["frame_id", "read_no", "id", "comment", "sequence", "quality"]
 MIB = 1 << 20
 MEMORY_MIB = 16384
 #: Payload bytes of the frames that one task reads.
-TASK_BYTES = 64 * MIB
+TASK_BYTES = 16 * MIB
 RESERVE, MAX_FRAME, RECORD_COST = E.RESERVE, E.MAX_FRAME, 2 * E.RECORD_BYTES
 
 
@@ -49,6 +49,7 @@ class Archive:
     records: int
     bases: int
     size: int
+    rolling: int = 0  # checksum of all frames
 
 
 def exactly(stream, n: int) -> bytes:
@@ -79,7 +80,7 @@ def frames_of(stream, paired: bool, memory: int, payload) -> Iterator[tuple[C.Fr
         raise ChecksumError("footer checksum differs")
     if stream.read(1):
         raise FormatError("trailing bytes")
-    yield None, bases
+    yield None, (bases, rolling)
 
 
 def inspect(path: str, memory: int = MEMORY_MIB * MIB) -> Archive:
@@ -97,9 +98,9 @@ def inspect(path: str, memory: int = MEMORY_MIB * MIB) -> Archive:
 
     profile, paired = C.parse_header(stream.read(C.HEADER_SIZE))
     found = list(frames_of(stream, paired, memory, skip))
-    (_, bases), headers = found[-1], [(at, h) for h, at in found[:-1]]
+    (_, (bases, rolling)), headers = found[-1], [(at, h) for h, at in found[:-1]]
     fs, p = locate(path)
-    return Archive(profile, paired, headers, sum(h.record_count for _, h in headers), bases, fs.get_file_info(p).size)
+    return Archive(profile, paired, headers, sum(h.record_count for _, h in headers), bases, fs.get_file_info(p).size, rolling)
 
 
 @dataclass
@@ -148,8 +149,7 @@ class FramesReader(DataSourceReader):
         a, b = h.enc_ids, h.enc_ids + h.enc_seq
         records = C.decode_frame(h, data[:a], data[a:b], data[b:])
         n = len(records)
-        text = [pa.array([x.decode("latin-1") for x in c], pa.string()) for c in zip(*records)]
-        return pa.RecordBatch.from_arrays([pa.array([h.frame_id] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *text], names=NAMES)
+        return pa.RecordBatch.from_arrays([pa.array([h.frame_id] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), *records.arrow()], names=NAMES)
 
 
 @dataclass

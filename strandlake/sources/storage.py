@@ -70,6 +70,36 @@ def open_input(path: str) -> io.BufferedReader:
     return io.BufferedReader(raw, BUFFER)
 
 
+def scratch(spark) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or on one machine in /tmp."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise UsageError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/strandlake-shared"
+    path = f"{root.rstrip('/')}/strandlake/files-{uuid.uuid4().hex}"
+    fs, p = locate(path)
+    fs.create_dir(p, recursive=True)
+    return path
+
+
+def is_plain(path: str) -> bool:
+    """Whether the file is read as it is, so that any part of it can be read again."""
+    fs, p = locate(path)
+    with fs.open_input_file(p) as f:
+        return detect(f.read(8), path) == "none"
+
+
+def part_files(path: str) -> list[str]:
+    """The path, or the parts of a folder in the order of their names."""
+    fs, p = locate(path)
+    if fs.get_file_info(p).type != pafs.FileType.Directory:
+        return [path]
+    files = [f.base_name for f in fs.get_file_info(pafs.FileSelector(p)) if f.type == pafs.FileType.File and f.base_name.startswith("part-")]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(files)]
+
+
 def check_output(source: str, target: str, force: bool) -> None:
     if not source or not target:
         raise UsageError("input and output paths are needed")
@@ -101,6 +131,23 @@ class Staged:
         self.fs.move(self.temporary, self.path)
         self._drop_parts()
 
+    def commit_parts(self, parts: list[str]) -> None:
+        """Publish the parts as files of a folder, named by their order; nothing is copied."""
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            if not self.force:
+                self.abort()
+                raise InputOutputError(f"output exists: {self.name}")
+            (self.fs.delete_dir if self.fs.get_file_info(self.path).type == pafs.FileType.Directory else self.fs.delete_file)(self.path)
+        folder = f"{self.temporary}.parts"
+        self.fs.create_dir(folder, recursive=True)
+        kept = set(parts)
+        for f in self.fs.get_file_info(pafs.FileSelector(folder)):
+            if f.path not in kept:  # of an attempt that was given up
+                self.fs.delete_file(f.path)
+        for i, p in enumerate(parts):
+            self.fs.move(p, f"{folder}/part-{i:08d}")
+        self.fs.move(folder, self.path)
+
     def abort(self) -> None:
         if self.fs.get_file_info(self.temporary).type != pafs.FileType.NotFound:
             self.fs.delete_file(self.temporary)

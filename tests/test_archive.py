@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import gzip
 import io
 import random
@@ -8,8 +9,9 @@ import numpy as np
 import pytest
 
 from strandlake import cli
+from strandlake.functions import codec as C
 from strandlake.functions.errors import ChecksumError, FormatError, InputOutputError, UnsupportedError, UsageError
-from strandlake.operators.frames import Cutter
+from strandlake.operators.frames import Cutter, assign_frames
 from strandlake.plans import commands
 from strandlake.sources import register, storage
 from strandlake.sources.fastq import parse
@@ -158,6 +160,111 @@ def test_command_line(spark, tmp_path, caplog):
     assert cli.main(["--version"], spark) == 0
 
 
+@pytest.mark.parametrize("frame", [1, 3])
+def test_many_frames(spark, tmp_path, frame, monkeypatch):
+    """Frames over several chunks of a file, plain, compressed, with blank lines, and of mates: the same archive."""
+    from strandlake.sources import fastq as source
+
+    text, other = fastq(9000), fastq(9000, 2, "mate")
+    blank = text.replace("\n@read4000", "\n\n\n@read4000").replace("\n", "\r\n")
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "a.fq.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "blank.fq").write_text(blank)
+    (tmp_path / "b.fq").write_text(other.rstrip("\n"))
+    monkeypatch.setattr(source, "CHUNK", 1 << 16)
+    made = [commands.compress(spark, str(tmp_path / p), str(tmp_path / f"{p}.arc"), frame_mib=frame) for p in ("a.fq", "a.fq.gz", "blank.fq")]
+    assert made[0] == made[1] and made[0].frames > 1 / frame and made[0].input_bytes == len(text)
+    assert len({(tmp_path / f"{p}.arc").read_bytes() for p in ("a.fq", "a.fq.gz", "blank.fq")}) == 1
+    commands.decompress(spark, str(tmp_path / "a.fq.arc"), str(tmp_path / "back.fq"))
+    assert (tmp_path / "back.fq").read_text() == text
+    pairs = commands.compress(spark, str(tmp_path / "a.fq.gz"), str(tmp_path / "p.arc"), mate=str(tmp_path / "b.fq"), frame_mib=frame)
+    assert pairs.records == 18_000 and pairs.frames > made[0].frames
+    commands.decompress(spark, str(tmp_path / "p.arc"), str(tmp_path / "p.fq"))
+    back = parse(io.BufferedReader(io.BytesIO((tmp_path / "p.fq").read_bytes())))
+    rows = [r for b in back for r in b.to_pylist()]
+    assert [r["id"] for r in rows[0::2]] == [f"read{i}" for i in range(9000)] and [r["id"] for r in rows[1::2]] == [f"mate{i}" for i in range(9000)]
+
+
+def test_parts_are_joined_by_executors(spark, made, tmp_path, monkeypatch):
+    from strandlake.plans import transfer
+
+    d, text, _ = made
+    monkeypatch.setattr(transfer, "JOINED", 0)
+    commands.compress(spark, str(d / "a.fastq"), str(tmp_path / "a.arc"))
+    assert (tmp_path / "a.arc").read_bytes() == (d / "a.arc").read_bytes()
+    commands.decompress(spark, str(tmp_path / "a.arc"), str(tmp_path / "b.fastq"))
+    assert (tmp_path / "b.fastq").read_text() == text
+
+
+def rewritten(good: bytes, **fields) -> bytes:
+    """An archive whose first frame header has other fields, with checksums that fit."""
+    at = C.HEADER_SIZE
+    h = C.parse_frame_header(good[at : at + C.FRAME_HEADER_SIZE], 0, False)
+    h = dataclasses.replace(h, **fields)
+    rest = good[at + C.FRAME_HEADER_SIZE : -C.FOOTER_SIZE]
+    tail = list(C.FOOTER.unpack(good[-C.FOOTER_SIZE :]))
+    tail[3] = fields.get("record_count", tail[3])
+    return good[:at] + h.pack() + rest + C.FOOTER.pack(*tail)
+
+
+@pytest.mark.parametrize("fields", [{"raw_ids": 1 << 40}, {"raw_seq": (1 << 29) + 1}, {"enc_qual": 1 << 40}, {"record_count": 0}, {"record_count": 399}, {"record_count": (1 << 32) - 1}, {"raw_ids": 1}, {"raw_seq": 1}, {"raw_qual": 1}, {"frame_id": 1}])
+def test_hostile_frame_headers(spark, made, tmp_path, fields):
+    """Sizes and counts that headers claim are tested before anything is allocated for them."""
+    d, _, _ = made
+    (tmp_path / "bad.arc").write_bytes(rewritten((d / "a.arc").read_bytes(), **fields))
+    with pytest.raises((FormatError, ChecksumError)):
+        commands.decompress(spark, str(tmp_path / "bad.arc"), str(tmp_path / "never"), memory_mib=1024)
+    assert [p.name for p in tmp_path.iterdir()] == ["bad.arc"]
+
+
+def test_odd_paired_frames(spark, made, tmp_path):
+    d, _, _ = made
+    good = rewritten((d / "a.arc").read_bytes(), record_count=399)
+    (tmp_path / "bad.arc").write_bytes(C.header("illumina", True) + good[C.HEADER_SIZE :])
+    with pytest.raises(FormatError, match="odd"):
+        commands.verify(spark, str(tmp_path / "bad.arc"))
+
+
+def test_every_region_is_protected(spark, made, tmp_path):
+    """A flipped byte in any part of the archive is found; nothing is published."""
+    d, _, _ = made
+    good = (d / "a.arc").read_bytes()
+    h = C.parse_frame_header(good[32:104], 0, False)
+    ends = np.cumsum([C.HEADER_SIZE, C.FRAME_HEADER_SIZE, h.enc_ids, h.enc_seq, h.enc_qual, C.FOOTER_SIZE])
+    assert ends[-1] == len(good)
+    for a, z in zip(np.append(0, ends), ends):
+        for at in {a, (a + z) // 2, z - 1}:
+            bad = bytearray(good)
+            bad[at] ^= 1
+            (tmp_path / "bad.arc").write_bytes(bad)
+            with pytest.raises((FormatError, ChecksumError, UnsupportedError)):
+                commands.verify(spark, str(tmp_path / "bad.arc"))
+                pytest.fail(f"byte {at}")
+
+
+def test_sizes_fit_64_bits(spark, tmp_path):
+    (tmp_path / "a.fq").write_text(fastq(3))
+    for kind in ({"frame_mib": 1 << 44}, {"memory_mib": 1 << 44}):
+        with pytest.raises(UsageError):
+            commands.compress(spark, str(tmp_path / "a.fq"), str(tmp_path / "b.arc"), **kind)
+
+
+def test_frames_of_several_files(spark):
+    """Each file's reads are numbered by its own frames, as the plain loop does."""
+    r = random.Random(5)
+    rows = [(f, i, f"r{i}", "", "A" * (k := r.randint(1, 60)), "!" * k) for f in ("x", "y", None) for i in range(200)]
+    reads = spark.createDataFrame(rows, "file string, read_no long, id string, comment string, sequence string, quality string")
+    got = {(x.file, x.read_no): x.frame_id for x in assign_frames(reads, 900, file_col="file").collect()}
+    for f in ("x", "y", None):
+        frame = held = 0
+        for _, i, name, _, s, q in [x for x in rows if x[0] == f]:
+            assert got[f, i] == frame
+            held += 132 + len(name) + len(s) + len(q)
+            if held >= 900:
+                frame, held = frame + 1, 0
+    assert assign_frames(reads.limit(0), 900).count() == 0
+
+
 def test_source_is_a_table(spark, made):
     d, text, _ = made
     register(spark)
