@@ -99,14 +99,17 @@ def annotate(df: DataFrame, column: str, fields: StructType, fn, keep: list[str]
     """
     name = free_name(df, out)
     names = list(dict.fromkeys([*keep, column]))
-    source = df.select(*[quoted(c) for c in names])
-    schema = StructType([source.schema[c] for c in keep] + [StructField(name, fields)])
-    arrow = to_arrow_schema(schema)
+    # Columns have plain names on the way through Python, as theirs may have dots and quotes.
+    source = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    places = [names.index(c) for c in keep]
+    schema = StructType([StructField(f"k{j}", source.schema[i].dataType) for j, i in enumerate(places)] + [StructField("made", fields)])
+    kinds = list(to_arrow_schema(schema).field(len(keep)).type)
 
     def run(batches):
         for b in batches:
             made = fn(string_column(b.column(names.index(column))))
-            struct = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(made, arrow.field(len(keep)).type)], fields=list(arrow.field(len(keep)).type))
-            yield pa.RecordBatch.from_arrays([b.column(names.index(c)) for c in keep] + [struct], names=[*keep, name])
+            struct = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(made, kinds)], fields=kinds)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in places] + [struct], names=schema.names)
 
-    return source.mapInArrow(run, schema), name
+    done = source.mapInArrow(run, schema)
+    return done.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], F.col("made").alias(name)), name

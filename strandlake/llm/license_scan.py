@@ -195,8 +195,8 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str,
     def run(batches):
         df, n = Counter(), 0
         for b in batches:
-            for text in string_column(b.column(0)).to_pylist():
-                df.update(wanted.intersection(words(text)))
+            for text in string_column(b.column(0)):
+                df.update(wanted.intersection(words(text.as_py())))
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([*df, ""]), pa.array([*df.values(), n], pa.int64())], names=["w", "n"])
 
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, path: Column, text_col: str = "text", keep: list[str]
     matcher = Matcher({w: weight(df.get(w, 0)) for w in vocabulary()}, weight(0), least, {w: weight(df.get(w, 0)) for w in whole_vocabulary()})
 
     def fn(column: pa.Array):
-        found = [matcher.scan(x) for x in column.to_pylist()]
+        found = [matcher.scan(x.as_py()) for x in column]  # one text at a time
         return [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
 
     source = docs.select(F.struct(*[quoted(c) for c in keep]).alias("row"), path.alias("path"), quoted(text_col).alias("text"))
@@ -234,7 +234,8 @@ def scan(docs: DataFrame, path: Column, text_col: str = "text", keep: list[str]
     licensed = found.where("own is not null and is_file and dir is not null").groupBy("dir").agg(best.alias("license"))
     above = found.where("own is null and dir is not null").select("dir").distinct().withColumn("up", F.explode(F.concat(F.array("dir"), F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(parents(F.col("dir"))))))
     nearest = above.join(licensed.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "license"), F.length("up")).alias("near"))
-    out = found.join(nearest, "dir", "left")
+    # Both sides are read from tables, so that Spark can split a directory that holds much of the corpus.
+    out = found.join(materialize(nearest, "license-directories"), "dir", "left")
     inherited = F.when(F.col("own").isNull(), F.col("near"))
     basis = F.when(F.col("own").isNotNull(), "own").when(inherited.isNotNull(), "inherited")
     return out.select("row", "path", F.coalesce("own", inherited["license"]).alias("license"), "score", basis.alias("basis"), inherited["up"].alias("license_dir"))

@@ -8,7 +8,9 @@ replacement. A source first gives whole epochs (every document once) and then th
 running sum of words comes nearest to the rest of its target.
 
 No source is sorted in one task: keys are dealt to about sqrt(n) buckets of a source, bucket sums
-give the bucket in which the target is met, and only that bucket is ordered. What decides about a
+give the bucket in which the target is met, and only that bucket is ordered. Keys are brought to
+(0, 1) so that whatever the weights no bucket expects more than 1 / LEAST times its share. Sources
+themselves are ranked and summed in ranges of their order, so they may be many. What decides about a
 source is one row (epochs and the last key it takes), so documents are not shuffled; the rows of
 sources are broadcast while they are at most MAX_BROADCAST, and joined otherwise.
 
@@ -27,6 +29,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Rows of the table of sources that may be broadcast.
 MAX_BROADCAST = 100_000
+#: The least quality weight; the greatest is 1.
+LEAST = 0.1
 
 
 def word_count(text: Column) -> Column:
@@ -36,7 +40,7 @@ def word_count(text: Column) -> Column:
 def quality(text: Column, size: Column) -> Column:
     """From 0.1 to 1: how few characters of markup or stress there are for each word."""
     marks = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^#*$%&|<>!]+", ""))
-    return F.greatest(F.lit(0.1), 1.0 - marks / F.greatest(size, F.lit(1)))
+    return F.greatest(F.lit(LEAST), 1.0 - marks / F.greatest(size, F.lit(1)))
 
 
 def uniform(id_col: Column, text: Column) -> Column:
@@ -45,23 +49,38 @@ def uniform(id_col: Column, text: Column) -> Column:
     return (F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums of what stands before each in the order, range by range: what the ranges before hold
+    (a row for each range) and what stands before it in its own."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "mix-ranges")
+    run = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    zero = F.lit(0).cast("long")
+    held = dealt.groupBy("_p").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    held = held.select("_p", *[F.coalesce(F.sum(f"_{n}").over(run), zero).alias(f"_{n}") for n in sums])
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = [F.coalesce(F.sum(c).over(own), zero).alias(f"_in_{n}") for n, c in sums.items()]
+    found = dealt.select("*", *inside).join(F.broadcast(held), "_p")  # at most as many rows as shuffle partitions
+    return found.select(*[quoted(c) for c in rows.columns], *[(F.col(f"_in_{n}") + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) with `target`: shares by weight, stopped at MOST times the size, excess reshared.
 
     The table has one row for each source. Sources that stop first have the least room for their weight, so
     running sums in that order tell which stop.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    t = sources.withColumn("w", F.element_at(F.array(*[F.lit(x).cast("long") for x in WEIGHTS]), ((F.row_number().over(rank) - 1) % len(WEIGHTS) + 1).cast("int")))
-    order = Window.orderBy(F.col("source_size") * MOST / F.col("w"), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    zero = F.lit(0).cast("long")
-    t = t.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum(F.col("source_size") * MOST).over(before), zero))
-    t = t.withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), zero))
-    t = t.withColumn("stops", F.col("source_size") * MOST * F.col("w_left") <= F.col("w") * F.col("left"))
-    t = t.withColumn("open", F.max(F.when(~F.col("stops"), F.struct("w_left", "left"))).over(every))
-    target = F.when(F.col("stops"), (F.col("source_size") * MOST).cast("double")).otherwise((F.col("w") * F.col("open.left")).cast("double") / F.col("open.w_left").cast("double"))
-    return t.select("source", "source_size", target.alias("target"))
+    name, one = F.col("source").asc_nulls_last(), F.lit(1).cast("long")
+    ranked = before(sources, [name], {"rank": one})
+    weights = F.array(*[F.lit(x).cast("long") for x in WEIGHTS])
+    t = ranked.withColumn("w", F.element_at(weights, (F.col("rank") % len(WEIGHTS) + 1).cast("int"))).drop("rank")
+    most = F.col("source_size") * MOST
+    t = materialize(before(t, [most / F.col("w"), name], {"most_before": most, "w_before": F.col("w")}), "mix-order")
+    every = t.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()  # one row
+    t = t.withColumn("left", F.lit(every.size or 0).cast("long") - F.col("most_before")).withColumn("w_left", F.lit(every.w or 0).cast("long") - F.col("w_before"))
+    t = t.withColumn("stops", most * F.col("w_left") <= F.col("w") * F.col("left"))
+    left = t.where("not stops").agg(F.max(F.struct("w_left", "left")).alias("x")).first().x  # one row
+    share = (F.col("w") * F.lit(left.left if left else 0).cast("long")).cast("double") / F.lit(float(left.w_left if left else 1))
+    return t.select("source", "source_size", F.when(F.col("stops"), most.cast("double")).otherwise(share).alias("target"))
 
 
 def plan(keys: DataFrame) -> DataFrame:
@@ -101,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keep = docs.columns if keep is None else keep
     text = quoted(text_col)
     base = docs.select(F.struct(*[quoted(c) for c in keep]).alias("row"), quoted(source_col).cast("string").alias("source"), word_count(text).alias("size"), quality(text, word_count(text)).alias("_w"), uniform(quoted(id_col), text).alias("_u"), quoted(id_col).alias("_id"), F.xxhash64(text).alias("_h"))
-    key = F.struct((1.0 - F.pow(F.col("_u"), 1.0 / F.col("_w"))).alias("u"), F.col("_id").alias("id"), F.col("_h").alias("h"))
+    key = F.struct((1.0 - F.pow(F.col("_u"), LEAST / F.col("_w"))).alias("u"), F.col("_id").alias("id"), F.col("_h").alias("h"))
     base = base.select("row", "source", "size", key.alias("key"))
     if text_col not in keep:
         base = materialize(base, "mix-rows")
@@ -121,7 +140,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 z AS (SELECT doc_id, source, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
         length(regexp_replace(text, '[^#*$%&|<>!]+', '', 'g')) AS marks,
         (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM d),
-k AS (SELECT doc_id, source, size, 1.0::DOUBLE - pow(u, 1.0::DOUBLE / greatest(0.1::DOUBLE, 1.0::DOUBLE - marks::DOUBLE / greatest(size, 1))) AS key FROM z),
+k AS (SELECT doc_id, source, size, 1.0::DOUBLE - pow(u, 0.1::DOUBLE / greatest(0.1::DOUBLE, 1.0::DOUBLE - marks::DOUBLE / greatest(size, 1))) AS key FROM z),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM s),
 r AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS l, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS wl FROM w

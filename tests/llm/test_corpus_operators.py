@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import textwrap
 import zlib
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandlake.llm import html_extract, license_scan, mixing, quality_rules, queries, sharding, toxicity
 from tests.conftest import SF
-from tests.llm.test_text_operators import shingles, words
+from tests.llm.test_text_operators import lower, shingles, words
 
 
 @pytest.fixture(scope="module")
@@ -73,21 +75,72 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_targets_stop_and_are_reshared(spark):
-    sizes = {"a": 10, "b": 1000, "c": 30, "d": 0, None: 500}
-    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+def plain_mix(rows):
+    """[(id, source, size, copies)] by a plain weighted draw; rows are (id, text, source) with ids."""
+    def draw(i, text):
+        u = (int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2.0**48
+        marks = len(re.findall(r"[#*$%&|<>!]", text or ""))
+        return u ** (1.0 / max(0.1, 1.0 - marks / max(1, len(words(text)))))  # Efraimidis and Spirakis: the largest first
+
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {s: sum(len(words(t)) for _, t, o in rows if o == s) for s in names}
+    target = plain_targets(size)
+    out = []
+    for s in names:
+        epochs = min(3, int(target[s] // size[s])) if size[s] else 0
+        rest, at = target[s] - epochs * size[s], 0
+        for i, t, _ in sorted([r for r in rows if r[2] == s], key=lambda r: -draw(r[0], r[1])):
+            n = len(words(t))
+            out.append((i, s, n, (epochs + (rest > 0 and at + n / 2 <= rest)) if n else 0))
+            at += n
+    return out
+
+
+def plain_targets(sizes):
     names = sorted(sizes, key=lambda x: (x is None, x or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
     fixed = {}
     while True:
         free = [s for s in names if s not in fixed]
+        if not free:
+            return fixed
         share = (sum(sizes.values()) - sum(fixed.values())) / sum(weight[s] for s in free)
         over = [s for s in free if share * weight[s] > 3 * sizes[s]]
         if not over:
-            break
+            return fixed | {s: share * weight[s] for s in free}
         fixed |= {s: 3.0 * sizes[s] for s in over}
-    want = fixed | {s: share * weight[s] for s in free}
-    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_mixing_is_the_plain_draw(spark, monkeypatch, most):
+    """All weights, few and many documents a source, tables of sources that are broadcast and joined."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+    r = np.random.default_rng(12)
+    rows = [(i, " ".join(["w" + "!" * int(r.integers(0, 2)) for _ in range(int(r.integers(0, 30)))]), [None, "a", "a", "a", "b", "c", "d"][int(r.integers(0, 7))]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(x.row.doc_id, x.row.source, x["size"], x.copies) for x in mixing.mix(docs).collect()]
+    assert sorted(got) == sorted(plain_mix(rows))
+
+
+def test_no_bucket_of_keys_is_hot(spark):
+    """Keys of the least weight do not crowd in one bucket."""
+    rows = spark.range(100_000).select(F.col("id"), mixing.uniform(F.col("id"), F.lit("")).alias("u"))
+    for w in (0.1, 0.35, 1.0):
+        b = rows.select(F.floor((1 - F.pow("u", F.lit(mixing.LEAST / w))) * 316).alias("b")).groupBy("b").count()
+        assert b.agg(F.max("count")).first()[0] <= 10 * 1.2 * 100_000 / 316
+
+
+def test_targets_of_many_sources(spark):
+    r = np.random.default_rng(13)
+    sizes = {f"s{i:04}": int(10 ** r.uniform(0, 6)) for i in range(900)} | {None: 77}
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_targets_stop_and_are_reshared(spark):
+    sizes = {"a": 10, "b": 1000, "c": 30, "d": 0, None: 500}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
 
 
 def test_toxicity(spark):
@@ -130,7 +183,44 @@ def test_held_out_accuracy(spark):
     d = str(SF.parent / "sf0.01")
     found = queries.op2_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     clean, toxic = ([r.predicted for r in found if r.toxic == y] for y in (0, 1))
-    assert np.mean(clean) < 0.03 and np.mean(toxic) > 0.5
+    assert np.mean(clean) < 0.03 and np.mean(toxic) >= 0.7  # few labels
+    larger = str(SF.parent / "sf0.1")
+    found = queries.op2_toxicity(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
+    clean, toxic = ([r.predicted for r in found if r.toxic == y] for y in (0, 1))
+    assert np.mean(clean) < 0.005 and np.mean(toxic) >= 0.8
+
+
+def plain_hits(model, text):
+    """The weights and words of a text, word by word and entry by entry."""
+    t = toxicity.fold(text or "")
+    phrases = [(m.start(), m.end()) for x in model.exceptions for m in re.finditer(f"(?={re.escape(x)})", t) for m in [re.compile(re.escape(x)).match(t, m.start())]]
+    phrases = [(a, z) for a, z in phrases if (a == 0 or not t[a - 1].isalnum()) and (z == len(t) or not t[z].isalnum())]
+    total = 0.0
+    for b in range(len(t)):
+        if (b and t[b - 1].isalnum()) or any(a <= b < z for a, z in phrases):
+            continue
+        best = 0.0
+        for f, w in model.lexicon.items():
+            entry = f.strip("^$")
+            end = b + len(entry)
+            if t.startswith(entry, b) and (not f.endswith("$") or end == len(t) or not t[end].isalnum()):
+                best = max(best, w)
+        total += best
+    return total, len((text or "").split())
+
+
+def test_scores_are_those_of_a_plain_match(spark):
+    """Over a whole table and some texts with exception phrases: the query against entry-by-entry matching."""
+    docs, labels = (spark.read.parquet(str(SF / f"{n}.parquet")) for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    model.lexicon |= {"^clown": 2.5, "^tras": 3.0, "^idiot$": 4.0}
+    extra = spark.createDataFrame([(-1, "a clown fish and a clown"), (-2, "trash cans, trash can. trash can"), (-3, "1di0t idiots IDIOT"), (-4, None), (-5, "")], "doc_id long, text string")
+    found, s = toxicity.toxicity(docs.select("doc_id", "text").unionByName(extra), model)
+    for r in found.collect():
+        total, n = plain_hits(model, r.text)
+        assert (r[s].hit_weight, r[s].n_words) == (pytest.approx(total), n)
+        z = (np.array([total / (n + 20), math.log1p(total), total / math.sqrt(n + 1)]) - model.mean) / model.scale @ np.array(model.weights[:-1]) + model.weights[-1]
+        assert r[s].score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, z)))))
 
 
 PAGES = {
@@ -313,24 +403,103 @@ def test_concurrent_commits(spark, docs, tmp_path, monkeypatch):
     assert len(calls) > 1 and b.version() == 3 and b.read().count() == 2 * docs.count() + 3
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(str(SF / "documents.parquet"))
+def plain_components(sets, percent):
+    """{id: smallest id of its component} of {id: set}, empty sets left out."""
+    group = {i: i for i, x in sets.items() if x}
+    ids = sorted(group)
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return {i: root(i) for i in ids}
+
+
+def plain_leaks(text, windows):
+    """(words, words hit) of a text by windows of benchmark items."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    hit = set()
+    for n, held in windows.items():
+        for a in range(len(w) - n + 1):
+            if tuple(w[a : a + n]) in held:
+                hit.update(range(a, a + n))
+    return len(w), len(hit)
+
+
+def benchmark_windows(items):
+    out = {}
+    for t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        for a in range(max(1, len(w) - 12)):
+            if w:
+                x = tuple(w[a : a + 13])
+                out.setdefault(len(x), set()).add(x)
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pipeline(spark, tmp_path, sf):
+    """Each stage removes exactly the rows that a plain version of it removes, and keeps all others as they are."""
+    d = str(SF.parent / sf)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     columns, made = docs.columns, {}
-    for name, stage in corpus_pipeline.STAGES:
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
-        docs = stage(spark, docs, str(SF))
-        docs = docs.cache()
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
         made[name] = (before, docs.collect())
-        assert docs.columns[: len(columns)] == columns
+        assert docs.columns == columns or (name == "sharding" and docs.columns[: len(columns)] == columns)
+    key = lambda rows: Counter(tuple(r)[: len(columns)] for r in rows)
+
+    before, after = made["toxicity"]
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    found, s = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), model)
+    toxic = {r.doc_id for r in found.collect() if r[s].score >= 0.7}  # held against plain matching above
+    assert (toxic or sf == "sf0.001") and key(after) == key(r for r in before if r.doc_id not in toxic)
+
     before, after = made["ngram_jaccard_join"]
     sets = {r.doc_id: shingles(r.text, 5) for r in before}
-    kept = {r.doc_id for r in after}
-    assert len(kept) == len(after)
-    for i, a in sets.items():
-        near = [j for j, b in sets.items() if j != i and a and b and 100 * len(a & b) >= 80 * len(a | b)]
-        assert near or i in kept
+    least = plain_components(sets, 80)
+    assert len(set(least.values())) < len(least) or sf == "sf0.001"
+    assert key(after) == key(r for r in before if least.get(r.doc_id, r.doc_id) == r.doc_id)
+
+    before, after = made["benchmark_decontamination"]
+    windows = benchmark_windows(r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect())
+    leaks = {r.doc_id: plain_leaks(r.text, windows) for r in before}
+    bad = {i for i, (n, hit) in leaks.items() if hit and 20 * hit >= n}
+    assert (bad or sf == "sf0.001") and key(after) == key(r for r in before if r.doc_id not in bad)
+
     before, after = made["mixing"]
-    assert {r.doc_id for r in after} <= {r.doc_id for r in before} and max(Counter(r.doc_id for r in after).values()) <= 3
+    by_id = {r.doc_id: r for r in before}
+    want = Counter()
+    for i, _, _, copies in plain_mix([(r.doc_id, r.text, r.source) for r in before]):
+        want[tuple(by_id[i])] += copies
+    assert key(after) == +want
+
     before, after = made["sharding"]
-    assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in after)
-    assert {"shard", "version"} < set(after[0].asDict())
+    assert key(before) == key(after)
+    assert {"shard", "tier", "shard_bytes", "version"} < set(after[0].asDict()) and len({r.version for r in after}) == 1
+
+
+def test_pipeline_stands_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows and columns whose names clash with those in use."""
+    d = str(SF)
+    names = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, _d long, _row int, arrival int, size int, `a``b` string"
+    text = "some plain words that stand in a row and say no more than this, again and again"
+    rows = [(1, text, "en", "s", 3, "x", 1, 1, 1, 1, "q"), (1, text, "en", "s", 3, "x", 1, 1, 1, 1, "q"), (2, None, None, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, "y", 2, 2, 2, 2, "r"), (None, f"{text} more", "en", None, 0, "y", 2, 2, 2, 2, "r"), (3, "other " * 30, "de", "t", 1, "z", 0, 0, 0, 0, "")]
+    full = spark.createDataFrame(rows, names)
+    for k, docs in enumerate((full, full.limit(0))):
+        columns = docs.columns
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, d).write.parquet(f"{tmp_path}/{k}-{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+            assert docs.columns[: len(columns)] == columns
+            if name == "ngram_jaccard_join" and not k:  # the repeated row once, both rows without words, of two alike the one with an id
+                assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == sorted([(1, text), (2, ""), (0, ""), (3, "other " * 30)])
+        assert (docs.count() > 0) == (k == 0)
