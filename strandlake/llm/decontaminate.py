@@ -127,8 +127,10 @@ def corpus_counts(docs: DataFrame, text_col: str, block: Block) -> dict[int, np.
 
     rows = docs.select(quoted(text_col)).mapInArrow(run, "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n"))
     counts = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
-    for r in rows.collect():  # one row for each shingle of the block at most
-        counts[r.s][r.k] = r.n
+    found = rows.toArrow()  # one row for each shingle of the block at most
+    s, k, n = (found.column(c).to_numpy() for c in ("s", "k", "n"))
+    for size, own in counts.items():
+        own[k[s == size]] = n[s == size]
     return counts
 
 

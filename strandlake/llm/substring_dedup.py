@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm import suffix_dedup as S
-from strandlake.llm.common import materialize, quoted, row_keys
+from strandlake.llm.common import Work, quoted, row_keys
 
 WINDOW = 35
 PERIOD = 21
@@ -129,8 +129,10 @@ def run_records(window: int, v: int):
                 begin = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1) | (own[at[1:]] != own[at[:-1]])))
                 count = np.diff(np.append(begin, len(at)))
                 low, where = at[begin], where[begin]
-                k1, k2 = spans(where, where + window - v + 1), w.spans(1)(low, low + count - 1 + window)
-                made = (own[low], low - w.first[own[low]], count, K.signed(w.hashes()[where]), K.signed(k1), K.signed(k2))
+                k2, k3 = spans(where, where + window - v + 1), w.spans(1)(low, low + count - 1 + window)
+                first = w.hashes()[where]
+                second = w.hashes()[where + 1] if window > v else first  # the next word lies in the run if v places do not reach its end
+                made = (own[low], low - w.first[own[low]], count, K.signed(first), K.signed(second), K.signed(k2), K.signed(k3))
                 yield S.suffixes(*(x[:: S.thin(len(low), end - row, most)] for x in made), d[row:end], t[row:end])
 
     return run
@@ -210,10 +212,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = base.join(anchors, ["_d", "_t"], "left")
     held = ["_d", "_t", *names]
     step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_words", LongType()), StructField("sha", StringType())])
-    settled = materialize(joined.select(*held, "_text", "_places").mapInArrow(split(step.names, len(held)), step), "substring-parts")
+    work = Work(docs.sparkSession, "substrings")
+    settled = work.save(joined.select(*held, "_text", "_places").mapInArrow(split(step.names, len(held)), step), "texts")
     near = settled.where("_text is not null")
-    runs = S.suffix_sort(near.select("_d", "_t", "_text", "_places"), run_records(window, v), near.count(), parts, "substring-runs")
-    runs = materialize(runs, "substring-places")
+    runs = S.suffix_sort(near.select("_d", "_t", "_text", "_places"), run_records(window, v), near.count(), parts, work, "runs")
+    runs = work.save(runs, "places")
+    work.drop("runs")
     opened = near.drop("_places").join(runs, ["_d", "_t"]).select("_d", "_t", "_text", "_places")
     windows = repeated(opened.mapInArrow(window_blocks(window, parts), X.BLOCKS), parts).withColumnRenamed("_places", "_w")
     out = StructType([StructField(c, base.schema[n].dataType) for c, n in zip(names, names)] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())])

@@ -5,11 +5,14 @@ suffix that stands for it: the one that begins at the place with the smallest ha
 window's first places. The choice depends on the window's bytes alone, so equal windows stand
 under equal suffixes. Windows in a row that share a suffix form a block.
 
-Order. A suffix is the sequence of tokens (its first 8 bytes; a hash of its first 209 bytes; a
-hash of all its block's bytes). Splitters sampled from the data cut the order into ranges by
-leading tokens, with a salt behind the last token so that a frequent suffix spreads over several
-buckets. Buckets sort their suffixes by multikey quicksort and compare neighbours; the first and
-the last suffix of each bucket are then compared across the boundaries.
+Order. A suffix is the sequence of tokens (its first 8 bytes; the next 8; a hash of its first 209
+bytes; a hash of all its block's bytes), so suffixes stand in the order of their bytes, and those
+that share 16 bytes by what the hashes say of the rest. Splitters sampled from the data, so many for
+each bucket, cut the order into ranges by leading tokens, with a salt behind the last token so that a
+frequent suffix spreads over several buckets. Buckets sort their suffixes by multikey quicksort and
+compare neighbours; the first and the last suffix of each bucket are then compared across the
+boundaries, two rows a bucket in one task. Equal blocks are those whose 128 bits of hash are equal,
+which is why their bytes need not be sent: sending all bytes of all suffixes is six times the input.
 
 Result. If a whole block occurs twice, all its windows are repeats. Where one suffix begins blocks
 of several kinds, their windows are sorted once more, each as a suffix of its own (of a repeated
@@ -23,29 +26,30 @@ that repeat are repeats of one another.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
-from strandlake.llm.common import materialize, quoted, row_keys
+from strandlake.llm.common import Work, quoted, row_keys
 
 LENGTH = 400
 SPREAD = 192
 GRAM = 16
-#: Documents and suffixes of each that the splitters are sampled from.
-SAMPLE_DOCS, SAMPLE_SUFFIXES = 1500, 40
+#: Documents that the splitters are sampled from, in all and for each bucket at least, and suffixes of each.
+SAMPLE_DOCS, SAMPLE_PER_BUCKET, SAMPLE_SUFFIXES = 1500, 2, 40
 
-KEYS = ["k0", "k1", "k2"]
-#: A suffix: its three tokens, its text, its block's first window and windows. known 0: compare; 1: a repeat already,
+KEYS = ["k0", "k1", "k2", "k3"]
+#: A suffix: its four tokens, its text, its block's first window and windows. known 0: compare; 1: a repeat already,
 #: bears witness; 2: a repeat already.
-SUFFIX = {"k0": np.int64, "k1": np.int64, "k2": np.int64, "d": np.int64, "t": np.int64, "pos": np.int32, "n": np.int32, "known": np.int8}
+SUFFIX = {"k0": np.int64, "k1": np.int64, "k2": np.int64, "k3": np.int64, "d": np.int64, "t": np.int64, "pos": np.int32, "n": np.int32, "known": np.int8}
 #: Kinds of places: a repeated block or window; an open block.
 GONE, OPEN = 0, 1
 
@@ -93,11 +97,11 @@ def lead(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def block_suffixes(buf: np.ndarray, offsets: np.ndarray, length: int, spread: int, gram: int):
-    """(row, first window, windows, k0, k1, k2) of all blocks of a slice."""
+    """(row, first window, windows, *KEYS) of all blocks of a slice."""
     sizes = np.diff(offsets)
     n_windows = np.maximum(sizes - length + 1, 0)
     if not n_windows.sum():
-        return (np.zeros(0, np.int64),) * 6
+        return (np.zeros(0, np.int64),) * 7
     row = np.repeat(np.arange(len(sizes)), n_windows)
     at = K.ranges(offsets[:-1], n_windows)
     spans = K.byte_spans(buf)
@@ -108,9 +112,9 @@ def block_suffixes(buf: np.ndarray, offsets: np.ndarray, length: int, spread: in
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
     low, suffix, row = at[begin], where[begin], row[begin]
-    k1 = spans(suffix, suffix + length - spread + 1)
-    k2 = K.byte_spans(buf, 1)(low, low + count - 1 + length)
-    return row, low - offsets[row], count, lead(buf, suffix), K.signed(k1), K.signed(k2)
+    k2 = spans(suffix, suffix + length - spread + 1)
+    k3 = K.byte_spans(buf, 1)(low, low + count - 1 + length)
+    return row, low - offsets[row], count, lead(buf, suffix), lead(buf, suffix + 8), K.signed(k2), K.signed(k3)
 
 
 def salt_of(r: X.Record) -> np.ndarray:
@@ -127,12 +131,12 @@ def deal(r: X.Record, splitters: np.ndarray) -> tuple[X.Record, np.ndarray]:
     return r | {"known": known}, np.where(known == 2, loose, bucket)
 
 
-def suffixes(row, pos, n, k0, k1, k2, d, t) -> X.Record:
-    return dict(zip(SUFFIX, (k0, k1, k2, d[row], t[row], pos.astype(np.int32), n.astype(np.int32), np.zeros(len(row), np.int8))))
+def suffixes(row, pos, n, k0, k1, k2, k3, d, t) -> X.Record:
+    return dict(zip(SUFFIX, (k0, k1, k2, k3, d[row], t[row], pos.astype(np.int32), n.astype(np.int32), np.zeros(len(row), np.int8))))
 
 
 def bucket_of(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
-    """How many splitters (rows of four longs, sorted) are not above each key."""
+    """How many splitters (rows of longs, sorted) are not above each key."""
     n, m = len(keys[0]), len(splitters)
     if not m:
         return np.zeros(n, np.int64)
@@ -175,8 +179,8 @@ def window_records(length: int):
                 r, at = opened(found[row:end], offsets)
                 step = thin(len(at), end - row, most)
                 at, r = at[::step], r[::step]
-                k1, k2 = (K.signed(K.byte_spans(buf, lane)(at, at + length)) for lane in (0, 1))
-                yield suffixes(r, at - offsets[r], np.ones(len(at), np.int64), lead(buf, at), k1, k2, d[row:end], t[row:end])
+                k2, k3 = (K.signed(K.byte_spans(buf, lane)(at, at + length)) for lane in (0, 1))
+                yield suffixes(r, at - offsets[r], np.ones(len(at), np.int64), lead(buf, at), lead(buf, at + 8), k2, k3, d[row:end], t[row:end])
 
     return run
 
@@ -206,16 +210,17 @@ def sample_splitters(sample: DataFrame, records, parts: int) -> np.ndarray:
         for r in records(batches, SAMPLE_SUFFIXES):
             yield pa.RecordBatch.from_arrays([*(pa.array(r[c]) for c in KEYS), pa.array(salt_of(r))], names=[*KEYS, "salt"])
 
-    found = sample.mapInArrow(run, "k0 long, k1 long, k2 long, salt long").toArrow()
-    keys = np.stack([found.column(c).to_numpy() for c in [*KEYS, "salt"]], 1).reshape(-1, 4).astype(np.int64)
+    columns = [*KEYS, "salt"]
+    found = sample.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).toArrow()
+    keys = np.stack([found.column(c).to_numpy() for c in columns], 1).reshape(-1, len(columns)).astype(np.int64)
     if not len(keys) or parts < 2:
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, len(columns)), np.int64)
     keys = keys[np.lexsort(keys.T[::-1])]
     return keys[(np.arange(1, parts) * len(keys)) // parts]
 
 
 #: What a bucket gives: packed places for the texts (end 0), and its first (1) and last (2) suffix or only one (3).
-BUCKET = "bucket int, data binary, end byte, own int, k0 long, k1 long, k2 long, d long, t long, pos int, n int, twice boolean, near boolean"
+BUCKET = "bucket int, data binary, end byte, own int, k0 long, k1 long, k2 long, k3 long, d long, t long, pos int, n int, twice boolean, near boolean"
 
 
 def sort_bucket(parts: int):
@@ -234,8 +239,8 @@ def sort_bucket(parts: int):
         places = [{"d": r["d"][loose], "t": r["t"][loose], "pos": r["pos"][loose], "n": r["n"][loose], "kind": np.full(int(loose.sum()), GONE, np.int8)}]
         if len(order):
             step = [a[c][1:] == a[c][:-1] for c in KEYS]
-            like = step[0] & step[1]
-            equal = like & step[2]
+            like = np.logical_and.reduce(step[:-1])
+            equal = like & step[-1]
             twice = neighbours(equal) | (a["known"] == 1)
             # Windows are asked for of each kind of block, once for a repeated one, where a suffix begins several kinds.
             first, group = np.append(True, ~equal), np.cumsum(np.append(True, ~like)) - 1
@@ -254,7 +259,7 @@ def sort_bucket(parts: int):
         out = X.concat(places)
         if len(out["d"]):
             b = X.pack(out, X.by_text(out, parts))
-            rest = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
+            rest = [pa.nulls(b.num_rows, t) for t in (pa.int32(), *[pa.int64()] * (len(KEYS) + 2), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, np.int8)), *rest], names=names)
 
     names = [x.split()[0] for x in BUCKET.split(", ")]
@@ -268,25 +273,38 @@ def neighbours(same: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_sort(source: DataFrame, records, rows: int, parts: int, name: str) -> DataFrame:
+def across_boundaries(ends: DataFrame, parts: int) -> DataFrame:
+    """X.BLOCKS of the first and last suffixes of all buckets, compared with their neighbours in the next bucket."""
+    order = Window.orderBy("own", "end")  # two rows of a bucket at most
+
+    def like(keys):
+        sides = [[F.col(c) == side(c).over(order) for c in keys] for side in (F.lag, F.lead)]
+        return functools.reduce(lambda a, b: a | b, [F.coalesce(functools.reduce(lambda a, b: a & b, x), F.lit(False)) for x in sides])
+
+    found = ends.select("d", "t", "pos", "n", (F.col("twice") | like(KEYS)).alias("gone"), (F.col("near") | like(KEYS[:-1])).alias("open"))
+
+    def run(batches):
+        for b in batches:
+            r = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(("d", "t", "pos", "n", "gone", "open"))}
+            for c, kind in (("gone", GONE), ("open", OPEN)):
+                hit = r[c]
+                if hit.any():
+                    out = {k: r[k][hit] for k in ("d", "t", "pos", "n")} | {"kind": np.full(int(hit.sum()), kind, np.int8)}
+                    yield X.pack(out, X.by_text(out, parts))
+
+    return found.mapInArrow(run, X.BLOCKS)
+
+
+def suffix_sort(source: DataFrame, records, rows: int, parts: int, work: Work, name: str) -> DataFrame:
     """(_d, _t, _places): of each text the blocks that another block equals (GONE) and those whose windows must be
-    asked for (OPEN); a repeated block may be open as a witness for others."""
-    spark = source.sparkSession
-    sample = source.sample(SAMPLE_DOCS / rows, 7) if rows > SAMPLE_DOCS else source
+    asked for (OPEN); a repeated block may be open as a witness for others. It reads the work table `name`."""
+    most = max(SAMPLE_DOCS, SAMPLE_PER_BUCKET * parts)
+    sample = source.sample(most / rows, 7) if rows > most else source
     splitters = sample_splitters(sample, records, parts)
     blocks = source.mapInArrow(lambda batches: X.packed(records(batches), lambda r: deal(r, splitters)), X.BLOCKS)
-    done = materialize(X.dealt(blocks, parts).mapInArrow(sort_bucket(parts), BUCKET), name)
-    ends = done.where("end > 0").drop("bucket", "data").orderBy("own", "end").collect()  # two rows of a bucket at most
-    fixed = []
-    for i, r in enumerate(ends):
-        around = [ends[j] for j in (i - 1, i + 1) if 0 <= j < len(ends)]
-        like = lambda keys: any(all(r[c] == o[c] for c in keys) for o in around)  # noqa: B023,E731
-        fixed += [(r.d, r.t, r.pos, r.n, kind) for kind, hit in ((GONE, r.twice or like(KEYS)), (OPEN, r.near or like(KEYS[:2]))) if hit]
+    done = work.save(X.dealt(blocks, parts).mapInArrow(sort_bucket(parts), BUCKET), name)
     places = done.where("end = 0").select("bucket", "data")
-    if fixed:
-        late = {c: np.array(x, t) for (c, t), x in zip(X.PLACES.items(), zip(*fixed))}
-        places = places.unionByName(spark.createDataFrame(pa.Table.from_batches([X.pack(late, X.by_text(late, parts))])))
-    return X.gather_places(places, parts)
+    return X.gather_places(places.unionByName(across_boundaries(done.where("end > 0"), parts)), parts)
 
 
 def split(names: list[str], n_keep: int):
@@ -333,20 +351,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kept_bytes has the remaining bytes where bytes were removed, else null.
     """
-    if not 8 <= gram <= length - spread or spread < 1 or length - spread + 1 < 8:
+    if not 8 <= gram <= length - spread or spread < 1 or length - spread + 1 < 16:
         raise ValueError("gram and spread do not fit the length")
     keep = [id_col] if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
     base = docs.select(*[quoted(c).alias(n) for c, n in zip(keep, names)], *row_keys(id_col, text_col), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     texts = base.select("_d", "_t", "_text")
     total, parts = X.bucket_count(docs, text_col)
-    blocks = suffix_sort(texts, block_records(length, spread, gram), total, parts, "suffix-blocks")
+    work = Work(docs.sparkSession, "suffixes")
+    blocks = suffix_sort(texts, block_records(length, spread, gram), total, parts, work, "blocks")
     held = ["_d", "_t", *names]
     step = StructType([base.schema[c] for c in held] + [StructField("_text", StringType()), StructField("_places", BinaryType()), StructField("n_bytes", LongType()), StructField("sha", StringType())])
     joined = base.join(blocks, ["_d", "_t"], "left").select(*held, "_text", "_places")
-    settled = materialize(joined.mapInArrow(split(step.names, len(held)), step), "suffix-texts")
+    settled = work.save(joined.mapInArrow(split(step.names, len(held)), step), "texts")
+    work.drop("blocks")
     opened = settled.where("_text is not null").select("_d", "_t", "_text", "_places")
-    windows = suffix_sort(opened, window_records(length), opened.count(), parts, "suffix-windows").withColumnRenamed("_places", "_more")
+    windows = suffix_sort(opened, window_records(length), opened.count(), parts, work, "windows").withColumnRenamed("_places", "_more")
     last = settled.join(windows, ["_d", "_t"], "left").select(*names, "_text", "_places", "_more", "n_bytes", "sha")
     out = StructType([base.schema[n] for n in names] + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept_bytes", BinaryType())])
     done = last.mapInArrow(cut(len(names), length, to_arrow_schema(out).names, with_bytes), out)
