@@ -6,13 +6,17 @@ import argparse
 import logging
 import shutil
 import sys
-import tempfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from strandlake import __version__
 from strandlake.functions.errors import ArchiveError, InputOutputError, UsageError
+from strandlake.sources.storage import locate, scratch
 
 log = logging.getLogger("strandlake")
+COPY = 1 << 20
+#: The names of levels in messages.
+LEVELS = {logging.DEBUG: "DBG", logging.INFO: "INF", logging.WARNING: "WRN", logging.ERROR: "ERR", logging.CRITICAL: "CRT"}
 
 
 class Parser(argparse.ArgumentParser):
@@ -52,6 +56,20 @@ def session():
     return spark
 
 
+@contextmanager
+def piped(spark, needed: bool):
+    """(file system, folder) that driver and executors share, for what comes from or goes to a pipe."""
+    if not needed:
+        yield None, None
+        return
+    folder = scratch(spark)
+    fs, path = locate(folder)
+    try:
+        yield fs, folder
+    finally:
+        fs.delete_dir(path)
+
+
 def run(args: argparse.Namespace, spark=None, stdin=None, stdout=None) -> None:
     from strandlake.plans import commands
 
@@ -63,18 +81,18 @@ def run(args: argparse.Namespace, spark=None, stdin=None, stdout=None) -> None:
     if mate == "-" and source == "-":
         raise UsageError("only one input can be standard input")
     target = getattr(args, "output", None)
-    with tempfile.TemporaryDirectory() as d:  # pipes pass through files; Spark's tasks have no standard streams
+    for p in (source, mate):
+        if p and p != "-" and "://" not in p and not Path(p).exists():
+            raise InputOutputError(f"cannot open {p}")
+    spark = spark or session()
+    with piped(spark, "-" in (source, mate, target)) as (fs, d):  # pipes pass through files; Spark's tasks have no standard streams
         spooled = {}
         for name in {source, mate} & {"-"}:
             spooled[name] = f"{d}/in"
-            with open(spooled[name], "wb") as f:
-                shutil.copyfileobj(stdin or sys.stdin.buffer, f)
+            with fs.open_output_stream(locate(spooled[name])[1]) as f:
+                shutil.copyfileobj(stdin or sys.stdin.buffer, f, COPY)
         at = lambda p: spooled.get(p, p)
-        for p in (source, mate):
-            if p and p != "-" and "://" not in p and not Path(p).exists():
-                raise InputOutputError(f"cannot open {p}")
         place = f"{d}/out" if target == "-" else target
-        spark = spark or session()
         if args.command in ("compress", "c"):
             profile = None if args.profile == "auto" else args.profile
             stats, what = commands.compress(spark, at(source), place, at(mate), profile, args.frame_mib, memory, args.force), "compression"
@@ -83,14 +101,22 @@ def run(args: argparse.Namespace, spark=None, stdin=None, stdout=None) -> None:
         else:
             stats, what = commands.verify(spark, at(source), memory), "verification"
         if target == "-":
-            with open(place, "rb") as f:
-                shutil.copyfileobj(f, stdout or sys.stdout.buffer)
+            with fs.open_input_file(locate(place)[1]) as f:
+                shutil.copyfileobj(f, stdout or sys.stdout.buffer, COPY)
     if not getattr(args, "quiet", False):
         log.info("%s complete: profile=%s, paired=%s, frames=%d, records=%d, bases=%d, input=%d bytes, output=%d bytes", what, stats.profile, str(stats.paired).lower(), stats.frames, stats.records, stats.bases, stats.input_bytes, stats.output_bytes)
 
 
+class Short(logging.Formatter):
+    def format(self, record):
+        record.levelname = LEVELS.get(record.levelno, record.levelname)
+        return super().format(record)
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
-    logging.basicConfig(stream=sys.stderr, format="[%(levelname).3s] %(message)s", level=logging.INFO)
+    handler = logging.StreamHandler(sys.stderr)
+    handler.setFormatter(Short("[%(levelname)s] %(message)s"))
+    logging.basicConfig(handlers=[handler], level=logging.INFO)
     try:
         run(parser().parse_args(argv), spark)
         return 0

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import codec, errors
 from strandlake.functions import expr as E
 from strandlake.operators import frames, profile
 from strandlake.plans import archive, commands
 from strandlake.plans.reads import DUCK, mates, reads
 from strandlake.sources import register
 from strandlake.sources.frames import inspect
-from strandlake.sources.storage import scratch
+from strandlake.sources.storage import locate, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -470,10 +473,13 @@ def paired_archive_scan(spark, d):
     return load(spark, "readframes", written_archive(spark, d, paired=True))
 
 
-MIB_WALK = """, RECURSIVE_MARK
+WALK = """, RECURSIVE_MARK
 sz AS (SELECT row_number() OVER (ORDER BY read_no) AS k, read_no, length(id) + length(comment) + length(sequence) + length(quality) + 132 AS b FROM reads),
 walk AS (SELECT k, read_no, 0::BIGINT AS frame_id, b AS held FROM sz WHERE k = 1 UNION ALL
-  SELECT sz.k, sz.read_no, CASE WHEN held >= 1048576 THEN frame_id + 1 ELSE frame_id END, CASE WHEN held >= 1048576 THEN b ELSE held + b END FROM walk JOIN sz ON sz.k = walk.k + 1)"""
+  SELECT sz.k, sz.read_no, CASE WHEN held >= TARGET THEN frame_id + 1 ELSE frame_id END, CASE WHEN held >= TARGET THEN b ELSE held + b END FROM walk JOIN sz ON sz.k = walk.k + 1)"""
+MIB_WALK = WALK.replace("TARGET", "1048576")
+RAW_SIZES = f"""SELECT frame_id, count(*) AS record_count, ({VS('count(*)')} + sum({VS('length(id)')} + length(id) + {VS('length(comment)')} + length(comment)))::BIGINT AS raw_ids,
+({VS('count(*)')} + sum({VS('length(quality)')} + length(quality)))::BIGINT AS raw_qual FROM walk JOIN reads USING (read_no) GROUP BY frame_id"""
 
 
 @query(f"""{MIB_WALK} SELECT 'illumina' AS profile, false AS paired, count(DISTINCT frame_id) AS frames, count(*) AS records, sum(length(sequence))::BIGINT AS bases
@@ -484,8 +490,7 @@ def archive_footer(spark, d):
     return spark.createDataFrame([(a.profile, a.paired, len(a.headers), a.records, a.bases)], "profile string, paired boolean, frames long, records long, bases long")
 
 
-@query(f"""{MIB_WALK} SELECT frame_id, count(*) AS record_count, ({VS('count(*)')} + sum({VS('length(id)')} + length(id) + {VS('length(comment)')} + length(comment)))::BIGINT AS raw_ids,
-({VS('count(*)')} + sum({VS('length(quality)')} + length(quality)))::BIGINT AS raw_qual FROM walk JOIN reads USING (read_no) GROUP BY frame_id""")
+@query(f"{MIB_WALK} {RAW_SIZES}")
 def frame_headers(spark, d):
     """What the headers of an archive's frames say."""
     rows = [(h.frame_id, h.record_count, h.raw_ids, h.raw_qual) for _, h in inspect(written_archive(spark, d)).headers]
@@ -499,6 +504,39 @@ def verify_totals(spark, d):
     return spark.createDataFrame([(s.records, s.bases, s.output_bytes)], "records long, bases long, text_bytes long")
 
 
+@query(f"{WALK.replace('TARGET', '65536')} {RAW_SIZES}")
+def zstd_streams(spark, d):
+    """Streams compressed and inflated again, as long as they were."""
+
+    def inflate(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            sizes = [[len(codec.decompress(r[c], r[f"raw_{n}"])) for r in rows] for c, n in (("ids", "ids"), ("quals", "qual"))]
+            yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("record_count"), *(pa.array(x, pa.int64()) for x in sizes)], names=["frame_id", "record_count", "raw_ids", "raw_qual"])
+
+    return archive.encode_frames(framed(spark, d)).mapInArrow(inflate, "frame_id long, record_count long, raw_ids long, raw_qual long")
+
+
+@query(f"{MIB_WALK} SELECT count(DISTINCT frame_id) AS frames, true AS holds, 1::BIGINT AS found FROM walk")
+def archive_checksums(spark, d):
+    """The checksums of header, frames and footer hold, and one that is wrong is found."""
+    path = written_archive(spark, d)
+    a = inspect(path)
+    rows = [archive.signed(h.checksum) for _, h in a.headers]
+    rolling = functools.reduce(lambda g, c: codec.advance(g, archive.unsigned(c)), rows, 0)
+    fs, name = locate(path)
+    with fs.open_input_file(name) as f:
+        data = bytearray(f.read(codec.HEADER_SIZE))
+    holds = codec.parse_header(bytes(data)) == (a.profile, a.paired) and rolling == a.rolling
+    data[-1] ^= 1
+    try:
+        codec.parse_header(bytes(data))
+        found = 0
+    except errors.ChecksumError:
+        found = 1
+    return spark.createDataFrame([(len(rows), holds, found)], "frames long, holds boolean, found long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile and archive totals of all reads."""
     return archive_stats(spark, sf_dir).crossJoin(profile.detect_profile(reads(spark, sf_dir)).select("profile"))

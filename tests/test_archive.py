@@ -3,6 +3,7 @@ from __future__ import annotations
 import dataclasses
 import gzip
 import io
+import logging
 import random
 
 import numpy as np
@@ -160,6 +161,21 @@ def test_command_line(spark, tmp_path, caplog):
     assert cli.main(["--version"], spark) == 0
 
 
+def test_pipes(spark, tmp_path):
+    """Standard input and output, through a folder that executors share."""
+    text = fastq(30)
+    out, back = io.BytesIO(), io.BytesIO()
+    args = cli.parser().parse_args(["compress", "-i", "-", "-o", "-", "-q"])
+    cli.run(args, spark, io.BytesIO(text.encode()), out)
+    cli.run(cli.parser().parse_args(["decompress", "-i", "-", "-o", "-", "-q"]), spark, io.BytesIO(out.getvalue()), back)
+    assert back.getvalue().decode() == text
+
+
+def test_level_names():
+    records = [logging.LogRecord("x", n, "", 0, "m", None, None) for n in (10, 20, 30, 40)]
+    assert [cli.Short("%(levelname)s").format(r) for r in records] == ["DBG", "INF", "WRN", "ERR"]
+
+
 @pytest.mark.parametrize("frame", [1, 3])
 def test_many_frames(spark, tmp_path, frame, monkeypatch):
     """Frames over several chunks of a file, plain, compressed, with blank lines, and of mates: the same archive."""
