@@ -235,7 +235,7 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, small_rows: int = S
 
 
 def placed(store: Store, version: int, keep: list[str]) -> DataFrame:
-    """For each row of a version: the columns `keep`, shard (file name), tier, shard_bytes and version.
+    """For each row of a version: the columns `keep`, shard (its path in the store), tier, shard_bytes and version.
 
     All of it is read with the row from its file, so nothing is joined.
     """
@@ -243,6 +243,7 @@ def placed(store: Store, version: int, keep: list[str]) -> DataFrame:
     if not store.manifest(version)[1]:
         name, size = F.lit(None).cast("string"), F.lit(None).cast("long")
     else:
-        name, size = (rows.metadataColumn("_metadata")[c] for c in ("file_name", "file_size"))
+        file = rows.metadataColumn("_metadata")
+        name, size = F.regexp_extract(file["file_path"], ".*/(data/.+)$", 1), file["file_size"]
     tier = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.lit(1.0), SEALED * store.target / size)) / math.log(store.fanout))).cast("int")
     return rows.select(*[quoted(c) for c in keep], name.alias("shard"), tier.alias("tier"), size.alias("shard_bytes"), F.lit(version).cast("long").alias("version"))

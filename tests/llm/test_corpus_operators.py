@@ -357,7 +357,7 @@ def test_shards(spark, docs, tmp_path):
     assert store.read().count() == docs.count() and store.manifest(after)[1] == store.manifest()[1]
     placed = sharding.placed(store, after, docs.columns)
     assert placed.count() == docs.count()
-    found = {s.path.rsplit("/", 1)[1]: s for s in store.manifest(after)[1]}
+    found = {s.path: s for s in store.manifest(after)[1]}
     for name, tier, size, n in placed.groupBy("shard", "tier", "shard_bytes").count().collect():
         assert (found[name].tier, found[name].bytes, found[name].rows) == (tier, size, n)
     assert max(s.bytes for s in found.values()) < 3 * 20_000
@@ -380,8 +380,9 @@ def test_arrivals_are_compacted_by_tiers(spark, docs, tmp_path, arrivals):
     for m in merges:  # what is merged is of one tier, and its rows stay
         assert len({sizes[p]["tier"] for p in m["removed"]}) == 1
         assert sum(sizes[p]["rows"] for p in m["removed"]) == sum(x["rows"] for x in m["added"])
-    files = {p.name for p in (tmp_path / "s" / "data").rglob("*.parquet")}
-    assert files == {s.path.rsplit("/", 1)[1] for s in live}
+    files = {str(p.relative_to(tmp_path / "s")) for p in (tmp_path / "s" / "data").rglob("*.parquet")}
+    assert files == {s.path for s in live}
+    assert {r.shard for r in sharding.placed(store, version, ["doc_id"]).collect()} == {s.path for s in live if s.rows}
     empty, version = sharding.shard(docs.limit(0), root=f"file://{tmp_path}/e", arrivals=2)
     assert version == 2 and sharding.placed(empty, version, docs.columns).count() == 0
 
