@@ -90,6 +90,11 @@ def valid_shape(id_: Column, comment: Column, sequence: Column, quality: Column)
     return (F.length(id_) > 0) & (F.length(sequence) > 0) & (F.length(sequence) == F.length(quality)) & ~id_.rlike("[ \\r\\n]") & ~comment.rlike("[\\r\\n]")
 
 
+def is_record(id_: Column, sequence: Column, quality: Column) -> Column:
+    """Whether a record has an id, and bases with a quality each; what the fields hold is not looked at."""
+    return (F.length(id_) > 0) & (F.length(sequence) > 0) & (F.length(sequence) == F.length(quality))
+
+
 def valid_iupac(sequence: Column) -> Column:
     return sequence.rlike(f"^[{IUPAC}]+\\z")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gzip
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from strandlake.plans.reads import DUCK, mates, reads
 from strandlake.sources import register
 from strandlake.sources.frames import inspect
 from strandlake.sources.storage import locate, scratch
+from strandlake.streaming import archive_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -111,6 +113,11 @@ def valid_shape(spark, d):
     return broken(spark, d).select("read_no", E.valid_shape(*cols()).alias("valid"))
 
 
+@query(f"SELECT read_no, length(id) > 0 AND length(sequence) > 0 AND length(sequence) = length(quality) AS valid FROM ({BROKEN} reads)")
+def is_record(spark, d):
+    return broken(spark, d).select("read_no", E.is_record(F.col("id"), F.col("sequence"), F.col("quality")).alias("valid"))
+
+
 @query(f"SELECT read_no, regexp_matches(sequence, '^[{E.IUPAC}]+\\z') AS valid FROM ({BROKEN} reads)")
 def valid_iupac(spark, d):
     return broken(spark, d).select("read_no", E.valid_iupac(F.col("sequence")).alias("valid"))
@@ -176,6 +183,22 @@ def varint_hex(spark, d):
     return reads(spark, d).select("read_no", E.varint_hex(F.expr(NUMBER)).alias("varint"))
 
 
+@query(f"SELECT read_no, {NUMBER} AS v FROM reads")
+def varint_decode(spark, d):
+    """Numbers written as varints one after the other and read again."""
+
+    def run(batches):
+        for b in batches:
+            data, _ = codec.varints(b.column(1).to_numpy())
+            data, at, out = data.tobytes(), 0, []
+            while at < len(data):
+                v, at = codec.read_varint(data, at)
+                out.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["read_no", "v"])
+
+    return reads(spark, d).select("read_no", F.expr(NUMBER).alias("v")).mapInArrow(run, "read_no long, v long")
+
+
 @query(f"""SELECT read_no, upper(array_to_string(list_transform(range(8), lambda i: lpad(to_hex((v >> (8 * i)::INT) & 255), 2, '0')), '')) AS u64,
 upper(array_to_string(list_transform(range(4), lambda i: lpad(to_hex((read_no >> (8 * i)::INT) & 255), 2, '0')), '')) AS u32 FROM (SELECT read_no, {NUMBER} AS v FROM reads)""")
 def le_hex(spark, d):
@@ -452,6 +475,39 @@ def gzip_scan(spark, d):
     return spark.read.format("fastq").load(",".join(names)).select(*RECORD)
 
 
+@query(NUMBERED)
+def gzip_members(spark, d):
+    """A file of several gzip members, which is the text of all of them."""
+    source, path = written_fastq(spark, reads(spark, d), "reads"), f"{scratch(spark)}/members.gz"
+    fs, name = locate(source)
+    with fs.open_input_file(name) as f, fs.open_output_stream(locate(path)[1], compression=None) as out:
+        while data := f.read(1 << 16):
+            out.write(gzip.compress(data))
+    return load(spark, "fastq", path)
+
+
+@query("SELECT id, comment, sequence, quality FROM reads")
+def arrivals(spark, d):
+    """Files that arrive in a folder become an archive each."""
+    register(spark)
+    folder, output, state = scratch(spark), scratch(spark), scratch(spark)
+    for i in range(3):
+        part = reads(spark, d).where(f"read_no % 3 = {i}").orderBy("read_no").select(F.lit(0).alias("file_no"), "read_no", *RECORD)
+        part.write.format("fastq").mode("append").save(f"{folder}/{i}.fastq")
+    archive_arrivals(spark, folder, output, state, profile="illumina").awaitTermination()
+    found = [spark.read.format("readframes").load(f"{output}/{i}.fastq.arc").select(*RECORD) for i in range(3)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query("SELECT 'illumina' AS profile, count(*) AS records FROM reads")
+def detected_profile(spark, d):
+    """The profile that an archive gets from the first reads of its file."""
+    source, target = written_fastq(spark, reads(spark, d), "reads"), f"{scratch(spark)}/reads.arc"
+    commands.compress(spark, source, target)
+    a = inspect(target)
+    return spark.createDataFrame([(a.profile, a.records)], "profile string, records long")
+
+
 @query(NUMBERED)
 def archive_scan(spark, d):
     """An archive written and read as a table."""
