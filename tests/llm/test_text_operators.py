@@ -211,6 +211,35 @@ def test_groups_of_several_blocks(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == group
 
 
+def test_signatures_that_several_buckets_hold(spark, monkeypatch):
+    """With more buckets than signatures, splitters cut frequent signatures by classes; links across the cuts are found."""
+    cuts = []
+    real = jaccard_join.splitters_of
+    monkeypatch.setattr(jaccard_join, "splitters_of", lambda *a: cuts.append(real(*a)) or cuts[-1])
+    r = np.random.default_rng(14)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(120):
+        w = list(base)
+        for p in r.choice(90, int(r.integers(0, 4)), replace=False):
+            w[p] = f"x{r.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if x == high else x for k, x in group.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(cuts[0][1]) > 0 and got == group
+
+
 def test_ids_of_any_type(spark):
     """Ids that are no numbers, for all operators that keep rows apart."""
     text = " ".join(f"w{i}" for i in range(60))
