@@ -105,16 +105,6 @@ class Parser:
             raise FormatError(f"line {self.line_no + below + 1}: {what}")
 
 
-def parse(stream: io.BufferedIOBase, file_no: int = 0) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for heads, bases, quals in Parser(stream).blocks():
-        split = [h.partition(b" ") for h in heads]
-        text = [[x.decode("latin-1") for x in c] for c in ([s[0] for s in split], [s[2] for s in split], bases, quals)]
-        size = len(heads)
-        yield pa.RecordBatch.from_arrays([pa.array([file_no] * size, pa.int32()), pa.array(range(n, n + size), pa.int64()), *(pa.array(c, pa.string()) for c in text)], names=NAMES)
-        n += size
-
-
 def lines_of(block: bytes):
     """(header, its first space or its end, its end, sequence, its end, quality, its end) of each record, as places in
     the block; None if the block is not whole records without blank lines and carriage returns."""
@@ -130,18 +120,17 @@ def lines_of(block: bytes):
     return h, np.minimum(spaces[np.searchsorted(spaces, h)], he), he, s, se, q, qe
 
 
-def records_of(block: bytes) -> C.Records:
-    """The records of a block of whole records."""
-    found = lines_of(block)
-    if found is None:
-        held = list(Parser(io.BytesIO(block)).blocks())
-        block = b"".join(b"@%b\n%b\n+\n%b\n" % r for b in held for r in zip(*b))
-        found = lines_of(block) if block else (np.zeros(0, np.int64),) * 7
-    h, space, he, s, se, q, qe = found
+def records_at(block: bytes, lines) -> C.Records:
+    h, space, he, s, se, q, qe = lines
     comment = np.minimum(space + 1, he)
     return C.Records(C.gather(block, h + 1, space - h - 1), C.gather(block, comment, he - comment), C.gather(block, s, se - s), C.gather(block, q, qe - q))
 
 
+def records_of(block: bytes) -> C.Records:
+    """The records of a block of whole records without blank lines."""
+    return records_at(block, lines_of(block))
+
+
 class Prefixed:
     """A stream with bytes before it."""
 
@@ -153,6 +142,38 @@ class Prefixed:
         return head or self.stream.read(n)
 
 
+def blocks_of(stream) -> Iterator[tuple[bytes, tuple, int]]:
+    """(bytes, lines_of() them, their place in the stream or -1 if they were rewritten) of all records."""
+    offset, rest, line_no = 0, b"", 0
+    while data := stream.read(CHUNK):
+        block = rest + data
+        n = block.count(b"\n") // 4 * 4
+        if not n:
+            rest = block
+            continue
+        end = int(np.flatnonzero(np.frombuffer(block, np.uint8) == 10)[n - 1]) + 1
+        lines = lines_of(block[:end])
+        if lines is None:
+            rest = block
+            break
+        yield block[:end], lines, offset
+        offset, rest, line_no = offset + end, block[end:], line_no + n
+    if rest:
+        parser = Parser(Prefixed(rest, stream))
+        parser.line_no = line_no
+        for found in parser.blocks():
+            block = b"".join(b"@%b\n%b\n+\n%b\n" % r for r in zip(*found))
+            yield block, lines_of(block), -1
+
+
+def parse(stream, file_no: int = 0) -> Iterator[pa.RecordBatch]:
+    n = 0
+    for block, lines, _ in blocks_of(stream):
+        size = len(lines[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, file_no, np.int32)), pa.array(np.arange(n, n + size)), *records_at(block, lines).arrow()], names=NAMES)
+        n += size
+
+
 @dataclass
 class Segment:
     """Records of a lane that no frame has taken yet: where each begins and the last ends, in the file or in data."""
@@ -173,29 +194,9 @@ class Lane:
         self.found = self.measured(path)
 
     def measured(self, path: str) -> Iterator[tuple[np.ndarray, Segment]]:
-        stream, again = open_input(path), is_plain(path)
-        offset, rest, line_no = 0, b"", 0
-        while data := stream.read(CHUNK):
-            block = rest + data
-            n = block.count(b"\n") // 4 * 4
-            if not n:
-                rest = block
-                continue
-            places = np.flatnonzero(np.frombuffer(block, np.uint8) == 10)
-            end = int(places[n - 1]) + 1
-            lines = lines_of(block[:end])
-            if lines is None:
-                rest = block
-                break
-            yield self.sizes_of(lines), Segment(lines[0], end, offset, None if again else block)
-            offset, rest, line_no = offset + end, block[end:], line_no + n
-        if rest:
-            parser = Parser(Prefixed(rest, stream))
-            parser.line_no = line_no
-            for block in parser.blocks():
-                data = b"".join(b"@%b\n%b\n+\n%b\n" % r for r in zip(*block))
-                lines = lines_of(data)
-                yield self.sizes_of(lines), Segment(lines[0], len(data), 0, data)
+        again = is_plain(path)
+        for block, lines, offset in blocks_of(open_input(path)):
+            yield self.sizes_of(lines), Segment(lines[0], len(block), offset, None if again and offset >= 0 else block)
 
     @staticmethod
     def sizes_of(lines) -> np.ndarray:
