@@ -51,7 +51,7 @@ PERCENT = 90
 #: Classes that are compared at once.
 BLOCK = 256
 #: Texts for each bucket (and in all, at least) and signatures of each that the splitters are sampled from.
-SAMPLE_PER_BUCKET, SAMPLE_DOCS, SAMPLE_SIGNATURES = 2, 1500, 40
+SAMPLE_PER_BUCKET, SAMPLE_DOCS, SAMPLE_SIGNATURES = 0.5, 1500, 40
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int]]:

@@ -44,7 +44,7 @@ LENGTH = 400
 SPREAD = 192
 GRAM = 16
 #: Documents that the splitters are sampled from, in all and for each bucket at least, and suffixes of each.
-SAMPLE_DOCS, SAMPLE_PER_BUCKET, SAMPLE_SUFFIXES = 1500, 2, 40
+SAMPLE_DOCS, SAMPLE_PER_BUCKET, SAMPLE_SUFFIXES = 1500, 0.5, 40
 
 KEYS = ["k0", "k1", "k2", "k3"]
 #: A suffix: its four tokens, its text, its block's first window and windows. known 0: compare; 1: a repeat already,
