@@ -253,3 +253,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def contaminated(leak):
     """A document is contaminated if a twentieth of its words or more are hit."""
     return (leak["n_hit"] > 0) & (leak["n_hit"] * 20 >= leak["n_words"])
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT true AS item, item_id::VARCHAR AS id, text FROM benchmark UNION ALL SELECT false, doc_id::VARCHAR, text FROM documents),
+w AS (SELECT item, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM t),
+v AS (SELECT DISTINCT id, least(len(words), 13) AS n, array_to_string(words[i:i + least(len(words), 13) - 1], ' ') AS key
+  FROM (SELECT id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM w WHERE item AND len(words) > 0)),
+d AS (SELECT w.id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM v) WHERE NOT item AND len(words) >= n),
+hit AS (SELECT d.id, i, d.n, v.id AS item_id FROM d JOIN v ON v.n = d.n AND v.key = array_to_string(words[i:i + d.n - 1], ' ')),
+spots AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT id, item_id FROM hit) GROUP BY id)
+SELECT w.id::BIGINT AS doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN spots ON spots.id = w.id LEFT JOIN items ON items.id = w.id WHERE NOT w.item
+"""

@@ -225,3 +225,12 @@ def extract_column(column: pa.Array):
 def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """(the columns `keep` of pages, by default all, with a struct column of EXTRACTED, its name)."""
     return annotate(pages, html_col, EXTRACTED, extract_column, pages.columns if keep is None else keep, "extracted")
+
+
+#: For pages whose article holds only headings, paragraphs, bold text, line breaks and &amp;, as those of the table do.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS blocks FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(
+  regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, length(array_to_string(blocks, chr(10) || chr(10)))::BIGINT AS n_chars FROM b
+"""

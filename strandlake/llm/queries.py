@@ -89,4 +89,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "quality_ablation": quality_rules.ABLATION_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_html_extract": html_extract.ORACLE_SQL,
+        "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op7_decontaminate": decontaminate.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "quality_ablation": quality_rules.ABLATION_SQL,
+    }

@@ -224,3 +224,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = settled.drop("_places").join(runs, ["_d", "_t"], "left").join(windows, ["_d", "_t"], "left").select(*names, "_text", "_places", "_w", "n_words", "sha")
     done = last.mapInArrow(cut(len(names), window, to_arrow_schema(out), with_text), out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "n_removed", "kept_sha256", "kept_text")
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM p),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM g WHERE n > 1),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
