@@ -94,6 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_html_extract": html_extract.ORACLE_SQL,
         "op5_jaccard_join": jaccard_join.ORACLE_SQL,
         "op7_decontaminate": decontaminate.ORACLE_SQL,
+        "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
         "quality_ablation": quality_rules.ABLATION_SQL,

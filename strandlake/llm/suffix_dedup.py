@@ -371,3 +371,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = StructType([base.schema[n] for n in names] + [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType()), StructField("kept_bytes", BinaryType())])
     done = last.mapInArrow(cut(len(names), length, to_arrow_schema(out).names, with_bytes), out)
     return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+h AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS k FROM h),
+o AS (SELECT doc_id, i, coalesce(i > lag(i) OVER by_place + 400, true) AS opens FROM g WHERE k > 1 WINDOW by_place AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+gone AS (SELECT doc_id, run, min(i) AS a, max(i) + 399 AS z FROM r GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, run, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) + 1 AS a, a - 1 AS z FROM gone
+  UNION ALL SELECT doc_id, max(run) + 1, max(z) + 1, 9223372036854775807 FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, unhex(string_agg(CASE WHEN z >= a AND a <= n THEN hex(b[a:least(z, n)]) ELSE '' END, '' ORDER BY run)) AS b FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept.b, d.b)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
