@@ -150,13 +150,13 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate(sets), np.concatenate(found)
 
 
-#: Cells of a sketch: a power of two, twice the size of the set or more, between these.
+#: Cells of a sketch: a power of two, the size of the set or more, between these.
 FEWEST_CELLS, MOST_CELLS = 64, 1 << 16
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """A bit for each cell: whether the set has an odd number of shingles there."""
-    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64)
+    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64)
     begin = np.cumsum(cells) - cells
     cell = (K.mix(h + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc] - 1)
     odd = (np.bincount(begin[doc] + cell, minlength=int(cells.sum())) & 1).astype(np.uint8)
