@@ -1,9 +1,10 @@
 """FASTQ files to archives and back as one Spark job each.
 
-To an archive: one task measures the records of the file (or of both mates side by side) and cuts
-them into frames, as only the records before say where a frame ends; it passes on where a frame's
-bytes lie, or the bytes themselves if the file is compressed. The frames are dealt to tasks that read,
-encode and write them. From an archive: the frames that its headers name are dealt to tasks that read,
+To an archive: records are measured and cut into frames, and a frame's place in the file (or its
+bytes, if the file is compressed) goes to one of the tasks that read, encode and write frames. Ranges
+of a large plain file are measured in parallel: a first pass counts the line ends of each range, so that
+every range knows which of a record's four lines it begins in. Only the cut, which depends on all
+records before, is one task's, and it sees two numbers of each record. From an archive: the frames that its headers name are dealt to tasks that read,
 check, decode and write them as text. So no read is a row, and nothing is shuffled but places (and
 compressed input, which no two tasks can read).
 
@@ -12,6 +13,7 @@ The parts that tasks write become one file by assemble(). The driver holds a row
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,9 @@ from strandlake.operators.frames import Cutter
 from strandlake.operators.profile import SAMPLE_READS
 from strandlake.plans.archive import admit as admit_encoded
 from strandlake.plans.archive import signed, unsigned
-from strandlake.sources.fastq import Lane, parse, records_of
+from strandlake.sources.fastq import Lane, Segment, count_lines, measure_range, measured, parse, read_range, records_of
 from strandlake.sources.frames import Archive, exactly, frames_of
-from strandlake.sources.storage import Staged, locate, open_input
+from strandlake.sources.storage import Staged, is_plain, locate, open_input
 
 CUT = "frame_id long, lanes array<array<struct<at:bigint,n:bigint,data:binary>>>"
 #: A frame that a task has written: its place in a part, and what it holds. The checksum is signed.
@@ -37,12 +39,14 @@ DONE = "frame_id long, path string, at long, n long, records long, bases long, t
 DONE_NAMES = [x.split()[0] for x in DONE.split(", ")]
 #: Frames' bytes for each task, and the output up to which the driver joins parts by itself.
 TASK_BYTES, JOINED = 1 << 30, 256 << 20
+#: Bytes of a plain file that are measured by one task; a smaller file is measured by the task that cuts it.
+RANGE = 256 << 20
 COPY = 4 << 20
 
 
-def cut_frames(paths: list[str], target: int) -> Iterator[tuple[int, list]]:
+def cut_frames(lanes: list[Lane], target: int) -> Iterator[tuple[int, list]]:
     """(number, pieces of each file) of the frames; two files are mates."""
-    lanes, cutter = [Lane(p) for p in paths], Cutter(target, len(paths) == 2)
+    cutter = Cutter(target, len(lanes) == 2)
     frame = held = 0
     while True:
         waiting = [lane.fill() for lane in lanes]
@@ -75,13 +79,78 @@ def tasks_for(spark: SparkSession, size: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
+MEASURED = "i long, lane long, at long, sizes binary, lengths binary"
+
+
+def line_counts(spark: SparkSession, path: str, size: int) -> list[int] | None:
+    """How many lines end before each range of a plain file; None if it must be read from its start."""
+
+    def count(batches):
+        fs, name = locate(path)
+        for b in batches:
+            with fs.open_input_file(name) as f:
+                found = [count_lines(f, i * RANGE, min(size, (i + 1) * RANGE)) for i in b.column(0).to_pylist()]
+                last = read_range(f, size - 1, size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found]), pa.array([odd or last != b"\n" for _, odd in found])], names=["i", "n", "odd"])
+
+    n = -(-size // RANGE)
+    rows = sorted(spark.range(0, n, 1, n).mapInArrow(count, "i long, n long, odd boolean").collect())  # a row for each range
+    ends = np.cumsum([r.n for r in rows])
+    return None if any(r.odd for r in rows) or ends[-1] % 4 else [0, *ends[:-1].tolist()]
+
+
+def measured_ranges(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The records of large plain files, range by range (MEASURED); None if a file is small or not plain."""
+    sizes = [fs.get_file_info(p).size or 0 for fs, p in map(locate, paths)]
+    if min(sizes) <= RANGE or not all(map(is_plain, paths)):
+        return None
+    lines = [line_counts(spark, p, n) for p, n in zip(paths, sizes)]
+    if None in lines:
+        return None
+
+    def measure(batches):
+        for b in batches:
+            for i, lane, line in zip(*(c.to_pylist() for c in b.columns)):
+                fs, name = locate(paths[lane])
+                with fs.open_input_file(name) as f:
+                    for n, x in measure_range(f, i * RANGE, min(sizes[lane], (i + 1) * RANGE), sizes[lane], line):
+                        lengths = np.diff(np.append(x.starts, x.end))
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([lane]), pa.array([x.offset]), pa.array([n.astype(np.int64).tobytes()]), pa.array([lengths.astype(np.int64).tobytes()])], names=["i", "lane", "at", "sizes", "lengths"])
+
+    rows = [(i, lane, n) for lane, own in enumerate(lines) for i, n in enumerate(own)]
+    table = spark.createDataFrame(rows, "i long, lane long, line long")
+    return table.repartitionById(len(rows), (F.col("i") * len(paths) + F.col("lane")).cast("int") % len(rows)).mapInArrow(measure, MEASURED)
+
+
+def lanes_of(batches, n: int) -> list[Lane]:
+    """The lanes of measured rows that come in the order of ranges, those of all lanes in turn."""
+    waiting: list[deque] = [deque() for _ in range(n)]
+    rows = (r for b in batches for r in b.to_pylist())
+
+    def lane(k):
+        while True:
+            while not waiting[k]:
+                r = next(rows, None)
+                if r is None:
+                    return
+                waiting[r["lane"]].append(r)
+            r = waiting[k].popleft()
+            ends = np.cumsum(np.frombuffer(r["lengths"], np.int64))
+            yield np.frombuffer(r["sizes"], np.int64), Segment(np.append(0, ends[:-1]), int(ends[-1]), r["at"], None)
+
+    return [Lane(lane(k)) for k in range(n)]
+
+
 def encode_files(spark: SparkSession, paths: list[str], target: int, memory: int, staged: Staged) -> list:
     """The rows (DONE) of all frames in order."""
 
-    def cut(batches):
+    def cut(lanes):
+        for number, pieces in cut_frames(lanes, target):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pieces], kind)], names=["frame_id", "lanes"])
+
+    def from_start(batches):
         for _ in batches:
-            for number, lanes in cut_frames(paths, target):
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lanes], kind)], names=["frame_id", "lanes"])
+            yield from cut([Lane(measured(p)) for p in paths])
 
     def encode(batches):
         path, out, at = staged.part(part_name()), None, 0
@@ -117,8 +186,13 @@ def encode_files(spark: SparkSession, paths: list[str], target: int, memory: int
     kind = pa.list_(pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])))
     size = sum(fs.get_file_info(p).size or 0 for fs, p in map(locate, paths))
     n = tasks_for(spark, size)
-    frames = spark.range(1).repartition(1).mapInArrow(cut, CUT).repartitionById(n, F.pmod("frame_id", F.lit(n)).cast("int"))
-    return sorted(frames.mapInArrow(encode, DONE).collect())
+    ranges = measured_ranges(spark, paths)
+    if ranges is None:
+        frames = spark.range(1).repartition(1).mapInArrow(from_start, CUT)
+    else:
+        frames = ranges.repartition(1).sortWithinPartitions("i", "lane", "at").mapInArrow(lambda batches: cut(lanes_of(batches, len(paths))), CUT)
+    dealt = frames.repartitionById(n, F.pmod("frame_id", F.lit(n)).cast("int"))
+    return sorted(dealt.mapInArrow(encode, DONE).collect())
 
 
 def exactly_at(f, at: int, n: int) -> bytes:

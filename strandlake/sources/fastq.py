@@ -185,24 +185,73 @@ class Segment:
     used: int = 0
 
 
+def sizes_of(lines) -> np.ndarray:
+    """Bytes that each record counts for a frame."""
+    h, space, he, s, se, _, _ = lines
+    return (he - h - 1 - (space < he)) + 2 * (se - s) + RETAINED
+
+
+def measured(path: str) -> Iterator[tuple[np.ndarray, Segment]]:
+    """(sizes, segment) of a file from its start to its end."""
+    again = is_plain(path)
+    for block, lines, offset in blocks_of(open_input(path)):
+        yield sizes_of(lines), Segment(lines[0], len(block), offset, None if again and offset >= 0 else block)
+
+
+def read_range(f, a: int, z: int) -> bytes:
+    f.seek(a)
+    return f.read(z - a)
+
+
+def count_lines(f, a: int, z: int) -> tuple[int, bool]:
+    """(line ends in a range of a file, whether it has what only the strict parser reads: blank lines, carriage returns)"""
+    n, odd, last = 0, False, read_range(f, a - 1, a) if a else b"\n"
+    for at in range(a, z, CHUNK):
+        data = read_range(f, at, min(z, at + CHUNK))
+        n += data.count(b"\n")
+        odd |= b"\r" in data or b"\n\n" in last + data
+        last = data[-1:]
+    return n, odd
+
+
+def measure_range(f, a: int, z: int, size: int, line: int) -> Iterator[tuple[np.ndarray, Segment]]:
+    """(sizes, segment) of the records that begin in [a, z) of a file of plain lines, `line` of which end before a."""
+    at, skip = a, -line % 4
+    if a and read_range(f, a - 1, a) != b"\n":  # a lies inside a line
+        skip = (skip - 1) % 4 + 1
+    rest = b""
+    while at < size:
+        data = read_range(f, at, min(size, at + CHUNK))
+        rest, at = rest + data, at + len(data)
+        while skip and (end := rest.find(b"\n")) >= 0:
+            rest, skip, line = rest[end + 1 :], skip - 1, line + 1
+        if skip:
+            continue
+        begin = at - len(rest)
+        if begin >= z:
+            return
+        ends = np.flatnonzero(np.frombuffer(rest, np.uint8) == 10)
+        starts = np.append(0, ends[3::4] + 1)
+        n = int(np.count_nonzero(begin + starts[:-1] < z))  # records that begin in the range and are whole
+        if n:
+            block = rest[: int(ends[4 * n - 1]) + 1]
+            lines = lines_of(block)
+            if lines is None:
+                parser = Parser(io.BytesIO(block))
+                parser.line_no = line
+                list(parser.blocks())  # says what is wrong
+                raise FormatError(f"line {line + 1}: not a plain record")
+            yield sizes_of(lines), Segment(lines[0], len(block), begin, None)
+            rest, line = rest[len(block) :], line + 4 * n
+
+
 class Lane:
     """A file as measured records, which frames take in order; only what cannot be read again is held."""
 
-    def __init__(self, path: str):
+    def __init__(self, found: Iterator[tuple[np.ndarray, Segment]]):
         self.segments: list[Segment] = []
         self.sizes = np.zeros(0, np.int64)
-        self.found = self.measured(path)
-
-    def measured(self, path: str) -> Iterator[tuple[np.ndarray, Segment]]:
-        again = is_plain(path)
-        for block, lines, offset in blocks_of(open_input(path)):
-            yield self.sizes_of(lines), Segment(lines[0], len(block), offset, None if again and offset >= 0 else block)
-
-    @staticmethod
-    def sizes_of(lines) -> np.ndarray:
-        """Bytes that each record counts for a frame."""
-        h, space, he, s, se, _, _ = lines
-        return (he - h - 1 - (space < he)) + 2 * (se - s) + RETAINED
+        self.found = found
 
     def fill(self) -> int:
         """Records that are measured and not yet seen."""

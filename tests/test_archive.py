@@ -201,6 +201,36 @@ def test_many_frames(spark, tmp_path, frame, monkeypatch):
     assert [r["id"] for r in rows[0::2]] == [f"read{i}" for i in range(9000)] and [r["id"] for r in rows[1::2]] == [f"mate{i}" for i in range(9000)]
 
 
+@pytest.mark.parametrize("size", [700, 5000, 40_000])
+def test_ranges_of_a_file(spark, tmp_path, monkeypatch, size):
+    """Ranges that begin anywhere in a record are measured like the whole file; faults keep their line."""
+    from strandlake.plans import transfer
+
+    text, other = fastq(700), fastq(700, 2, "mate")
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text(other)
+    names = [str(tmp_path / n) for n in ("a.fq", "b.fq")]
+    commands.compress(spark, names[0], str(tmp_path / "one.arc"), profile="ont", frame_mib=1)
+    commands.compress(spark, names[0], str(tmp_path / "two.arc"), mate=names[1], profile="ont", frame_mib=1)
+    monkeypatch.setattr(transfer, "RANGE", size)
+    assert transfer.measured_ranges(spark, names) is not None
+    commands.compress(spark, names[0], str(tmp_path / "one-r.arc"), profile="ont", frame_mib=1)
+    commands.compress(spark, names[0], str(tmp_path / "two-r.arc"), mate=names[1], profile="ont", frame_mib=1)
+    for n in ("one", "two"):
+        assert (tmp_path / f"{n}.arc").read_bytes() == (tmp_path / f"{n}-r.arc").read_bytes()
+    lines = text.split("\n")
+    for at, line in ((1602, "-"), (2000, "read"), (2401, lines[2401] + "A")):
+        bad = "\n".join([*lines[:at], line, *lines[at + 1 :]])
+        (tmp_path / "bad.fq").write_text(bad)
+        with pytest.raises(FormatError, match=f"line {at + 1 + 2 * (at % 4 == 1)}:"):
+            commands.compress(spark, str(tmp_path / "bad.fq"), str(tmp_path / "never"), profile="ont")
+    (tmp_path / "crlf.fq").write_bytes(text.replace("\n", "\r\n").encode())
+    assert transfer.measured_ranges(spark, [str(tmp_path / "crlf.fq")]) is None
+    (tmp_path / "short.fq").write_text(fastq(600, 2, "mate"))
+    with pytest.raises(FormatError, match="different record counts"):
+        commands.compress(spark, names[0], str(tmp_path / "never"), mate=str(tmp_path / "short.fq"), profile="ont")
+
+
 def test_parts_are_joined_by_executors(spark, made, tmp_path, monkeypatch):
     from strandlake.plans import transfer
 
