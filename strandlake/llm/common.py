@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import AtomicType, StructField, StructType
 
 from strandlake.llm.kernels import string_column
 
@@ -79,6 +79,12 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.lit(1), name, F.isnull(name), text).alias("_d"), F.xxhash64(F.lit(2), text, F.isnull(text), name).alias("_t")]
 
 
+def row_hash(schema: StructType, seed: int = 0) -> Column:
+    """64 bits of all columns of simple types, which order rows that agree in their keys alike at every run."""
+    simple = [f.name for f in schema.fields if isinstance(f.dataType, AtomicType)]
+    return F.xxhash64(F.lit(seed), *[quoted(c) for c in simple])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -43,7 +43,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from strandlake.llm import exchange as X
 from strandlake.llm import kernels as K
 from strandlake.llm import suffix_dedup as S
-from strandlake.llm.common import Work, annotate, free_name, quoted, row_keys
+from strandlake.llm.common import Work, annotate, free_name, quoted, row_hash, row_keys
 from strandlake.llm.components import components
 
 SIZE = 3
@@ -573,16 +573,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the one with the smallest id stays (a null id only
-    if there is no other), of rows that repeat one, and every row with an empty set."""
+    if there is no other), of rows that agree in id and text one, by a hash of all columns, and every row with an empty set."""
     row, key = free_name(docs, "_row"), ["_d", "_t"]
-    keyed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias(row), *row_keys(id_col, text_col), quoted(id_col).alias("_i"), quoted(text_col).alias("_x"))
+    columns = F.struct(*[quoted(c) for c in docs.columns])
+    keyed = docs.select(columns.alias(row), *row_keys(id_col, text_col), quoted(id_col).alias("_i"), quoted(text_col).alias("_x"), row_hash(docs.schema).alias("_h"))
     found = near_duplicates(keyed.select(*key, "_i", "_x"), "_i", "_x", [*key, "_i"], size, percent)
     order = F.struct(F.isnull("_i").alias("no_id"), F.col("_i"), *key)
     chosen = found.where("_root is not null").groupBy("_root").agg(F.min(order).alias("k")).select("k._d", "k._t", F.lit(False).alias("empty"))
     empty = found.where("_root is null").select(*key, F.lit(True).alias("empty")).distinct()
     chosen = Work(docs.sparkSession, "jaccard").save(chosen.unionByName(empty), "chosen")
-    held = keyed.select(row, *key).join(chosen, key)
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("empty"))
+    held = keyed.select(row, *key, "_h").join(chosen, key)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("empty", "_h"))
     return held.withColumn("turn", turn).where("empty or turn = 1").select(f"{row}.*")
 
 

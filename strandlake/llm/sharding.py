@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandlake.llm.common import free_name, quoted, shared_dir
+from strandlake.llm.common import free_name, quoted, row_hash, shared_dir
 
 TARGET_BYTES = 128 << 20
 #: Rows of an arrival shard at most.
@@ -224,12 +224,11 @@ ARRIVALS = 8
 def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, small_rows: int = SMALL_ROWS, root: str | None = None, arrivals: int = ARRIVALS) -> tuple[Store, int]:
     """Bring a table to a new store in arrivals of different sizes, compacting after each: (store, version).
 
-    A row's arrival follows the bits of a hash of all of it that can be hashed.
+    A row's arrival follows the bits of a hash of its columns.
     """
     root = root or f"{shared_dir(docs.sparkSession)}/strandlake/shards-{uuid.uuid4().hex}"
     store = Store(docs.sparkSession, root, target_bytes)
-    hashed = [quoted(f.name) for f in docs.schema.fields if f.dataType.typeName() in ("long", "integer", "string", "double")]
-    draw = F.xxhash64(*hashed, F.lit(1)).bitwiseAND(F.lit((1 << (arrivals - 1)) - 1))
+    draw = row_hash(docs.schema, 1).bitwiseAND(F.lit((1 << (arrivals - 1)) - 1))
     zeros = F.length(F.regexp_extract(F.lpad(F.bin(draw), arrivals - 1, "0"), "(0*)$", 1)) if arrivals > 1 else F.lit(0)
     return store, store.append_all(docs, zeros.cast("int"), arrivals, small_rows)
 
