@@ -3,7 +3,13 @@
 Toxic documents go, one of each group of near-duplicates stays, contaminated documents go, sources
 are mixed to their target weights (a document that is taken twice is there twice), and the mix is
 written as shards. All stages but the last return the columns of documents; the last adds shard,
-tier, shard_rows, shard_bytes and version.
+tier, shard_bytes and version.
+
+Defined results: null and empty texts are never toxic, near-duplicates or contaminated, and have no
+words, so the mix, which counts words, takes none of them; of rows that agree in id and text one
+stays; a null id never stays where a component has another; a null source is a source of its own;
+a table without rows gives one without rows and a store whose versions hold nothing; all columns
+of documents come through as they are, whatever their names.
 """
 
 from __future__ import annotations
