@@ -150,13 +150,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate(sets), np.concatenate(found)
 
 
-#: Cells of a sketch: a power of two, the size of the set or more, between these.
-FEWEST_CELLS, MOST_CELLS = 64, 1 << 16
+#: Cells of a sketch: a power of two, COARSE or FINE times the size of the set or more, between these. Most groups are
+#: settled by coarse sketches; those that are left open are compared by fine ones, which few pairs pass that do not link.
+FEWEST_CELLS, MOST_CELLS = 64, 1 << 17
+COARSE, FINE = 1, 8
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, times: int = COARSE) -> list[bytes]:
     """A bit for each cell: whether the set has an odd number of shingles there."""
-    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64)
+    cells = np.clip(2 ** np.ceil(np.log2(np.maximum(times * sizes, 1))), FEWEST_CELLS, MOST_CELLS).astype(np.int64)
     begin = np.cumsum(cells) - cells
     cell = (K.mix(h + np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)).astype(np.int64) & (cells[doc] - 1)
     odd = (np.bincount(begin[doc] + cell, minlength=int(cells.sum())) & 1).astype(np.uint8)
@@ -235,21 +237,22 @@ def keys_of(column: pa.Array) -> np.ndarray:
 
 
 #: What the first pass finds of a text: the size of its set, its class (null if empty), the first half of that
-#: as a long, its sketch, and signatures with the class's long if the text is in the sample for splitters.
-FOUND = StructType([StructField("n_shingles", LongType()), StructField("k", BinaryType()), StructField("c", LongType()), StructField("sketch", BinaryType()), StructField("sample", BinaryType())])
+#: as a long, its sketches, and signatures with the class's long if the text is in the sample for splitters.
+FOUND = StructType([StructField("n_shingles", LongType()), StructField("k", BinaryType()), StructField("c", LongType()), StructField("sketch", BinaryType()), StructField("fine", BinaryType()), StructField("sample", BinaryType())])
 
 
 def classify(size: int, percent: int, rate: float):
     """fn for annotate()"""
 
     def fn(column: pa.Array):
-        n, keys, drawn, sample = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [], []
+        n, keys, drawn, fine, sample = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [], [], []
         for _, _, buf, offsets in K.slices(column):
             doc, h, sizes = shingle_sets(K.Tokens(buf, offsets, K.NON_SPACE, lower=True), size)
             k = class_keys(doc, h, sizes)
             n.append(sizes)
             keys.append(k)
             drawn += sketches(doc, h, sizes)
+            fine += sketches(doc, h, sizes, FINE)
             chosen = np.random.default_rng(int(k[:, 0].sum(dtype=np.uint64))).random(len(sizes)) < rate
             i, s = signatures(doc[chosen[doc]], h[chosen[doc]], np.where(chosen, sizes, 0), percent)
             own = [s[i == x] for x in range(len(sizes))] if chosen.any() else []
@@ -258,7 +261,7 @@ def classify(size: int, percent: int, rate: float):
         n, keys = np.concatenate(n), np.concatenate(keys)
         empty = pa.array(n == 0)
         blank = lambda x: pa.compute.if_else(empty, pa.scalar(None, x.type), x)
-        return [pa.array(n, pa.int64()), blank(binaries(keys)), blank(pa.array(K.signed(keys[:, 0]))), blank(pa.array(drawn, pa.binary())), pa.array(sample, pa.binary())]
+        return [pa.array(n, pa.int64()), blank(binaries(keys)), blank(pa.array(K.signed(keys[:, 0]))), blank(pa.array(drawn, pa.binary())), blank(pa.array(fine, pa.binary())), pa.array(sample, pa.binary())]
 
     return fn
 
@@ -526,7 +529,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = [np.frombuffer(r.as_py(), np.int64).reshape(-1, 2) for r in found.where("sample is not null").select("sample").toArrow().column(0)]
     sample = np.concatenate([np.zeros((0, 2), np.int64), *sample])
     shared = work.save(shared_signatures(base.select("_text"), sample, parts, size, percent), "shared")
-    least = [F.min("_id").alias("m"), F.min("_t").alias("t"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")]
+    least = [F.min("_id").alias("m"), F.min("_t").alias("t"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")]
     classes = work.save(found.where("k is not null").groupBy("c", "k").agg(*least), "classes")
     drawn = classes.select("c", "k", "n", "sketch")
     member = F.struct("k", "n", "sketch")
@@ -552,7 +555,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links, work, "roots")
     if large or not failed.isEmpty():
         again = pairs.join(failed, ["a", "b"]).select("s").unionByName(several).distinct()
-        labelled = shared.join(again, "s").select("s", "c").distinct().join(drawn, "c").select("s", "k", "n", "sketch")
+        fine = classes.select("c", "k", "n", F.col("fine").alias("sketch"))
+        labelled = shared.join(again, "s").select("s", "c").distinct().join(fine, "c").select("s", "k", "n", "sketch")
         labelled = work.save(labelled, "open")
         for step, closest in enumerate((True, False)):
             named = labelled.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))

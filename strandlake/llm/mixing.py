@@ -7,7 +7,7 @@ weight. Draws: each document has a uniform number u from its id, a quality weigh
 replacement. A source first gives whole epochs (every document once) and then the documents whose
 running sum of words comes nearest to the rest of its target.
 
-No source is sorted in one task: keys are dealt to about sqrt(n) buckets of a source, bucket sums
+No source is sorted in one task: keys are dealt to about sqrt(n / LEAST) buckets of a source, bucket sums
 give the bucket in which the target is met, and only that bucket is ordered. Keys are brought to
 (0, 1) so that whatever the weights no bucket expects more than 1 / LEAST times its share. Sources
 themselves are ranked and summed in ranges of their order, so they may be many. What decides about a
@@ -92,7 +92,7 @@ def plan(keys: DataFrame) -> DataFrame:
     t = targets(sources.select("source", "source_size")).withColumnRenamed("source", "s")
     t = t.join(sources.select(F.col("source").alias("s2"), "n"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     epochs = F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).cast("int")
-    t = t.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("k", F.ceil(F.sqrt("n")).cast("long"))
+    t = t.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("k", F.ceil(F.sqrt(F.col("n") / LEAST)).cast("long"))
     t = materialize(t, "mix-sources")
     bucketed = with_sources(keys, t.select("s", "k", "rest")).withColumn("b", F.floor(F.col("key.u") * F.col("k")).cast("long"))
     sums = materialize(bucketed.groupBy("source", "b").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")), "mix-buckets")
