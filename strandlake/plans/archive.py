@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,10 +53,16 @@ def encode_frames(framed: DataFrame, memory: int | None = None) -> DataFrame:
     return framed.select("frame_id", "read_no", "id", "comment", "sequence", "quality").groupBy("frame_id").applyInArrow(encode, ENCODED)
 
 
-def decode_frames(encoded: DataFrame) -> DataFrame:
-    """The records of encoded frames, with their place; frame_first is how many records earlier frames hold."""
-    before = Window.orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)  # two numbers for each frame
-    first = encoded.select("frame_id", F.coalesce(F.sum("record_count").over(before), F.lit(0)).alias("frame_first"))
+def decode_frames(encoded: DataFrame, *archives: str) -> DataFrame:
+    """The records of encoded frames, with their place; frame_first is how many records earlier frames hold.
+
+    `archives` are string columns that tell archives apart; each is numbered by itself.
+    """
+    before = Window.partitionBy(*archives).orderBy("frame_id").rowsBetween(Window.unboundedPreceding, -1)  # two numbers for each frame
+    key = [*archives, "frame_id"]
+    first = encoded.select(*key, F.coalesce(F.sum("record_count").over(before), F.lit(0)).alias("frame_first"))
+    schema = "".join(f"`{a}` string, " for a in archives) + DECODED
+    names = [*archives, *(x.split()[0] for x in DECODED.split(", "))]
 
     def decode(batches):
         for b in batches:
@@ -62,29 +70,28 @@ def decode_frames(encoded: DataFrame) -> DataFrame:
                 h = C.FrameHeader(*(r[f] for f in HEADER_FIELDS[:-1]), unsigned(r["checksum"]))
                 records = C.decode_frame(h, r["ids"], r["seqs"], r["quals"])
                 n = len(records)
-                yield pa.RecordBatch.from_arrays([pa.array([h.frame_id] * n), pa.array([r["frame_first"]] * n), pa.array(range(n), pa.int64()), *records.arrow()], names=["frame_id", "frame_first", "frame_pos", "id", "comment", "sequence", "quality"])
+                own = [pa.array([r[a]] * n, pa.string()) for a in archives]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([h.frame_id] * n), pa.array([r["frame_first"]] * n), pa.array(range(n), pa.int64()), *records.arrow()], names=names)
 
-    return encoded.join(first, "frame_id").mapInArrow(decode, DECODED)
+    return encoded.join(first, key).mapInArrow(decode, schema)
 
 
-def totals(encoded: DataFrame) -> DataFrame:
-    """One row: frames, records, bases, encoded_bytes and the rolling checksum of the footer.
-
-    The checksum folds the frames' checksums in order; 8 bytes for each frame come to one task.
-    """
-
-    def fold(batches):
-        rows = sorted((r["frame_id"], r["checksum"]) for b in batches for r in b.to_pylist())
-        g = 0
-        for _, c in rows:
-            g = C.advance(g, unsigned(c))
-        yield pa.RecordBatch.from_arrays([pa.array([signed(g)], pa.int64())], names=["rolling"])
-
-    rolling = encoded.select("frame_id", "checksum").repartition(1).mapInArrow(fold, "rolling long")
-    sums = encoded.agg(
+def totals(encoded: DataFrame, *archives: str) -> DataFrame:
+    """A row for each archive (by string columns; one row without them): frames, records, bases, encoded_bytes and the
+    rolling checksum of the footer, which folds the checksums of an archive's frames in order (16 bytes for each frame)."""
+    sums = encoded.groupBy(*archives).agg(
         F.count("*").alias("frames"),
         F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"),
         F.coalesce(F.sum("bases"), F.lit(0)).alias("bases"),
         (F.coalesce(F.sum(C.FRAME_HEADER_SIZE + F.col("enc_ids") + F.col("enc_seq") + F.col("enc_qual")), F.lit(0)) + C.HEADER_SIZE + C.FOOTER_SIZE).alias("encoded_bytes"),
+        F.transform(F.sort_array(F.collect_list(F.struct("frame_id", "checksum"))), lambda x: x["checksum"]).alias("checksums"),
     )
-    return sums.crossJoin(rolling)
+    kept = [*archives, "frames", "records", "bases", "encoded_bytes"]
+
+    def fold(batches):
+        for b in batches:
+            rolling = [functools.reduce(lambda g, c: C.advance(g, unsigned(c)), x, 0) for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(map(signed, rolling), pa.int64())], names=[*kept, "rolling"])
+
+    schema = "".join(f"`{a}` string, " for a in archives) + "frames long, records long, bases long, encoded_bytes long, rolling long"
+    return sums.select(*kept, "checksums").mapInArrow(fold, schema)

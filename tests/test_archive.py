@@ -311,6 +311,29 @@ def test_frames_of_several_files(spark):
     assert assign_frames(reads.limit(0), 900).count() == 0
 
 
+def test_tables_of_several_archives(spark, made):
+    """Frames of many archives in one table: each is decoded, numbered and totalled by itself."""
+    from pyspark.sql import functions as F
+
+    from strandlake.plans import archive
+    from strandlake.sources.frames import inspect
+
+    d, _, _ = made
+    register(spark)
+    reads = spark.read.format("fastq").load(str(d / "a.fastq")).drop("file_no")
+    encoded = archive.encode_frames(assign_frames(reads, 20_000))
+    both = encoded.withColumn("name", F.lit("x")).unionByName(encoded.where("frame_id < 2").withColumn("name", F.lit("y")))
+    got = {(r.name, r.frame_first + r.frame_pos): r.id for r in archive.decode_frames(both, "name").collect()}
+    assert {k: v for k, v in got.items() if k[0] == "x"} == {("x", r.read_no): r.id for r in reads.collect()}
+    assert sorted(n for k, n in got if k == "y") == list(range(len([1 for k, _ in got if k == "y"])))
+    total = {r.name: r for r in archive.totals(both, "name").collect()}
+    alone = archive.totals(encoded).first()
+    assert tuple(total["x"])[1:] == tuple(alone) and total["y"].frames == 2 and alone.records == 400
+    assert archive.totals(encoded.limit(0)).first().rolling == 0
+    whole = archive.totals(archive.encode_frames(assign_frames(reads, 64 << 20))).first()
+    assert archive.unsigned(whole.rolling) == inspect(str(d / "a.arc")).rolling
+
+
 def test_source_is_a_table(spark, made):
     d, text, _ = made
     register(spark)
