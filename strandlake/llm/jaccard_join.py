@@ -16,10 +16,10 @@ sketches differ in more cannot link, and only pairs that pass are verified on th
 The classes under a signature form a group. Its passing pairs are not all verified: a spanning
 forest of the closest ones is. If all pairs of the forest link, the group is settled, as any other
 passing pair is connected already. Large groups are compared in blocks that share their first
-class. What forests leave open - groups with a pair that passed and does not link, and groups of
-several blocks - is compared across the components that the links make (see `blocks_of`), first the
-closest pair of each two components, and then, if one of those does not link, all. No pairs are
-capped or sampled.
+class. What forests leave open - groups with a pair that passed, does not link and is not linked by
+others, and groups of several blocks - is compared by finer sketches across the components that the
+links make; in groups of several blocks (see `blocks_of`) first the closest pair of each two
+components, and then, if one of those does not link, all. No pairs are capped or sampled.
 
 Parts of a set that are empty agree with each other and say nothing; they are signed only for
 sets that have so many of them that all signatures two similar sets share could be empty.
@@ -30,6 +30,7 @@ null id never names a component, unless all ids of the component are null.
 
 from __future__ import annotations
 
+import functools
 from functools import cache
 from itertools import combinations
 from math import comb
@@ -153,7 +154,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
 #: Cells of a sketch: a power of two, COARSE or FINE times the size of the set or more, between these. Most groups are
 #: settled by coarse sketches; those that are left open are compared by fine ones, which few pairs pass that do not link.
 FEWEST_CELLS, MOST_CELLS = 64, 1 << 17
-COARSE, FINE = 1, 8
+COARSE, FINE = 1, 4
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, times: int = COARSE) -> list[bytes]:
@@ -432,7 +433,8 @@ def of_class(size: int):
     return run
 
 
-BLOCKS = "s long, b long, low binary, high binary, x array<struct<k:binary,n:bigint,sketch:binary,root:binary>>"
+MEMBERS = "array<struct<k:binary,n:bigint,sketch:binary,root:binary>>"
+BLOCKS = f"s long, b long, low binary, high binary, x {MEMBERS}"
 
 
 def blocks_of(labelled: DataFrame, parts: int) -> DataFrame:
@@ -551,26 +553,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return work.save(both.mapInArrow(verify(size, percent), "a binary, b binary, linked boolean"), name)
 
     checked = verified(pairs.select("a", "b").distinct(), "checked")
-    links, failed = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+    links = checked.where("linked").select("a", "b")
     roots = components(links, work, "roots")
-    if large or not failed.isEmpty():
-        again = pairs.join(failed, ["a", "b"]).select("s").unionByName(several).distinct()
-        fine = classes.select("c", "k", "n", F.col("fine").alias("sketch"))
-        labelled = shared.join(again, "s").select("s", "c").distinct().join(fine, "c").select("s", "k", "n", "sketch")
-        labelled = work.save(labelled, "open")
-        for step, closest in enumerate((True, False)):
-            named = labelled.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-            blocks = work.save(blocks_of(named, parts), f"blocks-{step}")
-            more = verified(across(blocks, percent, closest), f"more-{step}")
-            if not more.where("linked").isEmpty():
-                links = links.unionByName(more.where("linked").select("a", "b"))
-                roots = components(links, work, f"roots-{step}")
-            if more.where("not linked").isEmpty():
-                break
+    # A pair that does not link matters only if no other links connect it.
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    failed = checked.where("not linked").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    failed = work.save(failed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "failed")
+    fine = classes.select("c", "k", "n", F.col("fine").alias("sketch"))
+    rooted_as = lambda t: t.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rest = []
+    if large:
+        labelled = work.save(shared.where("open").select("s", "c").distinct().join(fine, "c").select("s", "k", "n", "sketch"), "open")
+        blocks = work.save(blocks_of(rooted_as(labelled), parts), "blocks-0")
+        more = verified(across(blocks, percent, True), "more-0")
+        links = links.unionByName(more.where("linked").select("a", "b"))
+        roots = components(links, work, "roots-0")
+        if not more.where("not linked").isEmpty():
+            blocks = work.save(blocks_of(rooted_as(labelled), parts), "blocks-1")
+            rest.append(across(blocks, percent, False))
+    if not failed.isEmpty():
+        # A pair of the forest that failed is the closest of its two components, so all are asked for at once. Of a
+        # group of one block only classes that pass with another can link, and its forest has all of those.
+        again = pairs.join(failed, ["a", "b"]).select("s").distinct().join(several, "s", "left_anti")
+        members = pairs.join(again, "s").select("s", F.explode(F.array("a", "b")).alias("k")).distinct()
+        held = rooted_as(members.join(fine.drop("c"), "k")).groupBy("s").agg(F.collect_list(F.struct("k", "n", "sketch", "root")).alias("x"))
+        rest.append(held.select("s", "x", F.lit(None).cast(MEMBERS).alias("y")).mapInArrow(block_pairs(percent, False), PAIRS).select("a", "b"))
+    if rest:
+        more = verified(functools.reduce(DataFrame.unionByName, rest).distinct(), "more-1")
+        links = links.unionByName(more.where("linked").select("a", "b"))
+        roots = components(links, work, "roots-1")
     rooted = classes.select("k", "m").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     lowest = work.save(rooted.groupBy("root").agg(F.min("m").alias("component_id")), "lowest")
     named = work.save(rooted.join(lowest, "root").select("k", "component_id", F.col("root").alias("_root")), "named")
-    work.drop("shared", "classes", "forests", "texts", "checked", "open", "lowest", *[f"{x}-{i}" for x in ("blocks", "more") for i in (0, 1)])
+    work.drop("shared", "classes", "forests", "texts", "checked", "failed", "open", "lowest", *[f"{x}-{i}" for x in ("blocks", "more") for i in (0, 1)])
     out = found.select(*names, "_id", "n_shingles", "k").join(named, "k", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_shingles", "component_id", "_root")
 
