@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
 from collections import Counter
@@ -387,6 +389,36 @@ def test_arrivals_are_compacted_by_tiers(spark, docs, tmp_path, arrivals):
     assert version == 2 and sharding.placed(empty, version, docs.columns).count() == 0
 
 
+def test_arrivals_are_written_without_a_sort(spark, docs, tmp_path):
+    """A sort takes pages of tens of MB of a task's heap; the setting that spares it is as before afterwards."""
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before, setting = runs().size(), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    sharding.shard(docs, target_bytes=8_000, small_rows=2, root=f"file://{tmp_path}/s", arrivals=6)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = runs()
+    plans = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    writes = [x for x in plans if "[arrival" in x and "WriteFiles" in x]
+    assert len(writes) == 1 and "Sort" not in writes[0]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == setting
+
+
+def test_workers_give_memory_back():
+    """What is freed below a block that is still held goes back to the system; a process of its own, as it measures itself."""
+    code = """if True:
+        import re, pyarrow
+        from strandlake.llm.common import give_back
+        anon = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1])
+        held = [bytearray(100_000) for _ in range(1000)]
+        held = held[-1]
+        before = anon()
+        give_back()
+        print(before - anon())
+    """
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(out.stdout) > 50_000
+
+
 def test_concurrent_commits(spark, docs, tmp_path, monkeypatch):
     a, b = (sharding.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
     a.append(docs)
