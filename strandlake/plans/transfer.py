@@ -29,7 +29,7 @@ from strandlake.operators.frames import Cutter
 from strandlake.operators.profile import SAMPLE_READS
 from strandlake.plans.archive import admit as admit_encoded
 from strandlake.plans.archive import signed, unsigned
-from strandlake.sources.fastq import Lane, Segment, count_lines, measure_range, measured, parse, read_range, records_of
+from strandlake.sources.fastq import Lane, Segment, count_lines, measure_range, measured, parse, read_range, slices_of
 from strandlake.sources.frames import Archive, exactly, frames_of
 from strandlake.sources.storage import Staged, is_plain, locate, open_input
 
@@ -65,6 +65,11 @@ def cut_frames(lanes: list[Lane], target: int) -> Iterator[tuple[int, list]]:
         yield frame, [lane.take(held // len(lanes)) for lane in lanes]
 
 
+def rows_in(batches) -> Iterator[dict]:
+    """The rows of batches, of which one at a time is a Python object (a batch of rows with bytes is large)."""
+    return (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
+
+
 def part_name() -> str:
     context = TaskContext.get()
     return f"{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -125,7 +130,7 @@ def measured_ranges(spark: SparkSession, paths: list[str]) -> DataFrame | None:
 def lanes_of(batches, n: int) -> list[Lane]:
     """The lanes of measured rows that come in the order of ranges, those of all lanes in turn."""
     waiting: list[deque] = [deque() for _ in range(n)]
-    rows = (r for b in batches for r in b.to_pylist())
+    rows = rows_in(batches)
 
     def lane(k):
         while True:
@@ -155,31 +160,17 @@ def encode_files(spark: SparkSession, paths: list[str], target: int, memory: int
     def encode(batches):
         path, out, at = staged.part(part_name()), None, 0
         files: dict[str, object] = {}
-        for b in batches:
-            for row in b.to_pylist():
-                records = []
-                for source, pieces in zip(paths, row["lanes"]):
-                    data = []
-                    for p in pieces:
-                        if p["data"] is None:
-                            if source not in files:
-                                fs, name = locate(source)
-                                files[source] = fs.open_input_file(name)
-                            data.append(exactly_at(files[source], p["at"], p["n"]))
-                        else:
-                            data.append(p["data"])
-                    records.append(records_of(data[0] if len(data) == 1 else b"".join(data)))
-                both = records[0] if len(records) == 1 else C.Records.mates(*records)
-                h, bases, *streams = C.encode_frame(row["frame_id"], both)
-                text = both.text_bytes()
-                admit_encoded((h.raw_ids, h.raw_seq, h.raw_qual), h.record_count, text, memory)
-                out = out or staged.fs.open_output_stream(path)
-                out.write(h.pack())
-                for x in streams:
-                    out.write(x)
-                n = C.FRAME_HEADER_SIZE + h.payload
-                yield rows_of([(h.frame_id, path, at, n, h.record_count, bases, text, signed(h.checksum))])
-                at += n
+        for row in rows_in(batches):
+            both = mated([records_in(source, pieces, files) for source, pieces in zip(paths, row["lanes"])])
+            h, bases, text, streams = C.encode_slices(row["frame_id"], both)
+            admit_encoded((h.raw_ids, h.raw_seq, h.raw_qual), h.record_count, text, memory)
+            out = out or staged.fs.open_output_stream(path)
+            out.write(h.pack())
+            for x in streams:
+                out.write(x)
+            n = C.FRAME_HEADER_SIZE + h.payload
+            yield rows_of([(h.frame_id, path, at, n, h.record_count, bases, text, signed(h.checksum))])
+            at += n
         if out:
             out.close()
 
@@ -195,6 +186,32 @@ def encode_files(spark: SparkSession, paths: list[str], target: int, memory: int
     return sorted(dealt.mapInArrow(encode, DONE).collect())
 
 
+def records_in(source: str, pieces: list[dict], files: dict) -> Iterator[C.Records]:
+    """The records of a frame's pieces of one file, slice by slice; `files` are those that are open."""
+    for p in pieces:
+        if p["data"] is None:
+            if source not in files:
+                fs, name = locate(source)
+                files[source] = fs.open_input_file(name)
+            yield from slices_of(lambda at, n, f=files[source], begin=p["at"]: exactly_at(f, begin + at, n), p["n"])
+        else:
+            yield from slices_of(lambda at, n, data=p["data"]: data[at : at + n], p["n"])
+
+
+def mated(lanes: list[Iterator[C.Records]]) -> Iterator[C.Records]:
+    """The records of one file as they come, or of two in turn, whose slices hold different numbers of records."""
+    if len(lanes) == 1:
+        yield from lanes[0]
+        return
+    held = [next(x, None) for x in lanes]
+    while all(held):
+        n = min(map(len, held))
+        yield C.Records.mates(*(r.part(0, n) for r in held))
+        held = [r.part(n, len(r)) if n < len(r) else next(x, None) for r, x in zip(held, lanes)]
+    if any(held):
+        raise FormatError("paired inputs have different record counts")
+
+
 def exactly_at(f, at: int, n: int) -> bytes:
     f.seek(at)
     return exactly(f, n)

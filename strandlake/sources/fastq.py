@@ -32,6 +32,8 @@ SCHEMA = "file_no int, read_no long, id string, comment string, sequence string,
 NAMES = ["file_no", "read_no", "id", "comment", "sequence", "quality"]
 CHUNK = 4 << 20
 COPY = 1 << 20
+#: Bytes of a frame's text that are encoded at once: their arrays take many times as much memory.
+SLICE = 1 << 18
 #: Bytes that a record counts for a frame besides its text: a fixed rule, see functions.expr.retained_bytes().
 RETAINED = 132
 
@@ -131,6 +133,25 @@ def records_of(block: bytes) -> C.Records:
     return records_at(block, lines_of(block))
 
 
+def slices_of(read, size: int) -> Iterator[C.Records]:
+    """The records of `size` bytes of whole plain records, about SLICE bytes (one record at least) at a time; read(at, n) gives bytes."""
+    held, lines = [], 0
+    for at in range(0, size, SLICE):
+        data = read(at, min(SLICE, size - at))
+        held.append(data)
+        lines += data.count(b"\n")
+        if lines < 4:
+            continue
+        block = b"".join(held)
+        end = len(block)
+        for _ in range(lines % 4 + 1):
+            end = block.rfind(b"\n", 0, end)
+        yield records_of(block[: end + 1])
+        held, lines = [block[end + 1 :]], lines % 4
+    if any(held):
+        raise FormatError("the file ends inside a record")
+
+
 class Prefixed:
     """A stream with bytes before it."""
 

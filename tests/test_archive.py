@@ -5,8 +5,10 @@ import gzip
 import io
 import logging
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake import cli
@@ -14,6 +16,7 @@ from strandlake.functions import codec as C
 from strandlake.functions.errors import ChecksumError, FormatError, InputOutputError, UnsupportedError, UsageError
 from strandlake.operators.frames import Cutter, assign_frames
 from strandlake.plans import commands
+from strandlake.sources import fastq as source
 from strandlake.sources import register, storage
 from strandlake.sources.fastq import parse
 
@@ -231,6 +234,53 @@ def test_ranges_of_a_file(spark, tmp_path, monkeypatch, size):
         commands.compress(spark, names[0], str(tmp_path / "never"), mate=str(tmp_path / "short.fq"), profile="ont")
 
 
+@pytest.mark.parametrize("size", [1, 60, 700, 1 << 20])
+def test_frames_are_encoded_in_slices(monkeypatch, size):
+    """Slices of any size make the frame that all records at once make; so do those of mates, which differ in length."""
+    from strandlake.plans.transfer import mated
+
+    monkeypatch.setattr(source, "SLICE", size)
+    a, b, short = fastq(300).encode(), fastq(300, 2, "mate").encode(), fastq(200, 2, "mate").encode()
+    slices = lambda x: source.slices_of(lambda at, n: x[at : at + n], len(x))
+    for lanes, whole in (([a], source.records_of(a)), ([a, b], C.Records.mates(source.records_of(a), source.records_of(b)))):
+        h, bases, text, streams = C.encode_slices(5, mated([slices(x) for x in lanes]))
+        assert (h, bases, *streams) == C.encode_frame(5, whole) and text == whole.text_bytes()
+    with pytest.raises(FormatError, match="different record counts"):
+        list(mated([slices(a), slices(short)]))
+    with pytest.raises(FormatError, match="inside a record"):
+        list(slices(a[:-1]))
+
+
+def test_memory_of_a_frame(tmp_path):
+    """A frame is encoded in the memory of its streams and of a slice, not in many times its text."""
+    from strandlake.plans.transfer import mated, records_in
+
+    data = fastq(1000).encode() * 80
+    (tmp_path / "a.fq").write_bytes(data)
+    tracemalloc.start()
+    try:
+        h, *_ = C.encode_slices(0, mated([records_in(str(tmp_path / "a.fq"), [{"at": 0, "n": len(data), "data": None}], {})]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert C.encode_frame(0, source.records_of(data))[0] == h
+        assert most < 3 * len(data) < tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_rows_are_made_one_at_a_time():
+    """Of a batch of large rows only the one in use is held as a Python object too."""
+    from strandlake.plans.transfer import rows_in
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([bytes(100_000)] * 50)], names=["i", "data"])
+    tracemalloc.start()
+    try:
+        assert [r["i"] for r in rows_in([batch, batch])] == [*range(50), *range(50)]
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_parts_are_joined_by_executors(spark, made, tmp_path, monkeypatch):
     from strandlake.plans import transfer
 
